@@ -5,17 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import bpe
+from loomtext.llm import bpe, chat, mixing, packing, quality, simhash, sketch, spans, urls
 from loomtext.llm.shared import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "span_sentences", "span_removed", "span_words_removed")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("\\### Assistant: </turn> ok"))
+    return chat.read_back(chat.format_conversations(turns.union(trial)))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", simhash.hexed(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "quality_verdict.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_pack_tokens": op5_pack_tokens,
+    "op6_scaled_sketch": op6_scaled_sketch,
+    "op7_chat_format": op7_chat_format,
+    "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
