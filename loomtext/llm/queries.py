@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, mixing, packing, quality, simhash, sketch, spans, urls
+from loomtext.llm import bpe, chat, mixing, neighbours, packing, quality, simhash, sketch, spans, urls
 from loomtext.llm.shared import table
 
 
@@ -47,6 +47,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.Index(vectors).search(vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "quality_verdict.*")
@@ -61,7 +66,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_scaled_sketch": op6_scaled_sketch,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _terms(terms: tuple[str, ...]) -> str:
+    """SQL for the number of different terms in u that stand between signs."""
+    return " + ".join(f"CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS INT)" for t in terms)
+
+
+def _rules() -> str:
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "\n".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for _, h, p in ordered)
+
+
+_VERDICTS = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES)
+
+ORACLES: dict[str, str] = {
+    "op4_url_filter": f"""
+WITH cut AS (
+  SELECT page_id, {_LOWER.format("coalesce(url, '')")} AS u,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (
+  SELECT page_id, u, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+ruled AS (SELECT *, CASE {_rules()} END AS rule FROM hosts),
+termed AS (
+  SELECT *, CASE WHEN {_terms(urls.STRICT)} > 0 OR {_terms(urls.SOFT)} >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END AS by_terms FROM ruled)
+SELECT page_id, host, path, rule, CASE {_VERDICTS} ELSE by_terms END AS verdict, by_terms FROM termed
+""",
+}

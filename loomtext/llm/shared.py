@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, which separates words: space and tab .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +30,17 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.schemas: dict[str, StructType] = {}
 
     def cut(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[table] = df.schema
+        return self.read(table)
+
+    def read(self, table: str) -> DataFrame:
+        """A table already cut, with columns of its own (so it can be joined with what came from an earlier read)."""
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}")
 
     def drop(self, table: str) -> None:
         """Deletes a table that no plan still to be run reads."""
