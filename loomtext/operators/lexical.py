@@ -102,7 +102,12 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", pr
     if not prefix_fallback or mode == "phrase":
         return best
     empty = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
-    return best.unionByName(ranked(score(prefix_occurrences(prefix_units(empty), rows, posted), rows, mode), k))
+    return best.unionByName(bm25_prefix(empty, rows, k, mode, posted))
+
+
+def bm25_prefix(queries: DataFrame, rows: DataFrame, k: int, mode: str, posted: DataFrame) -> DataFrame:
+    """BM25 with the last token of each query as a prefix."""
+    return ranked(score(prefix_occurrences(prefix_units(queries), rows, posted), rows, mode), k)
 
 
 def file_rows(fields: DataFrame) -> DataFrame:
@@ -111,8 +116,11 @@ def file_rows(fields: DataFrame) -> DataFrame:
     return fields.select(F.col("file_path").alias("key"), F.explode(F.array(*cols)).alias("f")).select("key", "f.*")
 
 
-def bm25_files(queries: DataFrame, fields: DataFrame, k: int = 80, mode: str = "any", weights: dict[str, float] | None = None, prefix_fallback: bool = False) -> DataFrame:
-    """BM25 in which a term counts by the weight of the field it stands in; units may be met in different fields."""
+def bm25_files(queries: DataFrame, fields: DataFrame, k: int = 80, mode: str = "any", weights: dict[str, float] | None = None, prefix: bool = False) -> DataFrame:
+    """BM25 in which a term counts by the weight of the field it stands in; units may be met in different fields.
+
+    With prefix, the last token of each query is one.
+    """
     weight = F.create_map(*[F.lit(x) for name, w in (weights or FIELD_WEIGHTS).items() for x in (name, float(w))])
     by_field = file_rows(fields)
     rows = by_field.groupBy("key").agg(F.sum(F.size("terms")).alias("n_terms"))
@@ -125,8 +133,5 @@ def bm25_files(queries: DataFrame, fields: DataFrame, k: int = 80, mode: str = "
         part = found.select("query_id", "unit", "n_units", F.get(at, F.lit(0)).alias("key"), (F.col("f") * weight[F.get(at, F.lit(1))]).alias("f"))
         return part.groupBy("query_id", "unit", "n_units", "key").agg(F.sum("f").alias("f"))
 
-    best = ranked(score(weighed(occurrences(units(queries, mode), own, posted)), rows, mode), k)
-    if not prefix_fallback or mode == "phrase":
-        return best
-    empty = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
-    return best.unionByName(ranked(score(weighed(prefix_occurrences(prefix_units(empty), own, posted)), rows, mode), k))
+    found = prefix_occurrences(prefix_units(queries), own, posted) if prefix else occurrences(units(queries, mode), own, posted)
+    return ranked(score(weighed(found), rows, mode), k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,18 @@ def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Confi
     keyed = tables["chunks"].withColumn("key", chunk_key(F.col("file_path"), F.col("chunk_index")))
     places = scratch.cut(keyed.select("key", "file_path", "chunk_index"), "places")
 
+    def answered(name: str, first: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A channel's ranking; queries without a hit once more with their last token as a prefix."""
+        best = scratch.cut(first(asked), name)
+        if not back or mode == "phrase":
+            return best
+        empty = scratch.cut(asked.join(best.select("query_id").distinct(), "query_id", "left_anti"), f"{name}-empty")
+        return best if empty.isEmpty() else scratch.cut(scratch.read(name).unionByName(again(empty)), f"{name}-both")
+
     def channel(name: str, rows: DataFrame) -> DataFrame:
         rows = scratch.cut(rows, f"{name}-rows")
         posted = scratch.cut(lexical.postings(rows), f"{name}-postings")
-        return scratch.cut(lexical.bm25(asked, rows, k, mode, back, posted), name)
+        return answered(name, lambda q: lexical.bm25(q, rows, k, mode, False, posted), lambda q: lexical.bm25_prefix(q, rows, k, mode, posted))
 
     body = channel("body", body_rows(tables["chunks"]))
     headings = channel("headings", heading_rows(tables["chunks"]))
@@ -35,7 +45,8 @@ def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Confi
     near = scratch.cut(vectors.nearest(found, own, config.vector_top_k).select("query_id", "key", "rank"), "vectors")
     named = [body.select("query_id", F.lit("body").alias("channel"), "key", "rank"), headings.select("query_id", F.lit("heading"), "key", "rank")]
     if config.title_rrf_weight > 0:
-        files = lexical.bm25_files(asked, scratch.cut(tables["file_fields"], "fields"), k, mode, prefix_fallback=back).select("query_id", F.col("key").alias("file_path"), "rank")
+        fields = scratch.cut(tables["file_fields"], "fields")
+        files = answered("file-hits", lambda q: lexical.bm25_files(q, fields, k, mode), lambda q: lexical.bm25_files(q, fields, k, mode, prefix=True)).select("query_id", F.col("key").alias("file_path"), "rank")
         stand = scratch.cut(fusion.file_to_chunk(files, body, headings, places), "files")
         near = fusion.coalesce_to_representative(near, stand, places)
         named.append(stand.select("query_id", F.lit("file"), "key", "rank"))
