@@ -250,7 +250,7 @@ def select_diverse(spark: SparkSession, sf: str) -> DataFrame:
 def explain_results(spark: SparkSession, sf: str) -> DataFrame:
     hits = _hits(spark, sf)
     told = fusion.explain(fusion.weighted_rrf(hits, WEIGHTS), fusion.contributions(hits, WEIGHTS))
-    return told.select("query_id", "key", F.array_join("channels", ",").alias("channels"), *[F.col(f"{c}_rank").cast("long").alias(f"{c}_rank") for c in fusion.CHANNELS], F.round(F.aggregate(F.map_values("rrf_contributions"), F.lit(0.0), lambda a, x: a + x), 5).alias("contributions"))
+    return told.select("query_id", "key", F.array_join("channels", ",").alias("channels"), *[F.col(f"{c}_rank").cast("long").alias(f"{c}_rank") for c in fusion.CHANNELS], F.round(F.aggregate(F.map_values("rrf_contributions"), F.lit(0.0), lambda a, x: a + x), 4).alias("contributions"))
 
 
 @query
