@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 #: Bytes up to which a word is merged by repeated scans.
 LONG_WORD = 128
 #: Pieces kept in a worker's table of pieces already encoded; it is emptied when full.
-KEPT = 400_000
+KEPT = 150_000
 #: Words merged at once, and characters of texts encoded at once.
-BLOCK, CHARS = 20_000, 2_000_000
+BLOCK, CHARS = 20_000, 1_000_000
 NONE = (1 << 31) - 1
 
 #: The word pattern of the vocabulary.
