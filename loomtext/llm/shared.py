@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-#: ASCII white space, which separates words: space and tab .. carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) one of our own."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="loomtext-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir() or folder
-    return folder
 
+from loomtext.sources.scratch import Scratch, shared_folder
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a read, not the whole history."""
+__all__ = ["Scratch", "fill_missing", "shared_folder", "table", "word_count"]
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.schemas: dict[str, StructType] = {}
-
-    def cut(self, df: DataFrame, table: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
-        self.schemas[table] = df.schema
-        return self.read(table)
-
-    def read(self, table: str) -> DataFrame:
-        """A table already cut, with columns of its own (so it can be joined with what came from an earlier read)."""
-        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}")
-
-    def drop(self, table: str) -> None:
-        """Deletes a table that no plan still to be run reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: ASCII white space, which separates words: space and tab .. carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
