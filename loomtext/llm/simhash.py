@@ -12,6 +12,10 @@ Only distinct fingerprints are compared, so exact copies cost one row each and n
 
 Step 3 looks at every pair that steps 1 and 2 have not joined already, so the components are exact.
 
+near_copies() (and survivors(), which the pipeline uses) also links texts whose sets of shingles have a Jaccard similarity of LIKE or more. Texts
+are filed under bands of their smallest shingle hashes, in files that hold more than one component they are compared with the file's
+pivot, then with each other; what sizes and fingerprints leave is verified on whole texts. Bands miss about 1 in 100,000 pairs at LIKE.
+
 Corner cases: null and blank texts have fingerprint zero and are linked like any other; a text with fewer words than a shingle is
 one shingle; repeated rows and ids are linked with themselves. A null doc_id takes part, but is never the smallest id unless its
 whole component has none. An empty table gives an empty one; other columns are ignored (and kept by survivors()).
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.links import components
 from loomtext.llm.shared import Scratch, fill_missing
+from loomtext.llm.sketch import ODD, Hasher, _mixed
 
 SEED = 42
 BLOCKS = 6
@@ -37,6 +43,13 @@ BLOCKS = 6
 REFERENCES = [(0x9E3779B97F4A7C15 * k ^ (0xD1B54A32D192ED03 * k >> 7)) & (1 << 64) - 1 for k in range(1, 9)]
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Near copies have at least this Jaccard similarity of shingles.
+LIKE = 0.8
+#: Of two texts at LIKE, all BANDS bands of BAND minima differ with probability (1 - LIKE ** BAND) ** BANDS, about 1 in 100,000.
+BANDS, BAND = 16, 3
+ORDERS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(ODD))
+#: Texts at LIKE differ in about 10 fingerprint bits, with a standard deviation of 3; pairs beyond these bits are not verified.
+FAR = 24
 
 
 def signed(x: int) -> int:
@@ -122,9 +135,108 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """BANDS hashes of a text's distinct shingle hashes, each of the least ones in BAND orders; none of a text without words."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(len(ORDERS), np.uint64((1 << 64) - 1))
+    for k in range(0, len(shingles), CHUNK // 8):
+        part = shingles[k : k + CHUNK // 8]
+        least = np.minimum(least, np.array([_mixed(part ^ order).min() for order in ORDERS]))
+    out = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = _mixed(out * np.uint64(ODD) + column)
+    return out.view(np.int64)
+
+
+def likeness(a: str | None, b: str | None, hasher: Hasher) -> float:
+    """Jaccard similarity of the two texts' sets of word shingles."""
+    x, y = (np.unique(hasher.shingles((t or "").encode("utf-8", "replace"))) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, shingle: int, least: float) -> DataFrame:
+    """u, v (roots) of those pairs(a, b, u, v) of texts whose whole shingle sets are alike."""
+    pairs = scratch.cut(pairs.distinct(), f"{name}-pairs")
+    asked = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
+    texts = fill_missing(docs, text="string").select(F.xxhash64("text").alias("tid"), "text")
+    texts = scratch.cut(texts.join(asked, "tid", "left_semi").dropDuplicates(["tid"]), f"{name}-texts")
+
+    @F.pandas_udf("double")
+    def of_pair(one: pd.Series, other: pd.Series) -> pd.Series:
+        hasher = Hasher(shingle)
+        return pd.Series([likeness(a, b, hasher) for a, b in zip(one, other, strict=True)], dtype="float64")
+
+    ends = [texts.select(F.col("tid").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab"]
+    both = pairs.join(ends[1], "b").join(ends[0], "a")
+    return scratch.cut(both.withColumn("likeness", of_pair("a_text", "b_text")).where(F.col("likeness") >= least).select("u", "v"), f"{name}-alike")
+
+
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root replaced by what roots(node, root) have for it."""
+    up = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rows.join(up, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """node, root of the roots in rows(tid, fp, root, n, bands; a row each text) that texts of at least that likeness join."""
+    filed = rows.select("tid", "fp", "root", "n", F.posexplode("bands").alias("k", "part"))
+
+    def near(a: str, b: str) -> Column:
+        sizes = (F.col(f"{a}n") >= least * F.col(f"{b}n")) & (F.col(f"{b}n") >= least * F.col(f"{a}n"))
+        return sizes & (_differ(F.col(f"{a}fp"), F.col(f"{b}fp")) <= FAR)
+
+    pivot = F.min(F.struct("tid", "fp", "root", "n")).alias("pivot")
+    mixed = filed.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low <> high")
+    mixed = mixed.select("k", "part", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("tid", "fp", "root", "n")])
+    rest = scratch.cut(filed.join(mixed, ["k", "part"]), "alike-rest")
+    stars = rest.where((F.col("root") != F.col("pivot_root")) & near("", "pivot_"))
+    stars = stars.select(F.col("pivot_tid").alias("a"), F.col("tid").alias("b"), F.col("pivot_root").alias("u"), F.col("root").alias("v"))
+    first = scratch.cut(components(_alike(stars, docs, scratch, "stars-alike", shingle, least), scratch, "alike-stars"), "alike-first")
+
+    # Pairs with the pivot are settled; what is left are the other pairs of files that still hold more than one component.
+    left = _placed(rest, first)
+    mixed = left.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "part")
+    left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("k", "part", "tid", "fp", "root", "n")
+    left = scratch.cut(left, "alike-left")
+    one, other = (left.select("k", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "fp", "root", "n")]) for x in "ab")
+    pairs = one.join(other, ["k", "part"]).where((F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
+    pairs = pairs.select(F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), F.col("a_root").alias("u"), F.col("b_root").alias("v"))
+    second = scratch.cut(components(_alike(pairs, docs, scratch, "pairs-alike", shingle, least), scratch, "alike-pairs"), "alike-second")
+
+    nodes = first.union(second.join(first, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return scratch.cut(_placed(nodes, second).select("node", "root"), "alike-roots")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, least: float = LIKE) -> DataFrame:
+    """As near_duplicates(), with links also between texts whose sets of shingles have at least that Jaccard similarity."""
+    scratch = Scratch(docs.sparkSession, "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(shingle)
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            sets = [np.unique(hasher.shingles((t or "").encode("utf-8", "replace"))) for t in texts]
+            columns = [pa.array([signed(fingerprint(t, shingle)) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [batch.column(2), pa.array([minima(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "tid", "bands"])
+
+    read = fill_missing(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>"), "rows")
+    prints = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    roots = scratch.cut(link(prints.select("fp"), scratch, distance), "roots")
+    placed = scratch.cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    texts = rows.where("n > 0").select("tid", "fp", "n", "bands").dropDuplicates(["tid"]).join(placed.select("fp", "root"), "fp")
+    placed = _placed(placed, link_alike(texts, docs, scratch, shingle, least))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = scratch.cut(placed.join(ids, "root").select("fp", "component_id"), "ids")
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
 def survivors(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
     """The rows of docs that are their component's smallest doc_id, once each; components without any id keep their rows."""
-    found = near_duplicates(docs, shingle, distance)
+    found = near_copies(docs, shingle, distance)
     keep = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("simhash_id")).distinct()
     row = docs.select(F.struct("*").alias("simhash_row"), docs["doc_id"].cast("long").alias("simhash_id"))
     kept = row.join(keep, "simhash_id").dropDuplicates(["simhash_id"]).select("simhash_row.*")
