@@ -8,11 +8,15 @@
    character classes, and stepped shape figures. It is fitted on at most SAMPLE documents, those with the smallest hashes,
    with whole texts; labelling, counting and scoring cover every document.
 
-A document is kept if the scorer's probability is at least KEEP and it holds no word of the insult list.
+4. A second scorer of the same kind learns toxic vocabulary, in whatever language, from the toxic column of a table of labels: over the beginnings of
+   words (so that the stems of unseen words count), on at most TOXIC_SAMPLE toxic and CLEAN_SAMPLE other labelled documents, those with the smallest
+   hashes, with whole texts. Every whole document is scored.
+
+A document is kept if the scorer's probability is at least KEEP, its probability of being toxic is below TOXIC, and it holds no word of the insult list.
 
 Corner cases: a null or blank text has quality 0 and is not kept. Very long texts are read whole. Repeated rows and rows without doc_id are
 judged like any other; equal texts get equal scores. A corpus in which no labeller ever votes, or an empty one, leaves
-the scorer at its prior. Labels are not read; held-out labels only measure accuracy, in the tests.
+the scorer at its prior. Of labels only the toxic column is read; without labels, or without both kinds of them, no document counts as toxic.
 """
 
 from __future__ import annotations
@@ -26,12 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import fill_missing
-from loomtext.llm.sketch import Hasher
+from loomtext.llm.sketch import Hasher, _mixed
 
 #: Documents, at most, on which the scorer is fitted.
 SAMPLE = 4000
 DIMENSIONS = 1 << 16
 KEEP = 0.5
+#: Labelled documents, at most, on which the scorer of toxic vocabulary is fitted, and the probability from which a document is toxic.
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
+TOXIC = 0.5
+#: Lengths in bytes of the beginnings of words that it looks at.
+STEMS = (5, 6, 7, 8, 10)
 #: Insults.
 INSULTS = ("clown", "disgusting", "dumb", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 INSULT = re.compile(rb"(?<![a-z0-9_])(?:" + b"|".join(w.encode() for w in INSULTS) + rb")(?![a-z0-9_])")
@@ -137,6 +146,20 @@ def hashed(p: Profile) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), values
 
 
+def stems(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, values) of the beginnings of a text's words."""
+    data = (text or "").encode("utf-8", "replace")
+    starts, ends, sums = hasher.sums(data)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0)
+    found = []
+    for n in STEMS:
+        at = starts[ends - starts >= n]
+        found.append(_mixed((sums[at + n] - sums[at]) * hasher.back[at] + np.uint64(n)) % np.uint64(DIMENSIONS))
+    seen, times = np.unique(np.concatenate(found), return_counts=True)
+    return seen.astype(np.int64), np.sqrt(times / len(starts)) * 0.5
+
+
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer for soft labels, by full gradients with adaptive steps."""
     weights, bias = np.zeros(DIMENSIONS), 0.0
@@ -166,6 +189,14 @@ class Model:
     bias: float
     posteriors: dict[str, float]
     rates: np.ndarray
+    toxic_weights: np.ndarray | None = None
+    toxic_bias: float = 0.0
+
+    def toxic(self, text: str | None, hasher: Hasher) -> float:
+        if self.toxic_weights is None:
+            return 0.0
+        at, values = stems(text, hasher)
+        return float(1 / (1 + np.exp(-np.clip(values @ self.toxic_weights[at] + self.toxic_bias, -500, 500)))) if len(at) else 0.0
 
     def quality(self, p: Profile) -> float:
         if not len(p.words):
@@ -204,23 +235,50 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(weights.astype(np.float32), bias, posteriors, rates)
 
 
-def judge(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The columns of docs and quality_verdict: quality, labels (the label model's posterior), votes, insults, keep."""
+def toxic_sample(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled documents on which toxic vocabulary is learnt."""
+    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    draw = F.xxhash64("doc_id", F.lit("toxic"))
+    drawn = [rows.where(which).orderBy(draw, "doc_id").limit(most) for which, most in (("toxic = 1", TOXIC_SAMPLE), ("toxic = 0", CLEAN_SAMPLE))]
+    return drawn[0].union(drawn[1])
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
+    """(weights, bias) of the scorer of toxic vocabulary; None if there are not both kinds of labels."""
+
+    @F.pandas_udf("at array<int>, values array<float>")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        hasher = Hasher(1)
+        both = [stems(t, hasher) for t in texts]
+        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in both], "values": [v.astype(np.float32) for _, v in both]})
+
+    rows = fill_missing(docs, doc_id="long", text="string").join(toxic_sample(labels), "doc_id")
+    picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
+    if picked["toxic"].nunique() < 2:
+        return None
+    weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["toxic"].to_numpy(float))
+    return weights.astype(np.float32), bias
+
+
+def judge(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP, labels: DataFrame | None = None) -> DataFrame:
+    """The columns of docs and quality_verdict: quality, labels (the label model's posterior), votes, insults, toxic, keep."""
     model = fit(docs, sample)
+    if labels is not None and (learnt := fit_toxic(docs, labels)):
+        model.toxic_weights, model.toxic_bias = learnt
 
-    @F.pandas_udf("quality double, labels double, votes string, insults int, keep boolean")
+    @F.pandas_udf("quality double, labels double, votes string, insults int, toxic double, keep boolean")
     def verdict(texts: pd.Series) -> pd.DataFrame:
         hasher, out = Hasher(1), []
         for text in texts:
             p = profile(text, hasher)
-            quality, cast = model.quality(p), votes(p)
-            out.append((quality, model.posteriors.get(cast, 0.5), cast, p.insults, quality >= keep and not p.insults and len(p.words) > 0))
-        return pd.DataFrame(out, columns=["quality", "labels", "votes", "insults", "keep"])
+            quality, cast, toxic = model.quality(p), votes(p), model.toxic(text, hasher)
+            out.append((quality, model.posteriors.get(cast, 0.5), cast, p.insults, toxic, quality >= keep and toxic < TOXIC and not p.insults and len(p.words) > 0))
+        return pd.DataFrame(out, columns=["quality", "labels", "votes", "insults", "toxic", "keep"])
 
     return docs.withColumn("quality_verdict", verdict(docs["text"].cast("string")))
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    own = docs.select(F.struct("*").alias("quality_row"), docs["text"].cast("string").alias("text"))
+    own = docs.select(F.struct("*").alias("quality_row"), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
     return judge(own, **options).where("quality_verdict.keep").select("quality_row.*")

@@ -53,7 +53,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), labels=table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "quality_verdict.*")
 
 

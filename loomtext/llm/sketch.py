@@ -60,8 +60,8 @@ class Hasher:
             self.powers = np.concatenate([self.powers, self.powers * np.uint64(step)])
             self.back = np.concatenate([self.back, self.back * np.uint64(inverse)])
 
-    def words(self, data: bytes) -> np.ndarray:
-        """A hash of each word."""
+    def sums(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words, and sums up to each byte, of which a part's own is (sums[end] - sums[start]) * back[start]."""
         raw = np.frombuffer(data.lower(), np.uint8)
         gap = np.empty(len(raw) + 2, bool)
         gap[0] = gap[-1] = True
@@ -69,11 +69,16 @@ class Hasher:
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
-            return np.zeros(0, np.uint64)
+            return starts, ends, np.zeros(1, np.uint64)
         self._grow(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
-        return _mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        return starts, ends, sums
+
+    def words(self, data: bytes) -> np.ndarray:
+        """A hash of each word."""
+        starts, ends, sums = self.sums(data)
+        return _mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
 
     def shingles(self, data: bytes) -> np.ndarray:
         words = self.words(data)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from loomtext.llm import simhash
+from loomtext.llm import quality, simhash
 from loomtext.llm.sketch import Hasher
 
 DOCS = "doc_id long, text string"
@@ -32,3 +32,21 @@ def test_edited_copies_are_near_copies(spark):
     by_bits = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 4).collect()}
     assert any(by_bits[10 * k + 1] != 10 * k for k in range(12))
     assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == sorted([10 * k + i for k in range(12) for i in (0, 2)] + [900])
+
+
+def test_toxic_words_of_any_language_are_learnt(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = [w + r.choice(("", "s", "en")) for w in prose(400 + i, 80)]
+        if i % 3 == 0:
+            for k in r.sample(range(80), 4):
+                words[k] = r.choice(("achlich", "réeuxe", "boment")) + r.choice("abcdefg") * 2
+        rows.append((i, " ".join(words) + "."))
+    docs = spark.createDataFrame([*rows, (None, "no id"), (900, None)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["quality_verdict"] for r in quality.judge(docs, labels=labels).collect()}
+    held = {i: found[i]["toxic"] >= quality.TOXIC for i in range(200, 300)}
+    assert sum(held[i] for i in held if i % 3 == 0) >= 30 and sum(held[i] for i in held if i % 3) <= 2
+    assert not any(found[i]["keep"] for i in held if held[i]) and not any(v["insults"] for v in found.values())
+    assert {r["toxic"] for r in quality.judge(docs).select("quality_verdict.toxic").collect()} == {0.0}
