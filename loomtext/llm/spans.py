@@ -1,6 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, which tile it exactly. At each sentence starts a span: SENTENCES sentences, or as many
+A text is cut into sentences, and these at words that their neighbours choose, so that a passage is cut alike wherever it stands and whatever
+is around it. The pieces (below also called sentences) tile the text exactly. At each starts a span: SENTENCES pieces, or as many
 more as it takes to reach MIN_WORDS words. Spans depend on their own sentences alone, so a passage gives the same spans wherever it
 stands. Their hashes are counted over all documents; of a repeated span the first occurrence (smallest doc_id, then
 smallest position) stays, and every sentence that any other occurrence covers is removed.
@@ -18,6 +19,7 @@ An empty table gives an empty one. Other columns are kept as they are.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,54 @@ SENTENCES = 2
 MIN_WORDS = 15
 #: A sentence ends with the white space after . ! ? (and closing quotes), or with a line.
 SENTENCE = re.compile(r"""[^.!?\n]*(?:[.!?]+["'”’)\]]*(?=\s|$)\s*|[.!?]+|\n\s*|$)""")
+#: A word with the white space around it.
+TOKEN = re.compile(r"\s*\S+\s*")
+#: A sentence is cut after each word whose hash with the next one is the least of so many to either side; its ends count as less.
+REACH = 4
+
+
+def cuts(words: list[str], ends: np.ndarray) -> np.ndarray:
+    """Which words of a text a piece ends with: ends (the numbers of sentences' last words), and those chosen by the REACH words to either side."""
+    n = len(words)
+    own = np.fromiter(map(zlib.crc32, [w.encode("utf-8", "replace") for w in words]), np.uint64, n)
+    both = own * np.uint64(0x9E3779B97F4A7C15)
+    both[:-1] ^= own[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    both = ((both ^ (both >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    both[ends] = 0
+    # the text starts after an end
+    around = np.concatenate([np.zeros(REACH, np.uint64), both, np.zeros(REACH, np.uint64)])
+    least = both.copy()
+    for k in range(2 * REACH + 1):
+        np.minimum(least, around[k : k + n], out=least)
+    return least == both
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that make up the whole text."""
+    """Pieces that make up the whole text: its sentences, cut as cuts() says."""
+    whole = whole_sentences(text)
+    words = [x.lower().split() for x in whole]
+    upto = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    if not upto[-1]:
+        return whole
+    at = np.flatnonzero(cuts([w for ws in words for w in ws], upto[1:][np.diff(upto) > 0] - 1)) + 1
+    first, out = np.searchsorted(at, upto).tolist(), []
+    for k, sentence in enumerate(whole):
+        n = first[k + 1] - first[k]
+        if n < 1 or len(words[k]) < 2:
+            out.append(sentence)
+            continue
+        inner = (at[first[k] : first[k + 1]] - upto[k]).tolist()
+        inner = [x for x in inner if 0 < x < len(words[k])]
+        if not inner:
+            out.append(sentence)
+            continue
+        tokens = TOKEN.findall(sentence)
+        out += ["".join(tokens[a:b]) for a, b in zip([0, *inner], [*inner, len(tokens)], strict=True)]
+    return out
+
+
+def whole_sentences(text: str) -> list[str]:
+    """Sentences that make up the whole text."""
     out, held = [], []
     for m in SENTENCE.finditer(text):
         piece = m[0]
@@ -92,9 +138,10 @@ def repeated(docs: DataFrame, scratch: Scratch, least: int = SENTENCES, min_word
     texts = _keyed(docs).select("span_text", *KEY)
     found = scratch.cut(texts.mapInArrow(cut, "id_1 long, id_2 long, at int, n int, hash long"), "spans")
     place = F.struct(*KEY, "at")
-    common = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    common = scratch.cut(common, "common")
-    later = found.join(common, "hash").where(place != F.col("first"))
+    common = scratch.cut(found.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "common")
+    hits = scratch.cut(found.join(common, "hash"), "hits")
+    first = scratch.cut(hits.groupBy("hash").agg(F.min(place).alias("first")), "first")
+    later = hits.join(first, "hash").where(place != F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("cover"))
 
 

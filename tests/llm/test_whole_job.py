@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from loomtext.llm import quality, simhash
+from loomtext.llm import quality, simhash, spans
 from loomtext.llm.sketch import Hasher
 
 DOCS = "doc_id long, text string"
@@ -34,6 +34,17 @@ def test_edited_copies_are_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == sorted([10 * k + i for k in range(12) for i in (0, 2)] + [900])
 
 
+def test_passages_without_sentence_ends_are_found(spark):
+    passage = " ".join(prose(99, 60))
+    rows = [(i, " ".join([*prose(100 + i, 10 + 7 * i), passage, *prose(200 + i, 33 - 3 * i)])) for i in range(8)]
+    twins = " ".join(prose(300, 400))
+    found = {r["doc_id"]: r["text"] or "" for r in spans.remove_repeats(spark.createDataFrame([*rows, (20, twins), (21, twins + " end")], DOCS)).collect()}
+    windows = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in ((i, t.split()) for i, t in found.items())}
+    assert found[0] == rows[0][1] and found[20] == twins and len(found[21].split()) < 30
+    assert all(not windows[i] & windows[k] for i in windows for k in windows if i < k)
+    assert all("".join(spans.sentences(t)) == t for t in (passage, " a  b \n", "\n", "", "x " * 50, " " + passage + ". \x1c" + passage))
+
+
 def test_toxic_words_of_any_language_are_learnt(spark):
     r = random.Random(5)
     rows = []
