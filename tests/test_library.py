@@ -74,11 +74,15 @@ def test_chunk_limits(spark):
 
 def test_frontmatter(spark):
     note = "---\nAliases: [One, one, Two]\nTags: '#x'\nproject:\n  owner: kim\n  members: [a, 3, 2020-01-01]\ncssclass: wide\nsources: [n/a.md, ../b.md, n/a.md, 4, n/missing.md]\n---\ntext #tag and a#no\n"
-    aliases, tags, properties, given, bad = frontmatter.parse_note(note)
-    assert aliases == ["One", "Two"] and tags == ["x", "tag"] and not bad
-    assert "project owner kim members a 3" in properties and "wide" not in properties and "2020" not in properties
-    assert frontmatter.parse_note("---\na: [\n---\nbody #t")[4] is True
-    notes = spark.createDataFrame([("w.md", note), ("n/a.md", "x")], "file_path string, text string")
+    notes = spark.createDataFrame([("w.md", note), ("n/a.md", "x"), ("bad.md", "---\na: [\n---\nbody #t"), ("none.md", None), ("deep.md", "\ufeff---\r\na: {b: {c: {d: {e: {f: 1}, g: 2}}}}\r\nx: &k [1]\r\ny: *k\r\n...\r\n#T #t")], "file_path string, text string")
+    found = {r["file_path"]: r for r in frontmatter.parse(notes).collect()}
+    row = found["w.md"]
+    assert row["aliases"] == ["One", "Two"] and row["tags"] == ["x", "tag"] and not row["bad"]
+    assert "project owner kim members a 3" in row["properties"] and "wide" not in row["properties"] and "2020" not in row["properties"]
+    assert found["bad.md"]["bad"] and found["bad.md"]["tags"] == ["t"] and found["none.md"]["properties"] == ""
+    assert found["deep.md"]["properties"] == "a b c d e g 2 x 1 y" and found["deep.md"]["tags"] == ["T"]
+    many = frontmatter.parse(spark.createDataFrame([("m.md", "---\ntags: [" + ", ".join(f"t{i}" for i in range(300)) + "]\naliases: ['" + "a" * 5000 + "', '" + "b" * 1999 + "']\n---\n")], "file_path string, text string")).first()
+    assert len(many["tags"]) == 256 and [len(a) for a in many["aliases"]] == [2000, 1999]
     assert [tuple(r) for r in frontmatter.source_edges(notes, ("**/*.md",), ()).collect()] == [("w.md", 0, "n/a.md")]
 
 
