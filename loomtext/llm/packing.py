@@ -10,13 +10,14 @@ A task packs what it reads, in windows of at most WINDOW ids, and holds no more
 tasks: only a window's last rows can have free space that other windows' pieces might have filled.
 
 Corner cases: null and empty texts have no ids and appear in no row. A document of exactly one row's length is a row of its own.
-Very long texts are cut like any other; repeated rows are packed each by itself. A null doc_id is kept as null. An empty table gives an
+Very long texts are cut like any other, also such of white space alone; repeated rows are packed each by itself. A null doc_id is kept as null. An empty table gives an
 empty one; other columns are ignored. Rows are numbered (shard, row), a shard being a task's window.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,16 +31,38 @@ from loomtext.llm.bpe import PATTERN
 from loomtext.llm.shared import fill_missing
 
 ROW = 2048
+#: White space (as Unicode has it) over which the encoder's pattern would run out of stack.
+GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 WINDOW = 4_000_000
 PACKED = "shard long, row int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<long>"
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary in a file of base64 tokens and ranks; one per Python worker."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def unbroken(path: str) -> tiktoken.Encoding:
+    """The same vocabulary with a pattern that takes a whole text as one word."""
+    return tiktoken.Encoding("one word", pat_str="(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={})
+
+
+def encoded(text: str, path: str) -> np.ndarray:
+    """The ids of a text. Of a long gap, all white space but the last before a word is a word of its own, as the pattern has it, and is encoded apart."""
+    enc, parts, at = vocabulary(path), [], 0
+    for m in GAP.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        parts += [enc.encode_to_numpy(text[at : m.start()], disallowed_special=()), unbroken(path).encode_to_numpy(text[m.start() : end], disallowed_special=())]
+        at = end
+    last = enc.encode_to_numpy(text[at:], disallowed_special=())
+    return np.concatenate([*parts, last]) if parts else last
 
 
 class FreeSpace:
@@ -120,7 +143,7 @@ def pack(docs: DataFrame, path: str, capacity: int = ROW, window: int = WINDOW)
         held, size, shard = [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                ids = encoded(text.as_py() or "", path)
                 if not len(ids):
                     continue
                 if size and size + len(ids) > window:
