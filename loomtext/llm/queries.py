@@ -20,8 +20,8 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", "span_sentences", "span_removed", "span_words_removed")
+    found = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report="spans")
+    return found.select("doc_id", "text", F.col("spans.removed").alias("span_removed"), F.col("spans.words").alias("span_words_removed"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

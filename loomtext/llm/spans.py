@@ -13,7 +13,7 @@ are rebuilt.
 Corner cases: a null text stays null and an empty one empty; a text without a whole span loses nothing. White space
 and case do not count when sentences are compared. A passage repeated within one document stays once. Rows that share a doc_id are
 told apart by their texts' hashes; rows equal in both are one document, and lose the same. Rows without doc_id come last.
-An empty table gives an empty one. Other columns are kept as they are.
+An empty table gives an empty one. Other columns are kept as they are, whatever their names; only the report's own name is given up to it.
 """
 
 from __future__ import annotations
@@ -145,31 +145,36 @@ def repeated(docs: DataFrame, scratch: Scratch, least: int = SENTENCES, min_word
     return later.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("cover"))
 
 
-def remove_repeats(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of docs with the text that is left, and span_sentences, span_removed, span_words_removed."""
+def remove_repeats(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS, report: str | None = None) -> DataFrame:
+    """The columns of docs with the text that is left; report names a struct column beside them: removed (pieces) and words.
+
+    A column of docs that has the report's name gives way to it. Texts that lose nothing are not cut again.
+    """
     scratch = Scratch(docs.sparkSession, "spans")
     cover = scratch.cut(repeated(docs, scratch, least, min_words), "cover")
 
-    @F.pandas_udf("text string, sentences int, removed int, words int")
+    @F.pandas_udf("text string, removed int, words int")
     def rest(texts, covers):
         import pandas as pd
 
         rows = []
         for text, cover in zip(texts, covers, strict=True):
-            if text is None:
-                rows.append((None, 0, 0, 0))
+            if text is None or cover is None:
+                rows.append((None, 0, 0))
                 continue
             pieces = sentences(text)
             gone = np.zeros(len(pieces) + 1, np.int64)
-            for x in cover if cover is not None else ():
+            for x in cover:
                 gone[x["at"]] += 1
                 gone[x["at"] + x["n"]] -= 1
             gone = np.cumsum(gone)[: len(pieces)] > 0
             lost = [p for p, g in zip(pieces, gone, strict=True) if g]
-            left = "".join(p for p, g in zip(pieces, gone, strict=True) if not g) if lost else text
-            rows.append((left, len(pieces), len(lost), sum(len(p.split()) for p in lost)))
-        return pd.DataFrame(rows, columns=["text", "sentences", "removed", "words"])
-
-    rows = _keyed(docs).join(cover, KEY, "left").withColumn("span_rest", rest("span_text", "cover"))
-    kept = [F.col("span_rest.text").alias(c) if c == "text" else F.col(f"span_row.`{c}`") for c in docs.columns]
-    return rows.select(*kept, F.col("span_rest.sentences").alias("span_sentences"), F.col("span_rest.removed").alias("span_removed"), F.col("span_rest.words").alias("span_words_removed"))
+            left = "".join(p for p, g in zip(pieces, gone, strict=True) if not g)
+            rows.append((left, len(lost), sum(len(p.split()) for p in lost)))
+        return pd.DataFrame(rows, columns=["text", "removed", "words"])
+
+    lost = F.col("cover").isNotNull()
+    rows = _keyed(docs).join(cover, KEY, "left").withColumn("span_rest", rest(F.when(lost, F.col("span_text")), "cover"))
+    text = F.when(lost, F.col("span_rest.text")).otherwise(F.col("span_text"))
+    kept = [text.alias(c) if c == "text" else F.col(f"span_row.`{c}`") for c in docs.columns if c != report]
+    return rows.select(*kept, *([F.struct("span_rest.removed", "span_rest.words").alias(report)] if report else []))
