@@ -2,13 +2,14 @@
 
 Only distinct fingerprints are compared, so exact copies cost one row each and nothing more. Links are found in three steps:
 
-1. The 64 bits are cut into BLOCKS blocks. Two fingerprints that differ in at most d bits agree in at least
-   BLOCKS - d whole blocks, so each is filed under every choice of that many blocks; linked ones share a file.
+1. The 64 bits are cut into blocks, more of them the more fingerprints there are. Two fingerprints that differ in at most d bits agree in all
+   but d blocks at least, so each is filed under every choice of that many blocks; linked ones share a file.
 2. The least fingerprint of each file is its pivot: members near enough to it are linked to it. That is one row a member,
    however dense the file is, and joins almost all of a large group of near copies at once.
 3. Only files that still hold more than one component are searched for pairs, and only pairs from different components.
-   The pivot table (each fingerprint's Hamming distances to fixed reference fingerprints, computed once) discards
+   The pivot table (each fingerprint's Hamming distances to 32 orthogonal reference fingerprints, computed once) discards
    pairs by the largest difference of coordinates, which never exceeds the true distance; survivors are verified bit by bit.
+   discards() counts how many pairs of a table each reference alone and all of them together discard.
 
 Step 3 looks at every pair that steps 1 and 2 have not joined already, so the components are exact.
 
@@ -18,7 +19,8 @@ pivot, then with each other; what sizes and fingerprints leave is verified on wh
 
 Corner cases: null and blank texts have fingerprint zero and are linked like any other; a text with fewer words than a shingle is
 one shingle; repeated rows and ids are linked with themselves. A null doc_id takes part, but is never the smallest id unless its
-whole component has none. An empty table gives an empty one; other columns are ignored (and kept by survivors()).
+whole component has none. An empty table gives an empty one; other columns are ignored (and kept by survivors()). Of each component survivors() keeps
+the row of the smallest doc_id (rows without one come last) and, among rows that share it, of the smallest text hash; of rows equal in both, one.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ from loomtext.llm.shared import Scratch, fill_missing
 from loomtext.llm.sketch import ODD, Hasher, _mixed
 
 SEED = 42
-BLOCKS = 6
-#: Reference fingerprints, from the multiples of an odd constant.
-REFERENCES = [(0x9E3779B97F4A7C15 * k ^ (0xD1B54A32D192ED03 * k >> 7)) & (1 << 64) - 1 for k in range(1, 9)]
+#: Fingerprints, at most, for so many blocks: up to it, a file of strangers has a member or two.
+BLOCKS = ((6, 1 << 21), (7, 1 << 27), (8, 1 << 32), (10, 1 << 38))
+#: Reference fingerprints: rows of a Hadamard matrix, each at distance 32 from any other. Differing bits that one of them does not tell from
+#: equal ones, another does.
+REFERENCES = [sum(((r & i).bit_count() & 1) << i for i in range(64)) for r in range(0, 64, 2)]
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Near copies have at least this Jaccard similarity of shingles.
@@ -92,8 +96,23 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def link(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = BLOCKS) -> DataFrame:
+def pivot_table(fp: Column) -> list[Column]:
+    """The Hamming distances of a fingerprint to each reference, as columns d0, d1, ..."""
+    return [_differ(fp, F.lit(signed(r))).cast("byte").alias(f"d{i}") for i, r in enumerate(REFERENCES)]
+
+
+def within(distance: int, a: str = "a", b: str = "b") -> list[Column]:
+    """For each reference, whether a pair's coordinates leave it possible that they are that near."""
+    return [F.abs(F.col(f"{a}.d{i}") - F.col(f"{b}.d{i}")) <= distance for i in range(len(REFERENCES))]
+
+
+def blocks_for(count: int) -> int:
+    return next((n for n, most in BLOCKS if count <= most), BLOCKS[-1][0])
+
+
+def link(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """node, root of all fingerprints (distinct, column fp) with a link; root is the least fingerprint of the component."""
+    blocks = max(blocks or blocks_for(prints.count()), distance + 1)
     files = F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks(blocks, blocks - distance))])
     filed = prints.select("fp", F.explode(files).alias("f")).select("fp", "f.k", "f.part")
     shared = filed.groupBy("k", "part").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -104,12 +123,11 @@ def link(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = B
 
     placed = members.join(near, members["fp"] == near["node"], "left").select("k", "part", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k", "part")
-    table = [_differ(F.col("fp"), F.lit(signed(r))).cast("byte").alias(f"d{i}") for i, r in enumerate(REFERENCES)]
-    rest = scratch.cut(placed.join(mixed, ["k", "part"]).select("*", *table), "rest")
+    rest = scratch.cut(placed.join(mixed, ["k", "part"]).select("*", *pivot_table(F.col("fp"))), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     pair = (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root"))
-    for i in range(len(REFERENCES)):
-        pair &= F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= distance
+    for near_in in within(distance):
+        pair &= near_in
     pair &= _differ(F.col("a.fp"), F.col("b.fp")) <= distance
     bridges = a.join(b, pair).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
     far = scratch.cut(components(bridges, scratch, "bridges"), "far")
@@ -119,6 +137,17 @@ def link(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = B
     return nodes.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
+def discards(pairs: DataFrame, distance: int = 4) -> DataFrame:
+    """One row of counts for pairs(x, y) of fingerprints: pairs, near (at most that many bits), by_all, and by_0, by_1, ... discarded by each reference."""
+    x, y = (F.struct(*pivot_table(F.col(c))).alias(n) for c, n in (("x", "a"), ("y", "b")))
+    far = [F.count_if(~w).alias(f"by_{i}") for i, w in enumerate(within(distance))]
+    alike = within(distance)[0]
+    for w in within(distance)[1:]:
+        alike &= w
+    near = F.count_if(_differ(F.col("x"), F.col("y")) <= distance).alias("near")
+    return pairs.select("x", "y", x, y).agg(F.count("*").alias("pairs"), near, F.count_if(~alike).alias("by_all"), *far)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -209,8 +238,11 @@ def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int,
     return scratch.cut(_placed(nodes, second).select("node", "root"), "alike-roots")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, least: float = LIKE) -> DataFrame:
-    """As near_duplicates(), with links also between texts whose sets of shingles have at least that Jaccard similarity."""
+def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, like: float = LIKE) -> DataFrame:
+    """As near_duplicates(), with links also between texts whose sets of shingles have at least that Jaccard similarity.
+
+    Also tid, a hash of the text, and first: of the component's rows the least (last: whether doc_id is null, doc_id, tid).
+    """
     scratch = Scratch(docs.sparkSession, "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,23 +256,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, least: flo
 
     read = fill_missing(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("tid"))
     rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>"), "rows")
-    prints = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid"))
+    prints = scratch.cut(rows.groupBy("fp").agg(least_row.alias("least")), "prints")
     roots = scratch.cut(link(prints.select("fp"), scratch, distance), "roots")
     placed = scratch.cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     texts = rows.where("n > 0").select("tid", "fp", "n", "bands").dropDuplicates(["tid"]).join(placed.select("fp", "root"), "fp")
-    placed = _placed(placed, link_alike(texts, docs, scratch, shingle, least))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = scratch.cut(placed.join(ids, "root").select("fp", "component_id"), "ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    placed = _placed(placed, link_alike(texts, docs, scratch, shingle, like))
+    ids = placed.groupBy("root").agg(F.min("least").alias("least"))
+    ids = scratch.cut(placed.join(ids.withColumnRenamed("least", "first"), "root").select("fp", "first"), "ids")
+    return rows.join(ids, "fp").select("doc_id", "tid", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def survivors(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of docs that are their component's smallest doc_id, once each; components without any id keep their rows."""
+    """One row of docs for each component: that of its smallest doc_id, and of the smallest text hash among rows that share it."""
+    key = [F.col("doc_id").isNull().alias("simhash_last"), F.coalesce("doc_id", F.lit(0)).alias("simhash_id"), F.col("tid").alias("simhash_text")]
+    names = ["simhash_last", "simhash_id", "simhash_text"]
     found = near_copies(docs, shingle, distance)
-    keep = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("simhash_id")).distinct()
-    row = docs.select(F.struct("*").alias("simhash_row"), docs["doc_id"].cast("long").alias("simhash_id"))
-    kept = row.join(keep, "simhash_id").dropDuplicates(["simhash_id"]).select("simhash_row.*")
-    lost = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-    if lost.isEmpty():
-        return kept
-    return kept.union(docs.where(docs["doc_id"].isNull()))
+    keep = found.where(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid").eqNullSafe(F.col("first"))).select(*key).distinct()
+    own = docs.select(F.struct("*").alias("simhash_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("tid"))
+    return own.select("simhash_row", *key).join(keep, names).dropDuplicates(names).select("simhash_row.*")
