@@ -6,13 +6,16 @@ use one number, the level (words for a unit of weight), which only rises: target
 
 A source whose target is e times its size takes every document floor(e) times, and once more the documents whose
 seeded hash is at or below a cut. The cut is where the running sum of sizes, in the order of hashes, comes nearest
-to what is left of the target. It is found from sums over 4096 hash ranges for each source, then exactly within the one range
-that holds it, so no source is ever gathered in one task.
+to what is left of the target. It is found from sums over 4096 hash ranges for each source, then over 4096 parts of the one range
+that holds it, then exactly within one part (a 16-millionth of the source), so no source is ever gathered in one task.
+
+The hash is that of doc_id, text and, of rows equal in both, their number among them: rows without ids and repeated rows are drawn one by one.
+Numbers are given within partitions first, so that not even a third of all rows, if they were equal, would meet in one task.
 
 Corner cases: a null or blank text has size 0 and is taken 0 words; its source's null is a source of its own, last in order.
-Rows that share a doc_id (null included) share their hash, so they are taken alike. Sources of equal names are one
-source. An empty table gives an empty table. If the budget exceeds all caps, every source stops at its cap. Extra columns of
-documents are kept by mix() and ignored by plan(); the names that start with "mix_" are used inside.
+Which of the rows that are equal in doc_id and text are taken is open where they differ in other columns; how many is not. Sources of equal names are one
+source. An empty table gives an empty table, documents without a column doc_id, source or text count as if it were null. If the budget exceeds all
+caps, every source stops at its cap. Extra columns of documents are kept by mix(), whatever their names, and ignored by plan().
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.shared import Scratch, fill_missing, word_count
 
-#: Hash ranges of a source: signed 64-bit hashes by their upper 12 bits.
+#: Hash ranges of a source: signed 64-bit hashes by their upper 12 bits, then by the next 12.
 RANGE_BITS = 12
 
 
@@ -59,66 +62,89 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], budg
     return sources.select("source", "source_size", "mix_weight", target.alias("target"))
 
 
-def _hash(doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id.cast("string"))
+def drawn(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """rows(doc_id, text, ...) with mix_hash, by which they are drawn, in place of text: rows equal in doc_id and text get different ones."""
+    keyed = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))).drop("text")
+    twice = scratch.cut(keyed.groupBy("mix_key").agg(F.count("*").alias("n")).where("n > 1").select("mix_key"), "twice")
+    if twice.isEmpty():
+        return keyed.withColumn("mix_hash", F.col("mix_key")).drop("mix_key")
+    alone = keyed.join(twice, "mix_key", "left_anti").withColumn("mix_hash", F.col("mix_key"))
+    some = scratch.cut(keyed.join(twice, "mix_key", "left_semi").withColumn("mix_part", F.spark_partition_id()), "some")
+    sizes = some.groupBy("mix_key", "mix_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("mix_key").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("mix_key", "mix_part", F.coalesce(before, F.lit(0)).alias("mix_start"))
+    own = F.row_number().over(Window.partitionBy("mix_key", "mix_part").orderBy("mix_key"))
+    numbered = some.withColumn("mix_no", own).join(starts, ["mix_key", "mix_part"])
+    numbered = numbered.withColumn("mix_hash", F.xxhash64("mix_key", F.col("mix_start") + F.col("mix_no"))).drop("mix_part", "mix_start", "mix_no")
+    return alone.unionByName(numbered).drop("mix_key")
+
+
+def _digit(level: int) -> Column:
+    """The level-th group of RANGE_BITS bits of mix_hash, from above; the first one with its sign, so that all are in the order of hashes."""
+    top = F.shiftright("mix_hash", 64 - RANGE_BITS * (level + 1))
+    return (top if not level else top.bitwiseAND((1 << RANGE_BITS) - 1)).cast("int")
+
+
+def cuts(keyed: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, mix_cut: up to which hash documents are taken once more, of keyed(source, size, mix_hash) and goal(source, mix_left)."""
+    at = goal.select("source", F.lit(0).cast("long").alias("mix_before"), "mix_left").where("mix_left > 0")
+    within = keyed.select("source", "size", "mix_hash")
+    for level in range(2):
+        sums = within.groupBy("source", _digit(level).alias("mix_digit")).agg(F.sum("size").alias("mix_size"))
+        upto = F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_digit"))
+        sums = sums.withColumn("mix_inner", upto)
+        same = F.col("g.source").eqNullSafe(F.col("s.source"))
+        crossed = sums.alias("s").join(at.alias("g"), same).where("mix_before + mix_inner - mix_size < mix_left AND mix_left <= mix_before + mix_inner")
+        at = scratch.cut(crossed.select("g.source", F.col("mix_digit").alias(f"mix_digit{level}"), *[f"mix_digit{k}" for k in range(level)], (F.col("mix_before") + F.col("mix_inner") - F.col("mix_size")).alias("mix_before"), "mix_left"), f"crossed-{level}")
+        same = F.col("k.source").eqNullSafe(F.col("c.source"))
+        for k in range(level + 1):
+            same &= F.col(f"c.mix_digit{k}") == _digit(k)
+        within = keyed.alias("k").join(at.alias("c"), same).select("k.source", "size", "mix_hash")
+    same = F.col("i.source").eqNullSafe(F.col("c.source"))
+    inside = within.groupBy("source", "mix_hash").agg(F.sum("size").alias("mix_size")).alias("i").join(at.alias("c"), same).select("i.source", "mix_hash", "mix_size", "mix_before", "mix_left")
+    upto = F.col("mix_before") + F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_hash"))
+    near = inside.withColumn("mix_near", upto - F.col("mix_size") / 2 <= F.col("mix_left"))  # with it, the sum is nearer than without
+    floor = F.shiftleft(F.shiftright(F.min("mix_hash"), 64 - 2 * RANGE_BITS), 64 - 2 * RANGE_BITS)  # what lies below the part is taken anyhow
+    cut = near.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("mix_near"), F.col("mix_hash"))), floor - 1).alias("mix_cut"))
+    return scratch.cut(cut, "cuts")
 
 
-def plan(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(sizes as written, draws): sizes has doc_id, source, size; draws has for each source its target and which hashes it takes.
+def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(sizes as written, draws): sizes has doc_id, source, size, mix_hash; draws has for each source its target and which hashes it takes.
 
-    draws: source, source_size, target, mix_whole (repetitions of every document), mix_range and mix_cut (once more, if the
-    hash's range is below mix_range, or is mix_range with the hash at or below mix_cut).
+    draws: source, source_size, target, mix_whole (repetitions of every document), mix_cut (once more up to this hash).
     """
-    scratch = Scratch(sizes.sparkSession, "mix")
-    sizes = scratch.cut(sizes.select("doc_id", "source", "size"), "sizes")
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = fill_missing(docs, doc_id="long", source="string", text="string").withColumn("size", word_count(F.col("text")))
+    sizes = scratch.cut(drawn(rows, seed, scratch).select("doc_id", "source", "size", "mix_hash"), "sizes")
     goal = targets(sizes, scratch, weights, budget, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("mix_whole", whole.cast("int")).withColumn("mix_left", F.col("target") - F.col("mix_whole") * F.col("source_size"))
     goal = scratch.cut(goal, "goal")
-
-    keyed = sizes.where(F.col("size") > 0).select("source", "size", _hash(F.col("doc_id"), seed).alias("mix_hash"))
-    keyed = keyed.withColumn("mix_range", F.shiftright("mix_hash", 64 - RANGE_BITS).cast("int"))
-    sums = keyed.groupBy("source", "mix_range").agg(F.sum("size").alias("mix_size"))
-    upto = F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_range"))
-    sums = sums.withColumn("mix_upto", upto).withColumn("mix_before", F.col("mix_upto") - F.col("mix_size"))
-    same = F.col("g.source").eqNullSafe(F.col("s.source"))
-    crossed = sums.alias("s").join(goal.alias("g"), same).where("mix_before < mix_left AND mix_left <= mix_upto")
-    crossed = scratch.cut(crossed.select("g.source", "mix_range", "mix_before", "mix_left"), "crossed")
-
-    same = F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.mix_range") == F.col("c.mix_range"))
-    inside = keyed.alias("k").join(crossed.alias("c"), same).groupBy("c.source", "c.mix_range", "mix_hash", "mix_before", "mix_left").agg(F.sum("size").alias("mix_size"))
-    upto = F.col("mix_before") + F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_hash"))
-    near = upto - F.col("mix_size") / 2 <= F.col("mix_left")  # with it, the sum is nearer than without
-    cuts = inside.select("source", "mix_range", "mix_hash", near.alias("mix_near")).groupBy("source", "mix_range").agg(F.max(F.when(F.col("mix_near"), F.col("mix_hash"))).alias("mix_cut"))
+    found = cuts(sizes.where("size > 0"), goal, scratch)
     same = F.col("g.source").eqNullSafe(F.col("c.source"))
-    draws = goal.alias("g").join(cuts.alias("c"), same, "left").select("g.source", "source_size", "target", "mix_whole", "mix_range", "mix_cut")
+    draws = goal.alias("g").join(found.alias("c"), same, "left").select("g.source", "source_size", "target", "mix_whole", "mix_cut")
     return sizes, scratch.cut(draws, "draws")
 
 
-def repetitions(doc_id: Column, seed: int) -> Column:
-    """How often a document is taken, from the columns of draws beside it."""
-    h = _hash(doc_id, seed)
-    at = F.shiftright(h, 64 - RANGE_BITS).cast("int")
-    more = (at < F.col("mix_range")) | ((at == F.col("mix_range")) & (h <= F.col("mix_cut")))
-    return F.coalesce(F.col("mix_whole"), F.lit(0)) + F.when(more, 1).otherwise(0)
-
-
-def document_sizes(docs: DataFrame) -> DataFrame:
-    return fill_missing(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def repetitions() -> Column:
+    """How often a document is taken, from mix_hash and the columns of draws beside it."""
+    return F.coalesce(F.col("mix_whole"), F.lit(0)) + F.when(F.col("mix_hash") <= F.col("mix_cut"), 1).otherwise(0)
 
 
 def taken(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: what the mix takes of each document."""
-    sizes, draws = plan(document_sizes(docs), seed=seed, **options)
+    sizes, draws = plan(docs, seed=seed, **options)
     rows = sizes.alias("d").join(draws.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
-    rows = rows.withColumn("copies", repetitions(F.col("doc_id"), seed))
+    rows = rows.withColumn("copies", repetitions())
     return rows.select("doc_id", "d.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (rows without words: as often as their hash says)."""
-    _, draws = plan(document_sizes(docs), seed=seed, **options)
-    own = docs.select(F.struct("*").alias("mix_row"), docs["doc_id"].cast("long").alias("mix_id"), docs["source"].cast("string").alias("mix_source"))
-    rows = own.join(draws, F.col("mix_source").eqNullSafe(F.col("source")), "left").withColumn("mix_copies", repetitions(F.col("mix_id"), seed))
+    _, draws = plan(docs, seed=seed, **options)
+    own = [(docs[c] if c in docs.columns else F.lit(None)).cast(kind).alias(name) for c, kind, name in (("doc_id", "long", "doc_id"), ("source", "string", "mix_source"), ("text", "string", "text"))]
+    rows = drawn(docs.select(F.struct("*").alias("mix_row"), *own), seed, Scratch(docs.sparkSession, "mix-rows"))
+    rows = rows.join(draws, F.col("mix_source").eqNullSafe(F.col("source")), "left").withColumn("mix_copies", repetitions())
     rows = rows.where("mix_copies > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     return rows.select("mix_row.*")
