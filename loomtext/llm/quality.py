@@ -12,11 +12,13 @@
    words (so that the stems of unseen words count), on at most TOXIC_SAMPLE toxic and CLEAN_SAMPLE other labelled documents, those with the smallest
    hashes, with whole texts. Every whole document is scored.
 
-A document is kept if the scorer's probability is at least KEEP, its probability of being toxic is below TOXIC, and it holds no word of the insult list.
+A document is kept if the scorer's probability is at least KEEP and its probability of being toxic is below TOXIC. A short list of insults is one
+of the labellers, weighed like the others; it rejects nothing by itself.
 
 Corner cases: a null or blank text has quality 0 and is not kept. Very long texts are read whole. Repeated rows and rows without doc_id are
 judged like any other; equal texts get equal scores. A corpus in which no labeller ever votes, or an empty one, leaves
 the scorer at its prior. Of labels only the toxic column is read; without labels, or without both kinds of them, no document counts as toxic.
+A column of docs named quality_verdict gives way to judge()'s own; kept() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ KEEP = 0.5
 #: Labelled documents, at most, on which the scorer of toxic vocabulary is fitted, and the probability from which a document is toxic.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
 TOXIC = 0.5
-#: Lengths in bytes of the beginnings of words that it looks at.
-STEMS = (5, 6, 7, 8, 10)
+#: Lengths in bytes of the beginnings of words that it looks at, beside whole words, and the dimensions that these are hashed to.
+STEMS, STEM_DIMENSIONS = (5, 6, 7, 8, 10), 1 << 18
 #: Insults.
 INSULTS = ("clown", "disgusting", "dumb", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 INSULT = re.compile(rb"(?<![a-z0-9_])(?:" + b"|".join(w.encode() for w in INSULTS) + rb")(?![a-z0-9_])")
@@ -110,6 +112,7 @@ def votes(p: Profile) -> str:
         vote(not 0.01 <= f["stops"] <= 0.5, 0.02 <= f["stops"] <= 0.35, 30),
         vote(f["lines"] > 0.4, f["lines"] < 0.2, 20),
         vote(f["distinct"] < 0.15, f["distinct"] > 0.3, 40),
+        vote(p.insults > 0, p.insults == 0, 20),
     ))
 
 
@@ -147,34 +150,34 @@ def hashed(p: Profile) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stems(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(dimensions, values) of the beginnings of a text's words."""
+    """(dimensions, values) of a text's words and their beginnings."""
     data = (text or "").encode("utf-8", "replace")
     starts, ends, sums = hasher.sums(data)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0)
-    found = []
+    found = [_mixed((sums[ends] - sums[starts]) * hasher.back[starts]) % np.uint64(STEM_DIMENSIONS)]
     for n in STEMS:
         at = starts[ends - starts >= n]
-        found.append(_mixed((sums[at + n] - sums[at]) * hasher.back[at] + np.uint64(n)) % np.uint64(DIMENSIONS))
+        found.append(_mixed((sums[at + n] - sums[at]) * hasher.back[at] + np.uint64(n)) % np.uint64(STEM_DIMENSIONS))
     seen, times = np.unique(np.concatenate(found), return_counts=True)
     return seen.astype(np.int64), np.sqrt(times / len(starts)) * 0.5
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer for soft labels, by full gradients with adaptive steps."""
-    weights, bias = np.zeros(DIMENSIONS), 0.0
+    weights, bias = np.zeros(dimensions), 0.0
     if not rows:
         return weights, bias
     at, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    first, second, of_bias = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), [0.0, 0.0]
+    first, second, of_bias = np.zeros(dimensions), np.zeros(dimensions), [0.0, 0.0]
     # Both classes weigh the same, however rare one is.
     share = np.clip(labels.mean(), 0.02, 0.98)
     importance = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
     for k in range(1, rounds + 1):
         z = np.bincount(row, values * weights[at], len(rows)) + bias
         error = (1 / (1 + np.exp(-z)) - labels) * importance / len(rows)
-        slope = np.bincount(at, values * error[row], DIMENSIONS) + decay * weights
+        slope = np.bincount(at, values * error[row], dimensions) + decay * weights
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         of_bias = [0.9 * of_bias[0] + 0.1 * error.sum(), 0.999 * of_bias[1] + 0.001 * error.sum() ** 2]
         warm = 1 - 0.9**k, 1 - 0.999**k
@@ -256,7 +259,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] |
     picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
     if picked["toxic"].nunique() < 2:
         return None
-    weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["toxic"].to_numpy(float))
+    weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["toxic"].to_numpy(float), STEM_DIMENSIONS)
     return weights.astype(np.float32), bias
 
 
@@ -272,7 +275,7 @@ def judge(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP, labels: Dat
         for text in texts:
             p = profile(text, hasher)
             quality, cast, toxic = model.quality(p), votes(p), model.toxic(text, hasher)
-            out.append((quality, model.posteriors.get(cast, 0.5), cast, p.insults, toxic, quality >= keep and toxic < TOXIC and not p.insults and len(p.words) > 0))
+            out.append((quality, model.posteriors.get(cast, 0.5), cast, p.insults, toxic, quality >= keep and toxic < TOXIC and len(p.words) > 0))
         return pd.DataFrame(out, columns=["quality", "labels", "votes", "insults", "toxic", "keep"])
 
     return docs.withColumn("quality_verdict", verdict(docs["text"].cast("string")))
