@@ -18,9 +18,10 @@ import hashlib
 import heapq
 import json
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a word is merged by repeated scans.
 LONG_WORD = 128
-#: Pieces kept in a worker's table of pieces already encoded; it is emptied when full.
+#: Pieces in a worker's table of pieces already encoded; when it is full, it takes the place of an older one of that size.
 KEPT = 150_000
 #: Words merged at once, and characters of texts encoded at once.
 BLOCK, CHARS = 20_000, 1_000_000
@@ -44,6 +45,11 @@ ONLY_LATIN = re.compile(f"[\x00-\x1b\x20-\x7f{LATIN}]*")
 LATIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: A space that starts a piece only if no white space follows.
 WIDE_SPACE = re.compile(r" (?:\s|$)")
+#: Signs that end a word of letters and are a word of their own.
+SIGNS = frozenset(string.punctuation)
+
+#: What is kept of a piece: its ids in decimal with a comma before each, and the bytes they stand for.
+Entry = tuple[str, bytes]
 
 
 def byte_letters() -> dict[int, str]:
@@ -103,37 +109,40 @@ class Encoder:
             self.bytes_of_id[i] = bytes(bytes_of[c] for c in token)
         for token, i in special.items():
             self.bytes_of_id[i] = token.encode()
-        self.decimal = [str(i) for i in range(len(self.bytes_of_id))]
+        #: id -> itself in decimal, after a comma
+        self.decimal = [f",{i}" for i in range(len(self.bytes_of_id))]
         self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in spec["model"]["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int32) for k in (0, 1))
         self.ranks = Ranks(left, right)
+        both = np.indices((256, 256), np.int32).reshape(2, -1)
+        #: ranks of pairs of single bytes
+        self.byte_ranks = self.ranks.of(self.first[both[0]], self.first[both[1]]).reshape(256, 256)
         #: rank -> id of the merged token
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.special = special
         self.splitter = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.signs = {c: self._entry([vocab[c]]) for c in SIGNS}
         self.unicode_words = regex.compile(PATTERN)
-        #: Pieces already encoded: at the start of a text, and after a space.
-        self.known: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        #: Pieces already encoded: at the start of a text, and after a space; and those met before the last KEPT ones.
+        self.known: list[dict[str, Entry]] = [{}, {}]
+        self.older: list[dict[str, Entry]] = [{}, {}]
 
     def words(self, text: str) -> list[str]:
         return LATIN_PATTERN.findall(text) if ONLY_LATIN.fullmatch(text) else self.unicode_words.findall(text)
 
-    def merge(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def merge(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """The ids of distinct words: short ones in blocks of like length, long ones each by itself."""
-        coded = sorted(((w.encode("utf-8"), w) for w in words), key=lambda x: len(x[0]))
-        out: dict[str, list[int]] = {}
-        while coded and len(coded[-1][0]) > LONG_WORD:
-            b, w = coded.pop()
-            out[w] = self._heap(self.first[np.frombuffer(b, np.uint8)].tolist())
+        coded = sorted(words, key=len)
+        out: dict[bytes, list[int]] = {}
+        while coded and len(coded[-1]) > LONG_WORD:
+            b = coded.pop()
+            out[b] = self._heap(self.first[np.frombuffer(b, np.uint8)].tolist())
         start = 0
         while start < len(coded):
-            most = len(coded[start][0]) * 5 // 4 + 1
-            end = start
-            while end < len(coded) and end - start < BLOCK and len(coded[end][0]) <= most:
-                end += 1
-            for (_, w), ids in zip(coded[start:end], self._scan([b for b, _ in coded[start:end]]), strict=True):
-                out[w] = ids
+            most = len(coded[start]) * 5 // 4 + 1
+            end = min(start + BLOCK, bisect_right(coded, most, start, key=len))
+            out.update(zip(coded[start:end], self._scan(coded[start:end]), strict=True))
             start = end
         return out
 
@@ -145,9 +154,11 @@ class Encoder:
         """
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
-        parts = self.first[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)]
-        parts[np.arange(width) >= lengths[:, None]] = -1
-        rows, out, ranks = np.arange(len(words)), [[]] * len(words), self._pairs(parts)
+        codes = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        beyond = np.arange(width) >= lengths[:, None]
+        parts, ranks = self.first[codes], self.byte_ranks[codes[:, :-1], codes[:, 1:]]
+        parts[beyond], ranks[beyond[:, 1:]] = -1, NONE
+        rows, out = np.arange(len(words)), [[]] * len(words)
         while True:
             at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
             least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE, np.int32)
@@ -159,21 +170,17 @@ class Encoder:
                 rows, parts, ranks, at, least = rows[live], parts[live], ranks[live], at[live], least[live]
                 if not len(rows):
                     return out
-            each = np.arange(len(rows))
-            parts[each, at] = self.merged[least]
-            column = np.arange(parts.shape[1] - 1)
-            parts = np.take_along_axis(parts, column + (column > at[:, None]), 1)
-            column = column[:-1]
-            ranks = np.take_along_axis(ranks, column + (column >= at[:, None]), 1)
-            if ranks.shape[1]:
+            n, width = parts.shape
+            parts[np.arange(n), at] = self.merged[least]
+            column = np.arange(width)
+            parts = parts[column != at[:, None] + 1].reshape(n, width - 1)
+            ranks = ranks[column[:-1] != at[:, None]].reshape(n, width - 2)
+            if width > 2:
                 k = np.flatnonzero(at > 0)
                 ranks[k, at[k] - 1] = self.ranks.of(parts[k, at[k] - 1], parts[k, at[k]])
-                k = np.flatnonzero(at < ranks.shape[1])
+                k = np.flatnonzero(at < width - 2)
                 ranks[k, at[k]] = self.ranks.of(parts[k, at[k]], parts[k, at[k] + 1])
 
-    def _pairs(self, parts: np.ndarray) -> np.ndarray:
-        return self.ranks.of(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(parts), parts.shape[1] - 1)
-
     def _heap(self, parts: list[int]) -> list[int]:
         n, left = len(parts), np.array(parts, np.int32)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -207,8 +214,46 @@ class Encoder:
         head, *rest = text.split(" ")
         return [(0, [head] if head else []), (1, rest)]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of texts that fit into memory together."""
+    def _entry(self, ids: list[int]) -> Entry:
+        return "".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.bytes_of_id.__getitem__, ids))
+
+    def _learn(self, k: int, new: list[str]) -> None:
+        """Encodes pieces not met so far into the table k.
+
+        A piece of letters alone is one word, and letters with a sign at the end are two; only other pieces need the pattern.
+        """
+        known, older, space = self.known[k], self.older[k], b" " if k else b""
+        whole: list[str] = []
+        signed: list[str] = []
+        others: dict[str, list[bytes]] = {}
+        for p in new:
+            if found := older.get(p):
+                known[p] = found
+            elif p.isalpha():
+                whole.append(p)
+            elif p[:-1].isalpha() and p[-1] in SIGNS:
+                signed.append(p)
+            else:
+                others[p] = [w.encode() for w in self.words(" " + p if k else p)]
+        known.update(self._merged(whole, [space + p.encode() for p in whole]))
+        bare = list({p[:-1] for p in signed})
+        found = {p: known.get(p) or older.get(p) for p in bare}
+        bare = [p for p in bare if not found[p]]
+        found.update(self._merged(bare, [space + p.encode() for p in bare]))
+        for p in signed:
+            word, sign = found[p[:-1]], self.signs[p[-1]]
+            known[p] = word[0] + sign[0], word[1] + sign[1]
+        ids = self.merge({w for ws in others.values() for w in ws})
+        for p, ws in others.items():
+            known[p] = self._entry([i for w in ws for i in ids[w]])
+
+    def _merged(self, pieces: list[str], words: list[bytes]) -> Iterator[tuple[str, Entry]]:
+        """Pieces that are a word each, with their entries."""
+        ids = self.merge(words)
+        return ((p, self._entry(ids[w])) for p, w in zip(pieces, words, strict=True))
+
+    def entries(self, texts: list[str]) -> Iterator[list[Entry]]:
+        """Each text, of those that fit into memory together, as the entries of its pieces in order."""
         cut: list[list] = []
         for text in texts:
             own, at = [], 0
@@ -216,43 +261,61 @@ class Encoder:
                 own += [*self._cut(text[at : m.start()]), self.special[m[0]]] if m.start() > at else [self.special[m[0]]]
                 at = m.end()
             cut.append(own + self._cut(text[at:]) if at < len(text) else own)
-        for known in self.known:
-            if len(known) > KEPT:
-                known.clear()
-        new = tuple(set().union(*(x[1] for own in cut for x in own if isinstance(x, tuple) and x[0] == k)) - self.known[k].keys() for k in (0, 1))
-        if new[0] or new[1]:
-            found = [{p: self.words(" " + p if k else p) for p in new[k]} for k in (0, 1)]
-            ids = self.merge(set().union(*found[0].values(), *found[1].values()))
-            for k in (0, 1):
-                self.known[k].update((p, tuple(ids[words[0]]) if len(words) == 1 else tuple(i for w in words for i in ids[w])) for p, words in found[k].items())
+        for k in (0, 1):
+            if len(self.known[k]) > KEPT:
+                self.older[k], self.known[k] = self.known[k], {}
+            met = set().union(*(x[1] for own in cut for x in own if isinstance(x, tuple) and x[0] == k))
+            self._learn(k, [p for p in met if p not in self.known[k]])
         known = [x.__getitem__ for x in self.known]
-        out = []
         for own in cut:
-            ids = []
+            found: list[Entry] = []
             for x in own:
-                ids.append(x) if isinstance(x, int) else ids.extend(chain.from_iterable(map(known[x[0]], x[1])))
-            out.append(ids)
-        return out
+                found.append(self._entry([x])) if isinstance(x, int) else found.extend(map(known[x[0]], x[1]))
+            yield found
 
-    def encode_each(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
-        """The ids of each text (null: none), in order, CHARS characters of texts at a time."""
+    def entries_each(self, texts: Iterable[str | None]) -> Iterator[list[Entry]]:
+        """The entries of each text (null: none), in order, CHARS characters of texts at a time."""
         held, size = [], 0
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
             if size >= CHARS:
-                yield from self.encode_all(held)
+                yield from self.entries(held)
                 held, size = [], 0
         if held:
-            yield from self.encode_all(held)
+            yield from self.entries(held)
+
+    def encode_each(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """The ids of each text (null: none), in order."""
+        for found in self.entries_each(texts):
+            yield ids_of(decimals_of(found)).tolist()
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_all([text or ""])[0]
+        return next(self.encode_each([text]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of_id.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def decimals_of(found: list[Entry]) -> str:
+    """The ids in decimal, joined by commas."""
+    return "".join([x[0] for x in found])[1:]
+
+
+def ids_of(decimals: str) -> np.ndarray:
+    return np.fromstring(decimals, np.int32, sep=",") if decimals else np.zeros(0, np.int32)
+
+
+def decoded_of(found: list[Entry]) -> bytes:
+    """The text that the ids stand for, in UTF-8: the pieces' bytes, each made from its ids, one after the other."""
+    whole = b"".join([x[1] for x in found])
+    try:
+        whole.decode("utf-8")
+    except UnicodeDecodeError:
+        return whole.decode("utf-8", "replace").encode("utf-8")
+    return whole
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -289,21 +352,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids).
 
-    The ids of a row are made and digested in the worker that reads it; they never travel.
+    The ids of a row are made, decoded and digested in the worker that reads it; with_ids returns them too, as ids array<int>.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for ids in enc.encode_each(t.as_py() for t in batch.column(1)):
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(enc.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, of_ids, of_text, ids = [], [], [], []
+            for found in enc.entries_each(t.as_py() for t in batch.column(1)):
+                decimals = decimals_of(found)
+                counts.append(decimals.count(",") + bool(decimals))
+                of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
+                of_text.append(hashlib.sha256(decoded_of(found)).hexdigest())
+                if with_ids:
+                    ids.append(ids_of(decimals))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
     columns = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    return docs.select(*columns).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
