@@ -73,6 +73,18 @@ def test_mixing(spark):
     assert mixing.taken(docs(spark, [(1, None, None)])).first()["target"] == 0.0
 
 
+def test_mixing_rows_without_ids_and_repeats(spark):
+    rows = [(None, prose(i, 10), "a") for i in range(400)] + [(5, "the very same text of eight words here", "b")] * 600 + [(i, prose(i, 10), "c") for i in range(600)]
+    odd = docs(spark, rows).withColumn("mix_row", F.lit(1)).withColumn("mix_hash", F.lit("x"))
+    found = mixing.taken(odd).collect()
+    for s in "abc":
+        own = [r for r in found if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10 and all(r["taken"] <= 2 * r["size"] for r in own), s
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r["copies"] for r in found)
+    assert mixing.mix(docs(spark, rows).drop("doc_id", "source")).columns == ["text", "lang", "n_chars", "count", "hash"]
+
+
 # 2 BPE
 
 
@@ -129,12 +141,16 @@ def test_spans(spark):
     passage = "This is a passage of many words. It stands in more than one place of the tables, word for word. And it ends here with a last sentence!"
     rows = [(i, f"{prose(i, 12)} start {i}. {passage} {prose(i + 50, 9)}.\nLast line {i}", "s") for i in range(1, 6)]
     rows += [(10, passage + " " + passage, "s"), (11, "Short. Line.", "s"), (12, "Short. Line.", "s"), (13, "", "s"), (14, prose(9, 400), "s")]
-    found = {r["doc_id"]: r for r in spans.remove_repeats(docs(spark, rows)).collect()}
+    found = {r["doc_id"]: r for r in spans.remove_repeats(docs(spark, rows), report="count").collect()}
     assert {i: r["text"] for i, r in found.items()} == left_over([(i, t) for i, t, _ in rows], spans.SENTENCES, spans.MIN_WORDS)
-    assert passage in found[1]["text"] and "It stands in more" not in found[2]["text"] and found[11]["span_removed"] == 0
+    assert passage in found[1]["text"] and "It stands in more" not in found[2]["text"] and found[11]["count"]["removed"] == 0 and found[2]["count"]["words"] > 15
     odd = spans.remove_repeats(docs(spark, [(1, None, None), (None, passage, "s"), (3, passage, "s"), (3, passage, "s")])).collect()
     assert [r["text"] for r in odd if r["doc_id"] is None] == [""] and all(r["text"] == passage for r in odd if r["doc_id"] == 3)
     assert spans.remove_repeats(docs(spark, [])).count() == 0
+    clash = docs(spark, rows).withColumns({c: F.lit(7) for c in ("span_row", "span_text", "cover", "span_removed", "span_rest", "id_1")})
+    kept = spans.remove_repeats(clash)
+    assert kept.columns == clash.columns and {r["span_removed"] for r in kept.collect()} == {7}
+    assert spans.remove_repeats(clash, report="cover").first()["cover"]["removed"] is not None
     for text in ("a. b", "x.\n\ny! \"z\" ...", "no end", "\n\n", "1.5 is a number. e.g. this"):
         assert "".join(spans.sentences(text)) == text
 
@@ -163,6 +179,15 @@ def test_urls(spark):
     assert urls.judge(pages.where("false")).count() == 0
 
 
+def test_url_vocabulary(spark):
+    terms = spark.createDataFrame([("Wette", 0.4, "de"), ("bet", 0.4, "en"), ("bet", 0.3, None), ("gratis", 0.6, None), ("", 1.0, None), (None, 1.0, None), ("x", None, None), ("pokies", 1.0, None)], "term string, weight double, locale string")
+    assert urls.vocabulary(terms, ("de",)) == (("bet", 0.3), ("gratis", 0.6), ("pokies", 1.0), ("wette", 0.4))
+    weights = urls.vocabulary(terms)
+    pages = spark.createDataFrame([(0, "http://a/wette"), (1, "http://a/wette-gratis"), (2, "http://a/bet/wette"), (3, "http://a/pokies"), (4, "http://a/gratis.gratis")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, weights).collect()} == {0: "allow", 1: "block", 2: "allow", 3: "block", 4: "allow"}
+    assert urls.judge(pages, ()).where("verdict = 'block'").count() == 0
+
+
 # 5 packing
 
 
@@ -197,6 +222,21 @@ def test_packing(spark):
     assert len(packing.padded(b"\x01\x00", "<u2", 4, 9)) == 4
 
 
+def test_packing_of_long_gaps(spark):
+    path = bpe.vocabulary("byte_bpe_50k.tiktoken")
+    enc = packing.vocabulary(path)
+    for text in ("a" + " " * 5000 + "b c", " " * 3000, "\n" * 2000 + "x", "x \u3000" * 900 + " end " + "\t" * 1500 + "\n", "\x1c" * 2000 + " y"):
+        assert packing.encoded(text, path).tolist() == enc.encode(text, disallowed_special=())
+    long = " " * 2_000_000
+    packed = packing.pack(docs(spark, [(1, long, "s"), (2, "a" + long + "b", "s")]), path).collect()
+    back = {}
+    for row in packed:
+        ids, cu = np.frombuffer(row["input_ids"], "<u2"), row["cu_seqlens"]
+        for a, b, d, o in zip(cu, cu[1:], row["doc_ids"], row["offsets"], strict=False):
+            back.setdefault(d, []).append((o, ids[a:b]))
+    assert {d: enc.decode(np.concatenate([x for _, x in sorted(ps, key=lambda p: p[0])]).tolist()) for d, ps in back.items()} == {1: long, 2: "a" + long + "b"}
+
+
 # 6 sketches
 
 
@@ -218,6 +258,32 @@ def test_sketch_estimates():
         assert merged.hashes.tolist() == whole.hashes[: len(merged.hashes)].tolist() and len(merged.hashes) >= min(len(whole.hashes), int(np.searchsorted(whole.hashes, np.uint64(below))))
 
 
+def test_sketch_error_on_both_sides_of_least():
+    """Mean errors of likeness below and above the length at which the fraction alone keeps LEAST hashes, with LEAST and without."""
+    hasher, below = sketch.Hasher(5), sketch.threshold(sketch.FRACTION)
+    error = {}
+    for n in (60, 300, 500, 600, 2000):
+        for least in (0, sketch.LEAST):
+            found = []
+            for seed in range(30):
+                words = prose(seed, n).split()
+                other = words[: n * 3 // 4] + prose(seed + 99, n // 4).split()
+                x, y = (sketch.sketch(" ".join(w), hasher, below, least) for w in (words, other))
+                u, v = true_sets(" ".join(words)), true_sets(" ".join(other))
+                found.append(abs(sketch.likeness(x, y) - len(u & v) / len(u | v)))
+            error[n, least] = np.mean(found)
+    assert all(e < 0.1 for (n, least), e in error.items() if least) and error[60, 0] > error[60, sketch.LEAST] and abs(error[2000, 0] - error[2000, sketch.LEAST]) < 1e-9
+
+
+def test_sketch_ranges(spark):
+    """Rows without id and an id of a third of all rows are dealt to many ranges, each row with one following."""
+    rows = [(None, f"n{i}", "s") for i in range(300)] + [(50, f"h{i}", "s") for i in range(300)] + [(i, f"t{i}", "s") for i in range(100, 400)] + [(7, "same", "s")] * 3
+    dealt = sketch.with_next(docs(spark, rows), 64)
+    sizes = {r["part"]: r["n"] for r in dealt.where("NOT guest").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 60
+    assert sketch.compare_edited(docs(spark, rows)).count() == len(rows)
+
+
 def test_sketch_query(spark):
     texts = [(5, prose(5, 300), "s"), (1, prose(1, 40), "s"), (9, None, "s"), (3, "Ab cd", "s"), (7, "aB Cd", "s"), (20, "x", "s"), (21, "", "s"), (30, prose(5, 300), "s"), (-4, "é" * 5000, "s")]
     found = sketch.compare_edited(docs(spark, texts)).collect()
@@ -231,6 +297,8 @@ def test_sketch_query(spark):
         assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest(), i
         x, y = true_sets(t), true_sets(edited)
         assert abs(rows[i]["near_edited"] - (len(x & y) / len(x | y) if x | y else 1.0)) < 0.25
+        z = true_sets(u)
+        assert abs(rows[i]["near_next"] - (len(x & z) / len(x | z) if x | z else 1.0)) < 0.25
     assert rows[5]["fingerprint"] == rows[30]["fingerprint"] and rows[3]["fingerprint"] == rows[7]["fingerprint"]
     assert sketch.compare_edited(docs(spark, [(1, "alone here", "s")])).first()["near_next"] == 1.0
     assert sketch.compare_edited(docs(spark, [])).count() == 0
@@ -314,6 +382,27 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_survivors_of_repeated_and_missing_ids(spark):
+    a, b = prose(1, 40), prose(2, 40)
+    keep = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash.survivors(docs(spark, [(i, t, "s") for i, t in rows])).collect()), key=str)
+    assert keep([(1, a), (1, b)]) == sorted([(1, a), (1, b)], key=str)
+    assert keep([(1, a), (None, a), (None, b)]) == sorted([(1, a), (None, b)], key=str)
+    assert keep([(None, a), (None, a), (None, b), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert keep([(3, a), (2, a), (2, a), (5, None), (4, None)]) == sorted([(2, a), (4, None)], key=str)
+
+
+def test_pivot_table(spark):
+    """No near pair is discarded, and nearly all far ones are; more blocks give the same components."""
+    r = random.Random(4)
+    prints = [r.getrandbits(64) for _ in range(300)]
+    pairs = [(simhash.signed(x), simhash.signed(y)) for x in prints for y in (r.choice(prints), x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))]
+    found = simhash.discards(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "x long, y long")).first()
+    assert found["pairs"] - found["near"] >= found["by_all"] >= 0.99 * (found["pairs"] - found["near"]) and found["near"] >= 290
+    table = spark.createDataFrame([(x,) for p in pairs for x in p], "fp long").distinct()
+    six, eight = (sorted(map(tuple, simhash.link(table, Scratch(spark, "t"), 4, n).collect())) for n in (6, 8))
+    assert six == eight and len(six) >= 590
+
+
 def test_simhash_links(spark):
     """Dense clusters, chains and far pairs, over many random fingerprints."""
     r = random.Random(8)
@@ -371,6 +460,10 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.Index(few).search(few.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()] == [(0, 1, 20), (0, 2, 3), (20, 1, 0), (20, 2, 3)]
     assert neighbours.Index(few.where("false")).search(few).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.5, 0.0, 0.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.Index(mixed).search(mixed.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (3, 0.5), (2, 0.0)]
+    short = neighbours.Index(mixed.where("vec_id BETWEEN 1 AND 2")).search(mixed.where("vec_id IN (0, 3)")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in short] == [(0, 1, 1.0), (0, 2, 0.0), (3, 1, 0.5), (3, 2, 0.0)]
 
 
 # 10 quality
@@ -397,7 +490,7 @@ def test_quality(spark):
     for x in quality.judge(docs(spark, good + bad + odd)).collect():
         rows.setdefault(x["doc_id"], x["quality_verdict"])
     assert sum(rows[i]["keep"] for i, _, _ in good) >= 0.98 * len(good) and sum(not rows[i]["keep"] for i, _, _ in bad) >= 0.95 * len(bad)
-    assert not rows[700]["keep"] and not rows[701]["keep"] and not rows[702]["keep"] and rows[None]["keep"] and rows[703]["keep"]
+    assert not rows[700]["keep"] and not rows[701]["keep"] and rows[None]["keep"] and rows[703]["keep"] and rows[702]["insults"] == 1
     assert rows[700]["quality"] == 0.0
     kept = quality.kept(docs(spark, good + bad + odd))
     assert kept.columns == docs(spark, good[:1]).columns and kept.where("doc_id = 700").count() == 0
