@@ -15,7 +15,7 @@ Step 3 looks at every pair that steps 1 and 2 have not joined already, so the co
 
 near_copies() (and survivors(), which the pipeline uses) also links texts whose sets of shingles have a Jaccard similarity of LIKE or more. Texts
 are filed under bands of their smallest shingle hashes, in files that hold more than one component they are compared with the file's
-pivot, then with each other; what sizes and fingerprints leave is verified on whole texts. Bands miss about 1 in 100,000 pairs at LIKE.
+pivot, then with each other; what sizes, fingerprints and the minima themselves leave is verified on whole texts. Bands miss about 1 in 100,000 pairs at LIKE.
 
 Corner cases: null and blank texts have fingerprint zero and are linked like any other; a text with fewer words than a shingle is
 one shingle; repeated rows and ids are linked with themselves. A null doc_id takes part, but is never the smallest id unless its
@@ -54,6 +54,8 @@ BANDS, BAND = 16, 3
 ORDERS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(ODD))
 #: Texts at LIKE differ in about 10 fingerprint bits, with a standard deviation of 3; pairs beyond these bits are not verified.
 FAR = 24
+#: Of the BANDS * BAND minima, two texts at LIKE share 38 on average, with a standard deviation of 3; pairs that share fewer than this are not verified.
+SHARED = 22
 
 
 def signed(x: int) -> int:
@@ -164,10 +166,10 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """BANDS hashes of a text's distinct shingle hashes, each of the least ones in BAND orders; none of a text without words."""
+def minima(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, least): BANDS hashes of a text's distinct shingle hashes, each of the least ones in BAND orders, and 16 bits of each least one; none of a text without words."""
     if not len(shingles):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
     least = np.full(len(ORDERS), np.uint64((1 << 64) - 1))
     for k in range(0, len(shingles), CHUNK // 8):
         part = shingles[k : k + CHUNK // 8]
@@ -175,7 +177,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     out = np.zeros(BANDS, np.uint64)
     for column in least.reshape(BANDS, BAND).T:
         out = _mixed(out * np.uint64(ODD) + column)
-    return out.view(np.int64)
+    return out.view(np.int64), _mixed(least).astype(np.uint16).view(np.int16)
 
 
 def likeness(a: str | None, b: str | None, hasher: Hasher) -> float:
@@ -209,17 +211,21 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
-    """node, root of the roots in rows(tid, fp, root, n, bands; a row each text) that texts of at least that likeness join."""
+    """node, root of the roots in rows(tid, fp, root, n, bands, least; a row each text) that texts of at least that likeness join."""
     filed = rows.select("tid", "fp", "root", "n", F.posexplode("bands").alias("k", "part"))
+    signs = rows.select("tid", F.col("least").alias("sign"))
 
     def near(a: str, b: str) -> Column:
+        """What two texts at LIKE fulfil, cheapest first; it is part of the joins, so that only pairs worth a look leave them."""
         sizes = (F.col(f"{a}n") >= least * F.col(f"{b}n")) & (F.col(f"{b}n") >= least * F.col(f"{a}n"))
-        return sizes & (_differ(F.col(f"{a}fp"), F.col(f"{b}fp")) <= FAR)
+        same = F.size(F.filter(F.zip_with(f"{a}sign", f"{b}sign", lambda x, y: x == y), lambda x: x))
+        return sizes & (_differ(F.col(f"{a}fp"), F.col(f"{b}fp")) <= FAR) & (same >= SHARED)
 
     pivot = F.min(F.struct("tid", "fp", "root", "n")).alias("pivot")
     mixed = filed.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low <> high")
     mixed = mixed.select("k", "part", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("tid", "fp", "root", "n")])
-    rest = scratch.cut(filed.join(mixed, ["k", "part"]), "alike-rest")
+    mixed = mixed.join(signs.select(F.col("tid").alias("pivot_tid"), F.col("sign").alias("pivot_sign")), "pivot_tid")
+    rest = scratch.cut(filed.join(mixed, ["k", "part"]).join(signs, "tid"), "alike-rest")
     stars = rest.where((F.col("root") != F.col("pivot_root")) & near("", "pivot_"))
     stars = stars.select(F.col("pivot_tid").alias("a"), F.col("tid").alias("b"), F.col("pivot_root").alias("u"), F.col("root").alias("v"))
     first = scratch.cut(components(_alike(stars, docs, scratch, "stars-alike", shingle, least), scratch, "alike-stars"), "alike-first")
@@ -227,10 +233,11 @@ def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int,
     # Pairs with the pivot are settled; what is left are the other pairs of files that still hold more than one component.
     left = _placed(rest, first)
     mixed = left.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "part")
-    left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("k", "part", "tid", "fp", "root", "n")
+    left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("k", "part", "tid", "fp", "root", "n", "sign")
     left = scratch.cut(left, "alike-left")
-    one, other = (left.select("k", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "fp", "root", "n")]) for x in "ab")
-    pairs = one.join(other, ["k", "part"]).where((F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
+    one, other = (left.select("k", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "fp", "root", "n", "sign")]) for x in "ab")
+    same_file = (one["k"] == other["k"]) & (one["part"] == other["part"])
+    pairs = one.join(other, same_file & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
     pairs = pairs.select(F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), F.col("a_root").alias("u"), F.col("b_root").alias("v"))
     second = scratch.cut(components(_alike(pairs, docs, scratch, "pairs-alike", shingle, least), scratch, "alike-pairs"), "alike-second")
 
@@ -251,16 +258,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, like: floa
             texts = [t.as_py() for t in batch.column(1)]
             sets = [np.unique(hasher.shingles((t or "").encode("utf-8", "replace"))) for t in texts]
             columns = [pa.array([signed(fingerprint(t, shingle)) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
-            columns += [batch.column(2), pa.array([minima(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "tid", "bands"])
+            least = [minima(x) for x in sets]
+            columns += [batch.column(2), pa.array([b for b, _ in least], pa.list_(pa.int64())), pa.array([x for _, x in least], pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "tid", "bands", "least"])
 
     read = fill_missing(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>"), "rows")
+    rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>, least array<short>"), "rows")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid"))
     prints = scratch.cut(rows.groupBy("fp").agg(least_row.alias("least")), "prints")
     roots = scratch.cut(link(prints.select("fp"), scratch, distance), "roots")
     placed = scratch.cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
-    texts = rows.where("n > 0").select("tid", "fp", "n", "bands").dropDuplicates(["tid"]).join(placed.select("fp", "root"), "fp")
+    texts = rows.where("n > 0").select("tid", "fp", "n", "bands", "least").dropDuplicates(["tid"]).join(placed.select("fp", "root"), "fp")
     placed = _placed(placed, link_alike(texts, docs, scratch, shingle, like))
     ids = placed.groupBy("root").agg(F.min("least").alias("least"))
     ids = scratch.cut(placed.join(ids.withColumnRenamed("least", "first"), "root").select("fp", "first"), "ids")
