@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Gives the tokens of a text column as an array column, for instance a pandas UDF around a morphological analyzer.
+Analyzer = Callable[[Column], Column]
 
 
 def strip(text: Column) -> Column:
@@ -20,7 +22,7 @@ def strip_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\s*\r?\n.*?\r?\n---\s*(?:\r?\n|\z)", "")
 
 
-def tokenize(text: Column, analyzer: Callable[[Column], Column] | None = None) -> Column:
+def tokenize(text: Column, analyzer: Analyzer | None = None) -> Column:
     """Lower-cased words of two or more characters; an analyzer's tokens where it gives any."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), 1)
     plain = F.filter(F.transform(words, F.lower), lambda x: F.length(x) > 1)
@@ -30,9 +32,9 @@ def tokenize(text: Column, analyzer: Callable[[Column], Column] | None = None) -
     return F.when(F.size(own) > 0, own).otherwise(plain)
 
 
-def query_tokens(query: Column) -> Column:
+def query_tokens(query: Column, analyzer: Analyzer | None = None) -> Column:
     """Tokens of a query; of one without any, its blank-separated parts in lower case."""
-    tokens = tokenize(query)
+    tokens = tokenize(query, analyzer)
     parts = F.filter(F.split(F.lower(query), r"\s+"), lambda x: x != "")
     return F.when(F.size(tokens) > 0, tokens).otherwise(parts)
 
@@ -55,16 +57,16 @@ def spaced(text: Column) -> Column:
     return F.translate(text, "_-", "  ")
 
 
-def basename_tokens(path: Column) -> Column:
-    return tokenize(spaced(stem(path)))
+def basename_tokens(path: Column, analyzer: Analyzer | None = None) -> Column:
+    return tokenize(spaced(stem(path)), analyzer)
 
 
-def directory_tokens(path: Column) -> Column:
-    return tokenize(spaced(F.translate(folder(path), "/", " ")))
+def directory_tokens(path: Column, analyzer: Analyzer | None = None) -> Column:
+    return tokenize(spaced(F.translate(folder(path), "/", " ")), analyzer)
 
 
-def heading_tokens(heading_path: Column) -> Column:
-    return tokenize(F.array_join(heading_path, " "))
+def heading_tokens(heading_path: Column, analyzer: Analyzer | None = None) -> Column:
+    return tokenize(F.array_join(heading_path, " "), analyzer)
 
 
 def embedding_text(title: Column, heading_path: Column, content: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.grounding import note_markdown
+from loomtext.sources.scratch import Scratch
 
 DEFAULT_FOLDER = "AI-Chats"
 DEFAULT_TITLE = "대화"
@@ -65,22 +66,49 @@ def recent_window(messages: DataFrame, most: int = 8) -> DataFrame:
 
 
 def plan_note_paths(drafts: DataFrame, existing: DataFrame, folder: str = "Notes", most: int = 1000) -> DataFrame:
-    """draft_id, path, body of drafts(draft_id, title, text, created): titles from a leading heading, paths that are free.
+    """draft_id, path, body, status of drafts(draft_id, title, text, created): titles from a leading heading, paths that nothing has.
 
-    Path T.md, T 1.md, ... of a title are taken in order by its drafts. The taken numbers of a title are one bounded set.
+    A title's drafts take the first free ones of T.md, T 1.md, ... T {most}.md in order of draft_id; no path in existing(path) and none of another draft is
+    taken. Where titles differ but paths clash ("T 1" and the second "T"), the draft with the least id keeps the path, and the others look again in the next
+    round; each round settles at least the first draft that waits. A draft for which nothing is left has no path and status no_free_path. Of a title no more
+    than most + 1 drafts can have a path, so no more are ever sorted, however many there are.
     """
     text = F.regexp_replace("text", r"\A\s+", "")
     heading = F.regexp_extract(text, r"\A#\s+([^\n]+?)\s*(?:\n|\z)", 1)
     body = F.when(heading != "", F.regexp_replace(text, r"\A#\s+[^\n]*\n?\s*", "")).otherwise(F.col("text"))
     stamped = F.when(body.startswith("---\n"), body).otherwise(F.concat(F.lit("---\ncreated: "), F.col("created").cast("string"), F.lit("\n---\n\n"), body))
-    titled = drafts.select("draft_id", history_title(F.when(heading != "", heading).otherwise(F.col("title"))).alias("name"), stamped.alias("body"))
-    placed = titled.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("draft_id")))
-    own = existing.select(F.regexp_extract("path", rf"\A{re.escape(folder)}/(.*?)(?: ([0-9]{{1,4}}))?\.md\z", 1).alias("name"), F.regexp_extract("path", r" ([0-9]{1,4})\.md\z", 1).alias("no"))
-    taken = own.where(F.col("name") != "").groupBy("name").agg(F.collect_set(F.when(F.col("no") == "", 0).otherwise(F.col("no").cast("int"))).alias("taken"))
-    free = F.get(F.array_except(F.sequence(F.lit(0), F.lit(most)), F.coalesce("taken", F.array().cast("array<int>"))), F.col("n") - 1)
-    rows = placed.join(taken, "name", "left").withColumn("free", free).where("free IS NOT NULL")
-    path = F.concat(F.lit(f"{folder}/"), "name", F.when(F.col("free") == 0, "").otherwise(F.concat(F.lit(" "), F.col("free").cast("string"))), F.lit(".md"))
-    return rows.select("draft_id", path.alias("path"), "body")
+    scratch = Scratch(drafts.sparkSession, "paths")
+    rows = drafts.select("draft_id", history_title(F.when(heading != "", heading).otherwise(F.col("title"))).alias("name"), stamped.alias("body"))
+    rows = scratch.cut(rows, "drafts")
+    by_title = F.row_number().over(Window.partitionBy("name").orderBy("draft_id"))
+    able = scratch.cut(rows.select("draft_id", "name", by_title.alias("turn")).where(F.col("turn") <= most + 1).select("draft_id", "name"), "able")
+    used = scratch.cut(existing.select("path").distinct(), "used-0")
+    settled, k, waiting = None, 0, able
+    while True:
+        # a path is number 0 of its own title, and number n of another one if it ends so
+        stem = F.regexp_extract("path", rf"\A{re.escape(folder)}/(?s:(.+))\.md\z", 1)
+        tail = F.regexp_extract(stem, r"\A(?s:(.+)) ([1-9][0-9]{0,8})\z", 2)
+        numbers = F.array(F.struct(stem.alias("name"), F.lit(0).alias("no")), F.when(tail != "", F.struct(F.regexp_extract(stem, r"\A(?s:(.+)) [0-9]+\z", 1).alias("name"), tail.cast("int").alias("no"))))
+        own = used.where(stem != "").select(F.explode(F.array_compact(numbers)).alias("e")).select("e.*").where(F.col("no") <= most)
+        taken = own.join(able.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.collect_set("no").alias("taken"))  # most + 1 numbers
+        counts = waiting.groupBy("name").agg(F.count("*").cast("int").alias("n")).join(taken, "name", "left")
+        none = F.coalesce("taken", F.array().cast("array<int>"))
+        free = F.array_except(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n") - 1 + F.size(none))), none)
+        free = counts.select("name", F.posexplode(free).alias("at", "no")).select("name", (F.col("at") + 1).alias("turn"), "no")
+        path = F.concat(F.lit(f"{folder}/"), "name", F.when(F.col("no") == 0, "").otherwise(F.concat(F.lit(" "), F.col("no").cast("string"))), F.lit(".md"))
+        offered = waiting.withColumn("turn", by_title).join(free, ["name", "turn"], "left").select("draft_id", "name", F.when(F.col("no").isNotNull(), path).alias("path"))
+        offered = scratch.cut(offered, f"offered-{k}")
+        # from the first draft on that loses its path to another title, the later ones of its title wait: they may move up
+        first = scratch.read(f"offered-{k}").where("path IS NOT NULL").groupBy("path").agg(F.min("draft_id").alias("winner"))
+        lost = scratch.read(f"offered-{k}").join(first, "path").where("draft_id <> winner").groupBy("name").agg(F.min("draft_id").alias("stop"))
+        placed = scratch.cut(offered.join(lost, "name", "left").withColumn("got", F.col("stop").isNull() | (F.col("draft_id") < F.col("stop"))), f"placed-{k}")
+        got = placed.where("got").select("draft_id", "path")
+        settled = got if settled is None else settled.unionByName(got)
+        waiting = scratch.read(f"placed-{k}").where("NOT got").select("draft_id", "name")
+        if waiting.isEmpty():
+            break
+        used, k = used.unionByName(scratch.read(f"placed-{k}").where("got AND path IS NOT NULL").select("path")), k + 1
+    return rows.join(settled, "draft_id", "left").select("draft_id", "path", "body", F.when(F.col("path").isNull(), "no_free_path").otherwise("ok").alias("status"))
 
 
 # Notes that hold a conversation

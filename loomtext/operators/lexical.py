@@ -1,21 +1,26 @@
-"""BM25 over posting tables, for whole tables of queries.
+"""BM25 over lexical rows, for whole tables of queries.
 
-A row (chunk, heading path or file) has an array of terms. Postings are (term, key, tf); queries are explode into units, a unit being
-a token, or the run of parts of a token with underscores, or a whole phrase, or a prefix. Hot terms are not gathered: postings are only
-joined and summed by (query, row), and the best rows of a query are cut by a ranked window whose limit is applied
-before the shuffle.
+A row (chunk, heading path or file) has terms, in one or more weighted fields. Queries are exploded into units, a unit being a token, or the run of
+parts of a token with underscores, or a whole phrase, or a prefix. Only occurrences of terms that some query asks for leave their rows; they are
+counted by row, written once, and dealt by row, so that where the queries' terms are few enough to be sent to every task, scores are summed by
+(query, row) and the best rows of each task are chosen before anything is shuffled again. Larger query sets meet the occurrences in a sorted join by term,
+whose hot terms Spark splits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import lexical_terms, query_tokens
+from loomtext.sources.scratch import Scratch
 
 K1, B = 1.2, 0.75
 #: Weights of the fields of a file.
 FIELD_WEIGHTS = {"basename": 10.0, "directory": 7.0, "alias": 8.0, "tag": 3.0, "property": 2.0}
+UNIT = ["query_id", "unit", "n_units"]
 
 
 def rows_of(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -47,45 +52,66 @@ def units(queries: DataFrame, mode: str = "any") -> DataFrame:
     return found.select("query_id", F.size("listed").alias("n_units"), F.posexplode("listed").alias("unit", "parts")).where(F.size("parts") > 0)
 
 
-def prefix_units(queries: DataFrame) -> DataFrame:
-    """Units in which the last token of each query stands for every term that it starts."""
-    plain = units(queries)
-    last = F.col("unit") == F.col("n_units") - 1
-    return plain.where(F.size("parts") == 1).withColumn("prefix", last).unionByName(plain.where(F.size("parts") > 1).withColumn("prefix", F.lit(False)))
+def fielded(rows: DataFrame) -> DataFrame:
+    """rows with fields, an array of (weight, terms): those of plain rows are one field of weight 1."""
+    return rows if "fields" in rows.columns else rows.select("key", "n_terms", F.array(F.struct(F.lit(1.0).alias("weight"), "terms")).alias("fields"))
+
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """key, n_terms, term, w of each occurrence."""
+    weighed = F.flatten(F.transform("fields", lambda f: F.transform(f["terms"], lambda t: F.struct(t.alias("term"), f["weight"].alias("w")))))
+    return rows.select("key", "n_terms", F.explode(weighed).alias("o")).select("key", "n_terms", "o.term", "o.w")
 
-def occurrences(wanted: DataFrame, rows: DataFrame, posted: DataFrame) -> DataFrame:
-    """query_id, unit, n_units, key, f: how often each row has each unit."""
-    single = wanted.where(F.size("parts") == 1).select("query_id", "unit", "n_units", F.get("parts", F.lit(0)).alias("term"))
-    out = single.join(posted, "term").select("query_id", "unit", "n_units", "key", F.col("tf").cast("double").alias("f"))
-    runs = wanted.where(F.size("parts") > 1).select("query_id", "unit", "n_units", "parts", F.get("parts", F.lit(0)).alias("term"))
-    near = runs.join(posted.select("term", "key"), "term").join(rows.select("key", "terms"), "key")
-    n = F.size("parts")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1))), lambda i: F.slice("terms", i, n) == F.col("parts"))
-    long = near.select("query_id", "unit", "n_units", "key", F.size(starts).cast("double").alias("f")).where("f > 0")
-    return out.unionByName(long)
 
+def _f(grouped: list[str], found: DataFrame) -> DataFrame:
+    return found.repartition("key").groupBy(*grouped, "key", "n_terms").agg(F.sum("w").alias("f"))
 
-def prefix_occurrences(wanted: DataFrame, rows: DataFrame, posted: DataFrame) -> DataFrame:
-    """As occurrences(), with the terms that a prefix starts summed; candidates share the prefix's first character."""
-    plain = occurrences(wanted.where("NOT prefix").drop("prefix"), rows, posted)
-    heads = wanted.where("prefix").select("query_id", "unit", "n_units", F.get("parts", F.lit(0)).alias("head")).withColumn("first", F.substring("head", 1, 1))
-    vocabulary = posted.select("term").distinct().withColumn("first", F.substring("term", 1, 1))
-    terms = heads.join(vocabulary, "first").where(F.col("term").startswith(F.col("head")))
-    started = terms.join(posted, "term").groupBy("query_id", "unit", "n_units", "key").agg(F.sum("tf").cast("double").alias("f"))
-    return plain.unionByName(started)
 
+def _idf(n: int, df: Column) -> Column:
+    raw = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5))
+    return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
-def score(found: DataFrame, rows: DataFrame, mode: str = "any") -> DataFrame:
-    """query_id, key, score: BM25 of the rows that fit the mode."""
+
+def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool = False) -> DataFrame:
+    """query_id, key, score: BM25 of the rows that fit the mode. With prefix, the last unit of a query stands for every term that it starts."""
+    scratch = Scratch(rows.sparkSession, "lexical")
+    rows = fielded(rows)
     stats = corpus_stats(rows).first()
     n, average = stats["n_rows"], stats["avg_terms"] or 1.0
-    df = found.groupBy("query_id", "unit").agg(F.count("*").alias("df"))
-    raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(F.lit(1e-6))
-    scored = found.join(df, ["query_id", "unit"]).join(rows.select("key", "n_terms"), "key")
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / average))
-    summed = scored.groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count_distinct("unit").alias("units"), F.max("n_units").alias("n_units"))
+    is_prefix = (F.col("unit") == F.col("n_units") - 1) & (F.size("parts") == 1) if prefix else F.lit(False)
+    kind = F.when(is_prefix, "prefix").when(F.size("parts") == 1, "term").otherwise("run")
+    wanted = scratch.cut(wanted.select(*UNIT, "parts", F.get("parts", F.lit(0)).alias("term"), kind.alias("kind")), "units")
+    kinds = {r["kind"] for r in wanted.select("kind").distinct().collect()}  # three at most
+    found = []
+    if "term" in kinds:
+        single = wanted.where("kind = 'term'").select(*UNIT, "term")
+        posted = scratch.cut(_f(["term"], _counted(rows).join(single.select("term").distinct(), "term", "left_semi")), "posted")
+        weighed = single.join(document_frequency(posted), "term").withColumn("idf", _idf(n, F.col("df"))).drop("df")
+        found.append(weighed.join(scratch.read("posted"), "term"))
+    others = []
+    if "run" in kinds:
+        runs = wanted.where("kind = 'run'").select(*UNIT, "parts", "term")
+        first = F.explode(F.array_distinct(F.flatten(F.col("fields.terms")))).alias("term")
+        near = rows.select("key", first).join(runs.select("term").distinct(), "term", "left_semi").join(runs, "term").join(rows, "key")
+        size = F.size("parts")
+        places = lambda f: F.filter(F.sequence(F.lit(1), F.greatest(F.size(f["terms"]), F.lit(1))), lambda i: F.slice(f["terms"], i, size) == F.col("parts"))
+        times = F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + f["weight"] * F.size(places(f)))
+        others.append(near.select(*UNIT, "key", "n_terms", times.alias("f")).where("f > 0"))
+    if "prefix" in kinds:
+        heads = wanted.where("kind = 'prefix'").select(*UNIT, F.col("term").alias("head"))
+        lengths = [r["n"] for r in heads.select(F.length("head").alias("n")).distinct().collect()]  # lengths of words
+        starts = F.array_compact(F.array(*[F.when(F.length("term") >= k, F.substring("term", 1, k)) for k in sorted(lengths)]))
+        started = _counted(rows).select("key", "n_terms", "w", F.explode(starts).alias("head")).join(heads, "head")
+        others.append(_f(UNIT, started))
+    for i, other in enumerate(others):
+        other = scratch.cut(other, f"found-{i}")
+        df = scratch.read(f"found-{i}").groupBy("query_id", "unit").agg(F.count("*").alias("df"))
+        found.append(other.join(df, ["query_id", "unit"]).withColumn("idf", _idf(n, F.col("df"))).drop("df"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / average))
+    if not found:
+        return wanted.select("query_id", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.lit(0.0).alias("score")).where("false")
+    parts = reduce(DataFrame.unionByName, [x.select("query_id", "n_units", "key", part.alias("part")) for x in found])
+    summed = parts.groupBy("query_id", "key").agg(F.sum("part").alias("score"), F.count("*").alias("units"), F.max("n_units").alias("n_units"))
     return (summed.where("units = n_units") if mode == "all" else summed).select("query_id", "key", "score")
 
 
@@ -95,43 +121,33 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", prefix_fallback: bool = False, posted: DataFrame | None = None) -> DataFrame:
-    """query_id, key, score, rank; queries without a hit once more with their last token as a prefix, if asked for."""
-    posted = postings(rows) if posted is None else posted
-    best = ranked(score(occurrences(units(queries, mode), rows, posted), rows, mode), k)
+def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", prefix_fallback: bool = False) -> DataFrame:
+    """query_id, key, score, rank; queries without a hit once more with their last token as a prefix, if asked for.
+
+    rows are read several times; they should be a table, not a plan that is dear to run.
+    """
+    best = ranked(scores(units(queries, mode), rows, mode), k)
     if not prefix_fallback or mode == "phrase":
         return best
-    empty = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
-    return best.unionByName(bm25_prefix(empty, rows, k, mode, posted))
+    scratch = Scratch(queries.sparkSession, "fallback")
+    best = scratch.cut(best, "best")
+    empty = scratch.cut(queries.join(best.select("query_id").distinct(), "query_id", "left_anti"), "empty")
+    return best if empty.isEmpty() else scratch.read("best").unionByName(bm25_prefix(empty, rows, k, mode))
 
 
-def bm25_prefix(queries: DataFrame, rows: DataFrame, k: int, mode: str, posted: DataFrame) -> DataFrame:
+def bm25_prefix(queries: DataFrame, rows: DataFrame, k: int, mode: str) -> DataFrame:
     """BM25 with the last token of each query as a prefix."""
-    return ranked(score(prefix_occurrences(prefix_units(queries), rows, posted), rows, mode), k)
+    return ranked(scores(units(queries), rows, mode, prefix=True), k)
 
 
-def file_rows(fields: DataFrame) -> DataFrame:
-    """file_path and its fields as (key, field, terms)."""
-    cols = [F.struct(F.lit(name).alias("field"), lexical_terms(F.col(f"{name}_tokens")).alias("terms")) for name in FIELD_WEIGHTS]
-    return fields.select(F.col("file_path").alias("key"), F.explode(F.array(*cols)).alias("f")).select("key", "f.*")
+def file_rows(fields: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """key (file_path), fields, n_terms: a term counts by the weight of the field it stands in; a run of terms has to stand in one field."""
+    own = [F.struct(F.lit(float(w)).alias("weight"), lexical_terms(F.col(f"{name}_tokens")).alias("terms")) for name, w in (weights or FIELD_WEIGHTS).items()]
+    rows = fields.select(F.col("file_path").alias("key"), F.array(*own).alias("fields"))
+    return rows.withColumn("n_terms", F.aggregate("fields", F.lit(0), lambda acc, f: acc + F.size(f["terms"])))
 
 
 def bm25_files(queries: DataFrame, fields: DataFrame, k: int = 80, mode: str = "any", weights: dict[str, float] | None = None, prefix: bool = False) -> DataFrame:
-    """BM25 in which a term counts by the weight of the field it stands in; units may be met in different fields.
-
-    With prefix, the last token of each query is one.
-    """
-    weight = F.create_map(*[F.lit(x) for name, w in (weights or FIELD_WEIGHTS).items() for x in (name, float(w))])
-    by_field = file_rows(fields)
-    rows = by_field.groupBy("key").agg(F.sum(F.size("terms")).alias("n_terms"))
-    # a run of terms has to stand in one field: fields are searched as rows of their own and summed afterwards
-    own = by_field.select(F.concat_ws("\x1f", "key", "field").alias("key"), "terms", F.size("terms").alias("n_terms"))
-    posted = postings(own)
-
-    def weighed(found: DataFrame) -> DataFrame:
-        at = F.split("key", "\x1f")
-        part = found.select("query_id", "unit", "n_units", F.get(at, F.lit(0)).alias("key"), (F.col("f") * weight[F.get(at, F.lit(1))]).alias("f"))
-        return part.groupBy("query_id", "unit", "n_units", "key").agg(F.sum("f").alias("f"))
-
-    found = prefix_occurrences(prefix_units(queries), own, posted) if prefix else occurrences(units(queries, mode), own, posted)
-    return ranked(score(weighed(found), rows, mode), k)
+    """BM25 over the fields of files; units may be met in different fields. With prefix, the last token of each query is one."""
+    rows = file_rows(fields, weights)
+    return bm25_prefix(queries, rows, k, mode) if prefix else bm25(queries, rows, k, mode)

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from loomtext.config import Config
 from loomtext.functions.scope import in_scope
-from loomtext.functions.text import chunk_key, content_hash, heading_tokens, tokenize
+from loomtext.functions.text import Analyzer, chunk_key, content_hash, heading_tokens, tokenize
 from loomtext.operators import chunking, frontmatter, index, lexical, vectors
+from loomtext.sources.scratch import Scratch
 
 
 def _keyed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("key", chunk_key(F.col("file_path"), F.col("chunk_index")))
 
 
-def body_rows(chunks: DataFrame) -> DataFrame:
-    return lexical.rows_of(_keyed(chunks), "key", tokenize(F.col("content")))
+def body_rows(chunks: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
+    return lexical.rows_of(_keyed(chunks), "key", tokenize(F.col("content"), analyzer))
 
 
-def heading_rows(chunks: DataFrame) -> DataFrame:
-    return lexical.rows_of(_keyed(chunks), "key", heading_tokens(F.col("heading_path")))
+def heading_rows(chunks: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
+    return lexical.rows_of(_keyed(chunks), "key", heading_tokens(F.col("heading_path"), analyzer))
 
 
 def file_state(notes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,34 +31,37 @@ def file_state(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("file_path", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "file_size", "modified_ns")
 
 
-def note_tables(notes: DataFrame, config: Config, encoder: vectors.EncoderFactory | None = None) -> dict[str, DataFrame]:
-    """chunks, file_fields, file_state and vectors of the notes in scope: what a note gives depends on that note alone."""
+def note_tables(notes: DataFrame, config: Config, encoder: vectors.EncoderFactory | None = None, analyzer: Analyzer | None = None) -> dict[str, DataFrame]:
+    """chunks, file_fields, file_state and vectors of the notes in scope: what a note gives depends on that note alone.
+
+    Chunks are written once to the shared folder, as the other tables read them.
+    """
     inside = notes.where(in_scope(F.col("file_path"), config.include, config.exclude))
-    chunks = chunking.chunk(inside, config.chunker, config.chunk_chars, config.overlap_chars)
+    chunks = Scratch(notes.sparkSession, "notes").cut(chunking.chunk(inside, config.chunker, config.chunk_chars, config.overlap_chars), "chunks")
     encoder = encoder or vectors.hash_encoder(config.vector_dim)
     return {
         "chunks": chunks,
-        "file_fields": frontmatter.file_fields(inside),
+        "file_fields": frontmatter.file_fields(inside, analyzer=analyzer),
         "file_state": file_state(inside, chunks),
         "vectors": vectors.embed_chunks(chunks, encoder, config.passage_prefix),
     }
 
 
-def derived_tables(chunks: DataFrame) -> dict[str, DataFrame]:
+def derived_tables(chunks: DataFrame, analyzer: Analyzer | None = None) -> dict[str, DataFrame]:
     """postings and stats of the body and heading rows, with their channel."""
     out: dict[str, DataFrame] = {}
-    for name, rows in (("body", body_rows(chunks)), ("heading", heading_rows(chunks))):
+    for name, rows in (("body", body_rows(chunks, analyzer)), ("heading", heading_rows(chunks, analyzer))):
         for table, df in (("postings", lexical.postings(rows)), ("stats", lexical.corpus_stats(rows))):
             own = df.withColumn("channel", F.lit(name))
             out[table] = out[table].unionByName(own) if table in out else own
     return out
 
 
-def build_index(notes: DataFrame, config: Config, index_id: str = "index", encoder: vectors.EncoderFactory | None = None) -> dict[str, DataFrame]:
+def build_index(notes: DataFrame, config: Config, index_id: str = "index", encoder: vectors.EncoderFactory | None = None, analyzer: Analyzer | None = None) -> dict[str, DataFrame]:
     """All tables of an index of notes(file_path, text, file_size, modified_ns)."""
-    tables = note_tables(notes, config, encoder)
+    tables = note_tables(notes, config, encoder, analyzer)
     counts = index.index_counts(tables["chunks"], tables["file_state"])
-    return tables | derived_tables(tables["chunks"]) | {"manifest": index.build_manifest(notes.sparkSession, index_id, config, counts)}
+    return tables | derived_tables(tables["chunks"], analyzer) | {"manifest": index.build_manifest(notes.sparkSession, index_id, config, counts)}
 
 
 def rebuild_vectors(tables: dict[str, DataFrame], config: Config, problems: DataFrame, encoder: vectors.EncoderFactory | None = None) -> dict[str, DataFrame]:
@@ -68,6 +72,7 @@ def rebuild_vectors(tables: dict[str, DataFrame], config: Config, problems: Data
     return tables | {"vectors": vectors.embed_chunks(tables["chunks"], encoder or vectors.hash_encoder(config.vector_dim), config.passage_prefix)}
 
 
-def rebuild_lexical(tables: dict[str, DataFrame], notes: DataFrame) -> dict[str, DataFrame]:
+def rebuild_lexical(tables: dict[str, DataFrame], notes: DataFrame, analyzer: Analyzer | None = None) -> dict[str, DataFrame]:
     """The index with fields, postings and statistics derived again; chunks and vectors stay as they are."""
-    return tables | derived_tables(tables["chunks"]) | {"file_fields": frontmatter.file_fields(notes.join(tables["file_state"].select("file_path"), "file_path", "left_semi"))}
+    kept = notes.join(tables["file_state"].select("file_path"), "file_path", "left_semi")
+    return tables | derived_tables(tables["chunks"], analyzer) | {"file_fields": frontmatter.file_fields(kept, analyzer=analyzer)}

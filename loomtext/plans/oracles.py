@@ -59,7 +59,8 @@ ORACLES["scope_filter"] = cte("plain") + f" SELECT file_path FROM plain WHERE {S
 ORACLES["preview_scope"] = cte("plain") + f", s AS (SELECT file_path FROM plain WHERE {SCOPE}) SELECT file_path, (SELECT count(*) FROM s) AS n_files FROM s ORDER BY file_path LIMIT 30"
 ORACLES["strip_frontmatter"] = cte("notes") + ", b AS (SELECT file_path, substr(text, strpos(text, concat(chr(10), '---', chr(10))) + 5) AS b FROM notes), c AS (SELECT file_path, regexp_replace(b, '^\\n*', '') AS b FROM b) SELECT file_path, length(b) AS n_chars, sha256(b) AS body_hash FROM b".replace(", c AS (SELECT file_path, regexp_replace(b, '^\\n*', '') AS b FROM b)", "")
 ORACLES["chunk_paragraphs"] = CHUNKS + " SELECT file_path, chunk_index, length(content) AS n_chars, sha256(content) AS content_hash FROM chunks"
-ORACLES["embedding_text"] = cte("plain") + f" SELECT doc_id, concat({STEM}, ' > ', source, ' > ', lang, chr(10), chr(10), substr(text, 1, 50)) AS embedding_text FROM plain"
+EMBEDDED = f"concat({STEM}, ' > ', source, ' > ', lang, chr(10), chr(10), content)"
+ORACLES["embedding_text"] = CHUNKS + f" SELECT file_path, chunk_index, length({EMBEDDED}) AS n_chars, sha256({EMBEDDED}) AS text_hash FROM chunks"
 ORACLES["tokenize"] = f"SELECT doc_id, len({tokens('text')}) AS n_tokens, sha256(array_to_string({tokens('text')}, ' ')) AS tokens_hash FROM documents"
 ORACLES["path_fields"] = cte("plain") + f" SELECT file_path, array_to_string({tokens(f'translate({STEM}, {chr(39)}_-{chr(39)}, {chr(39)}  {chr(39)})')}, ' ') AS basename, array_to_string({tokens(f'translate({FOLDER}, {chr(39)}/_-{chr(39)}, {chr(39)}   {chr(39)})')}, ' ') AS directory, array_to_string({tokens('concat(source, chr(32), lang)')}, ' ') AS headings FROM plain"
 SOURCES = "CASE WHEN doc_id % 10 = 0 THEN concat('notes/s', (doc_id + 1) % 20, '/doc_', doc_id + 1, '.md notes/s', (doc_id + 2) % 20, '/doc_', doc_id + 2, '.md') ELSE '' END"
@@ -79,7 +80,7 @@ z AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY doc_id)
 SELECT d.doc_id, string_agg(CAST(CAST(round(CAST(CAST(coalesce(n / norm, 0) AS FLOAT) AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR), ',' ORDER BY g.i) AS vector
 FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS i) g LEFT JOIN b ON b.doc_id = d.doc_id AND b.bucket = g.i LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id"""
 ORACLES["vector_topk"] = """
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS key, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0 AND v.vec_id % 25 <> 0),
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS key, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM s) SELECT query_id, key, round(score, 6) AS score, rank FROM r WHERE rank <= 80"""
 ORACLES["embedding_parity"] = "WITH c AS (SELECT list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 2))) AS c FROM embeddings) SELECT count(*) AS n, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine FROM c"
 
@@ -130,7 +131,7 @@ clean AS (SELECT query_id, used, """ + strip("regexp_replace(answer, CASE WHEN l
 ORACLES["normalize_citations"] = cte("answers", "answer_sources") + CITED + " SELECT query_id, sha256(answer) AS answer_hash, array_to_string(used, ',') AS used, CASE WHEN len(used) = 0 THEN 'ANSWER_HAS_NO_VALID_CITATIONS' END AS warning FROM clean"
 ORACLES["citations"] = cte("answers", "answer_sources") + CITED + ", x AS (SELECT query_id, unnest(used) AS source_id, generate_subscripts(used, 1) AS citation_no FROM u) SELECT query_id, citation_no, source_id, file_path FROM x JOIN answer_sources USING (query_id, source_id)"
 ORACLES["answer_diagnostics"] = cte("answers", "answer_sources") + CITED + ", n AS (SELECT query_id, count(*) AS n FROM answer_sources GROUP BY query_id) SELECT query_id, CASE WHEN length(answer) = 0 THEN 'empty' WHEN length(answer) > 32000 THEN 'too_long' ELSE 'ok' END AS status, len(used) > 0 AS grounded, coalesce(n, 0) AS retrieved_count, length(answer) AS answer_chars, CASE WHEN len(used) = 0 THEN 'ANSWER_HAS_NO_VALID_CITATIONS' END AS citation_warning FROM clean LEFT JOIN n USING (query_id)"
-ORACLES["extract_tool_calls"] = "SELECT conv_id * 1000 + turn AS turn_id, 1 AS call_no, 'search' AS name, concat('query=', regexp_replace(substr(text, 1, 20), '[^A-Za-z ]', '', 'g')) AS args FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 2, 'read', 'file=notes/a.md;part=2' FROM conversations WHERE turn % 2 = 1"
+ORACLES["extract_tool_calls"] = "SELECT conv_id * 1000 + turn AS turn_id, 1 AS call_no, 'search' AS name, length(text) + 6 AS n_chars, sha256(concat('query=', text)) AS args_hash FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 2, 'read', 22, sha256('file=notes/a.md;part=2') FROM conversations WHERE turn % 2 = 1"
 ORACLES["prompt_rows"] = cte("answers", "answer_sources") + """, b AS (SELECT query_id, string_agg(concat('<source id="', source_id, '">', chr(10), 'path: ', file_path, chr(10), 'line: 1', chr(10), 'heading: (no heading)', chr(10), 'snippet:', chr(10), content, chr(10), '</source>'), concat(chr(10), chr(10)) ORDER BY source_no) AS b FROM answer_sources GROUP BY query_id),
 p AS (SELECT query_id, concat('질문:', chr(10), answer, chr(10), chr(10), '볼트 근거:', chr(10), coalesce(b, '')) AS p FROM answers LEFT JOIN b USING (query_id)) SELECT query_id, length(p) AS n_chars, sha256(p) AS prompt_hash FROM p"""
 ORACLES["validate_requests"] = """

@@ -33,7 +33,12 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of the plain documents, with headings [source, lang]."""
     docs = view(spark, sf, "plain")
     own = docs.select("file_path", F.array("source", "lang").alias("own"))
-    return chunking.chunk(docs).join(own, "file_path").withColumn("heading_path", F.col("own")).drop("own")
+    return Scratch(spark, "chunks").cut(chunking.chunk(docs).join(own, "file_path").withColumn("heading_path", F.col("own")).drop("own"), "chunks")
+
+
+def _rows(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Lexical rows as a table, as searches read them several times."""
+    return Scratch(spark, "rows").cut(df, "rows")
 
 
 def _key(df: DataFrame) -> DataFrame:
@@ -83,8 +88,8 @@ def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
-    made = text.embedding_text(text.stem(F.col("file_path")), F.array("source", "lang"), F.substring("text", 1, 50))
-    return view(spark, sf, "plain").select("doc_id", made.alias("embedding_text"))
+    made = text.embedding_text(text.stem(F.col("file_path")), F.col("heading_path"), F.col("content"))
+    return _chunks(spark, sf).select("file_path", F.col("chunk_index").cast("long").alias("chunk_index"), F.length(made).cast("long").alias("n_chars"), text.content_hash(made).alias("text_hash"))
 
 
 @query
@@ -136,7 +141,7 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    return _out(lexical.bm25(view(spark, sf, "queries"), build.body_rows(_chunks(spark, sf)), CONFIG.bm25_top_k, mode))
+    return _out(lexical.bm25(view(spark, sf, "queries"), _rows(spark, build.body_rows(_chunks(spark, sf))), CONFIG.bm25_top_k, mode))
 
 
 @query
@@ -156,19 +161,19 @@ def bm25_match_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(lexical.bm25(view(spark, sf, "file_queries"), build.heading_rows(_chunks(spark, sf)), CONFIG.bm25_top_k))
+    return _out(lexical.bm25(view(spark, sf, "file_queries"), _rows(spark, build.heading_rows(_chunks(spark, sf))), CONFIG.bm25_top_k))
 
 
 @query
 def bm25_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(lexical.bm25_files(view(spark, sf, "file_queries"), frontmatter.file_fields(view(spark, sf, "notes")), CONFIG.bm25_top_k))
+    return _out(lexical.bm25(view(spark, sf, "file_queries"), _rows(spark, lexical.file_rows(frontmatter.file_fields(view(spark, sf, "notes")))), CONFIG.bm25_top_k))
 
 
 @query
 def bm25_prefix_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Queries without a hit as they are: a term with a sign of its own, and the start of a source's name."""
     asked = view(spark, sf, "queries").select("query_id", F.concat(F.lit("zzqx"), F.col("query_id").cast("string"), F.lit(" sr")).alias("query"))
-    return _out(lexical.bm25(asked, build.heading_rows(_chunks(spark, sf)), CONFIG.bm25_top_k, prefix_fallback=True))
+    return _out(lexical.bm25(asked, _rows(spark, build.heading_rows(_chunks(spark, sf))), CONFIG.bm25_top_k, prefix_fallback=True))
 
 
 # Vectors
@@ -183,12 +188,12 @@ def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "embeddings")
-    return rows.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("key"), "embedding")
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("key"), "embedding")
 
 
 @query
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(vectors.nearest(*_sides(spark, sf), CONFIG.vector_top_k))
+    return _out(vectors.nearest(*_sides(spark, sf), CONFIG.vector_top_k, exclude_self=True))
 
 
 @query
@@ -287,7 +292,8 @@ def expand_sources(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = view(spark, sf, "notes")
     scratch = Scratch(spark, "index")
-    tables = {name: scratch.cut(df, name) for name, df in build.note_tables(docs, Config(chunker="markdown-v2")).items()}
+    tables = build.note_tables(docs, Config(chunker="markdown-v2"))
+    tables |= {name: scratch.cut(tables[name], name) for name in ("file_fields", "vectors")}
     edges = scratch.cut(frontmatter.source_edges(docs, CONFIG.include, CONFIG.exclude), "edges")
     rows = search.hybrid_search(tables, view(spark, sf, "queries"), CONFIG, edges)
     return rows.select("query_id", "rank", "file_path", "key", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), "expanded", "linked_from", "start_line")
@@ -340,7 +346,7 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 def extract_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     rows = grounding.extract_tool_calls(view(spark, sf, "turns"))
     args = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return rows.select("turn_id", F.col("call_no").cast("long").alias("call_no"), "name", args.alias("args"))
+    return rows.select("turn_id", F.col("call_no").cast("long").alias("call_no"), "name", F.length(args).cast("long").alias("n_chars"), text.content_hash(args).alias("args_hash"))
 
 
 @query

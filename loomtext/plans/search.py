@@ -2,51 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.config import Config
-from loomtext.functions.text import chunk_key
+from loomtext.functions.text import Analyzer, chunk_key, query_tokens
 from loomtext.operators import expansion, fusion, lexical, vectors
 from loomtext.plans.build import body_rows, heading_rows
 from loomtext.sources.scratch import Scratch
 
 
-def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Config, mode: str = "any", encoder: vectors.EncoderFactory | None = None) -> DataFrame:
+def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Config, mode: str = "any", encoder: vectors.EncoderFactory | None = None, analyzer: Analyzer | None = None) -> DataFrame:
     """query_id, channel, key, rank: body, heading, file and vector rankings, the latter moved onto the files' representatives.
 
-    Terms, postings and each channel's ranking are written once, as several rankings read them.
+    Lexical rows and each channel's ranking are written once, as several rankings read them. An analyzer has to be that of the index; it also reads the queries.
     """
     scratch = Scratch(queries.sparkSession, "search")
     k, back = config.bm25_top_k, config.prefix_fallback
     asked = scratch.cut(queries.select("query_id", "query"), "queries")
-    keyed = tables["chunks"].withColumn("key", chunk_key(F.col("file_path"), F.col("chunk_index")))
-    places = scratch.cut(keyed.select("key", "file_path", "chunk_index"), "places")
-
-    def answered(name: str, first: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """A channel's ranking; queries without a hit once more with their last token as a prefix."""
-        best = scratch.cut(first(asked), name)
-        if not back or mode == "phrase":
-            return best
-        empty = scratch.cut(asked.join(best.select("query_id").distinct(), "query_id", "left_anti"), f"{name}-empty")
-        return best if empty.isEmpty() else scratch.cut(scratch.read(name).unionByName(again(empty)), f"{name}-both")
+    if analyzer is not None:
+        asked = scratch.cut(asked.withColumn("query", F.array_join(query_tokens(F.col("query"), analyzer), " ")), "analyzed")
+    places = tables["chunks"].select(chunk_key(F.col("file_path"), F.col("chunk_index")).alias("key"), "file_path", "chunk_index")
 
     def channel(name: str, rows: DataFrame) -> DataFrame:
-        rows = scratch.cut(rows, f"{name}-rows")
-        posted = scratch.cut(lexical.postings(rows), f"{name}-postings")
-        return answered(name, lambda q: lexical.bm25(q, rows, k, mode, False, posted), lambda q: lexical.bm25_prefix(q, rows, k, mode, posted))
+        """A channel's ranking; queries without a hit are asked once more with their last token as a prefix."""
+        return scratch.cut(lexical.bm25(asked, scratch.cut(rows, f"{name}-rows"), k, mode, back), name)
 
-    body = channel("body", body_rows(tables["chunks"]))
-    headings = channel("headings", heading_rows(tables["chunks"]))
+    body = channel("body", body_rows(tables["chunks"], analyzer))
+    headings = channel("headings", heading_rows(tables["chunks"], analyzer))
     found = vectors.embed_queries(asked, encoder or vectors.hash_encoder(config.vector_dim), config.query_prefix)
     own = tables["vectors"].select(chunk_key(F.col("file_path"), F.col("chunk_index")).alias("key"), "embedding")
     near = scratch.cut(vectors.nearest(found, own, config.vector_top_k).select("query_id", "key", "rank"), "vectors")
     named = [body.select("query_id", F.lit("body").alias("channel"), "key", "rank"), headings.select("query_id", F.lit("heading"), "key", "rank")]
     if config.title_rrf_weight > 0:
-        fields = scratch.cut(tables["file_fields"], "fields")
-        files = answered("file-hits", lambda q: lexical.bm25_files(q, fields, k, mode), lambda q: lexical.bm25_files(q, fields, k, mode, prefix=True)).select("query_id", F.col("key").alias("file_path"), "rank")
+        files = channel("file-hits", lexical.file_rows(tables["file_fields"])).select("query_id", F.col("key").alias("file_path"), "rank")
         stand = scratch.cut(fusion.file_to_chunk(files, body, headings, places), "files")
         near = fusion.coalesce_to_representative(near, stand, places)
         named.append(stand.select("query_id", F.lit("file"), "key", "rank"))
@@ -57,13 +46,13 @@ def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Confi
     return scratch.cut(hits, "hits")
 
 
-def hybrid_search(tables: dict[str, DataFrame], queries: DataFrame, config: Config, edges: DataFrame | None = None, mode: str = "any", encoder: vectors.EncoderFactory | None = None) -> DataFrame:
+def hybrid_search(tables: dict[str, DataFrame], queries: DataFrame, config: Config, edges: DataFrame | None = None, mode: str = "any", encoder: vectors.EncoderFactory | None = None, analyzer: Analyzer | None = None) -> DataFrame:
     """query_id, rank, file_path, key, score, channels, the channels' ranks and contributions, expanded, linked_from, content, ...
 
     queries: query_id, query, and for expansion intent and top_k.
     """
     keyed = tables["chunks"].withColumn("key", chunk_key(F.col("file_path"), F.col("chunk_index")))
-    hits = channel_hits(tables, queries, config, mode, encoder)
+    hits = channel_hits(tables, queries, config, mode, encoder, analyzer)
     weights = {"file": config.title_rrf_weight}
     scratch = Scratch(queries.sparkSession, "fusion")
     fused = fusion.weighted_rrf(hits, weights, config.rrf_k)

@@ -252,6 +252,49 @@ def test_history(spark):
     assert {r["draft_id"]: r["path"] for r in history.plan_note_paths(drafts, taken).collect()} == {1: "Notes/Own.md", 2: "Notes/T 1.md", 3: "Notes/T 2.md"}
 
 
+def test_note_paths(spark):
+    import random
+
+    plan = lambda drafts, taken, most=1000: {r["draft_id"]: r["path"] for r in history.plan_note_paths(spark.createDataFrame([(i, t, "text", "d") for i, t in drafts], "draft_id int, title string, text string, created string"), spark.createDataFrame([(f"Notes/{p}.md",) for p in taken], "path string"), most=most).collect()}
+    assert plan([(1, "T"), (2, "T"), (3, "T 1")], []) == {1: "Notes/T.md", 2: "Notes/T 1.md", 3: "Notes/T 1 1.md"}
+    assert plan([(1, "U 1"), (2, "V 01")], ["U 1", "V"]) == {1: "Notes/U 1 1.md", 2: "Notes/V 01.md"}
+    assert plan([(1, "T 1"), (2, "T"), (3, "T")], []) == {1: "Notes/T 1.md", 2: "Notes/T.md", 3: "Notes/T 2.md"}
+    assert plan([(i, "T") for i in range(6)], ["T 1"], 3) == {0: "Notes/T.md", 1: "Notes/T 2.md", 2: "Notes/T 3.md", 3: None, 4: None, 5: None}
+    r = random.Random(7)
+    titles, taken = ["A", "A 1", "A 2", "A 1 1", "B", "B 3"], ["A 1", "A 3", "B", "B 1"]
+    drafts = [(i, r.choice(titles)) for i in range(40)]
+    found = plan(drafts, taken)
+    assert len(set(found.values())) == 40 and not set(found.values()) & {f"Notes/{p}.md" for p in taken}
+    for i, t in drafts:  # no path before its own is free in the end
+        own = found[i].removeprefix("Notes/").removesuffix(".md")
+        n = int(own[len(t) :] or 0)
+        assert own == t + (f" {n}" if n else "") and all(f"Notes/{t}{f' {k}' if k else ''}.md" in {*found.values(), *(f"Notes/{p}.md" for p in taken)} for k in range(n))
+
+
+def test_nearest_is_brute_force(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    x = np.round(g.standard_normal((300, 8)), 1).astype(np.float32)
+    x[50:90] = x[7]
+    x[0] = 0
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)] + [(999, None)], "key int, embedding array<float>")
+    asked = rows.where("key % 10 = 0").withColumnRenamed("key", "query_id")
+    old = vectors.SCORES
+    unit = x.astype(np.float64) / np.where((n := np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)) > 0, n, 1)
+    for own in (False, True):
+        got = {}
+        for r in vectors.nearest(asked, rows, 15, exclude_self=own).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["key"])
+        for q in range(0, 300, 10):
+            s = np.round(unit @ unit[q], 12)
+            assert got[q] == [int(i) for i in np.lexsort((np.arange(300), -s)) if not own or i != q][:15], q
+    vectors.SCORES = 64
+    (row, column), score = vectors.best(unit[:9], unit, 5)
+    vectors.SCORES = old
+    assert [column[row == i].tolist() for i in range(9)] == [np.lexsort((np.arange(300), -np.round(unit @ unit[i], 12)))[:5].tolist() for i in range(9)]
+
+
 def test_streams(spark):
     rows = spark.createDataFrame([(1, "2026-01-01 00:00:00", "a.md", None, "modify"), (2, "2026-01-01 00:00:01", "a.md", None, "delete"), (3, "2026-01-01 00:00:09", "b.md", "c.md", "rename"), (4, "2026-01-01 00:00:09", "x.txt", None, "create")], "event_id int, ts string, file_path string, old_path string, op string").withColumn("ts", F.to_timestamp("ts"))
     assert {(r["path"], r["op"]) for r in streaming.coalesce_events(rows).collect()} == {("a.md", "deleted"), ("b.md", "changed"), ("c.md", "deleted")}
