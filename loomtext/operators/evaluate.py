@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.scope import benchmark_path, coverage_path
+from loomtext.operators.fusion import select_diverse, weighted_rrf
 
 #: The intents a case may have.
 INTENTS = ("exact", "known-item", "topic", "timeline", "value", "korean-morphology")
@@ -131,6 +132,17 @@ def sweep(metrics_by_width: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return judged.join(F.broadcast(first)).select("width", "recall_40", "mrr_10", "forbidden_40", "passes", (F.col("width") == F.col("first")).alias("chosen"))  # a single row
 
 
+def sweep_channels(hits: DataFrame, cases: DataFrame, widths: tuple[int, ...], weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
+    """sweep() of rankings that are fused from channel hits(query_id, channel, key, file_path, rank) cut at each width: channels are searched once, at the largest."""
+    out, files = None, hits.select("key", "file_path").distinct()
+    for width in widths:
+        fused = weighted_rrf(hits.where(F.col("rank") <= width), weights or {}, k)
+        ranking = select_diverse(fused, files, 200).select(F.concat(F.lit("case-"), F.col("query_id").cast("string")).alias("case_id"), "file_path", "rank")
+        part = case_metrics(cases, ranking).withColumn("width", F.lit(width))
+        out = part if out is None else out.unionByName(part)
+    return sweep(out)
+
+
 def coverage_compare(*sets: DataFrame) -> DataFrame:
     """file_path, in_a, in_b, ...: which of the path sets (file_path) hold each path."""
     names = [chr(ord("a") + i) for i in range(len(sets))]

@@ -96,10 +96,10 @@ def pending_batches(pending: DataFrame, notes: DataFrame, include: tuple[str, ..
     return rows.withColumn("n", within).join(starts, "day").select("file_path", "operation", F.floor((F.col("start") + F.col("n") - 1) / batch).alias("batch_no"))
 
 
-def recovery_plan(pending: DataFrame) -> DataFrame:
+def recovery_plan(pending: DataFrame, drain_limit: int = DRAIN_LIMIT) -> DataFrame:
     """n_pending and plan: drain the journal, or reconcile strictly if it is long."""
     n = F.count_distinct("file_path")
-    return pending.agg(n.alias("n_pending"), F.when(n > DRAIN_LIMIT, "strict_reconcile").otherwise("drain").alias("plan"))
+    return pending.agg(n.alias("n_pending"), F.when(n > drain_limit, "strict_reconcile").otherwise("drain").alias("plan"))
 
 
 def renames(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomtext.operators.index import SCHEMA_VERSIONS
 from loomtext.plans.views import cte
 
 ORACLES: dict[str, str] = {}
@@ -21,14 +22,17 @@ def strip(x: str) -> str:
 
 STEM = "regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]*$', '')"
 FOLDER = "regexp_replace(regexp_extract(file_path, '^(.*/)?'), '/$', '')"
-CHUNKS = (
-    cte("plain")
-    + f""", bare AS (SELECT *, {strip("text")} AS t FROM plain),
-cut AS (SELECT file_path, source, lang, t, length(t) AS n, unnest(range(CASE WHEN length(t) <= 400 THEN 1 ELSE CAST(ceil((length(t) - 60) / 340.0) AS BIGINT) END)) AS i FROM bare WHERE length(t) >= 10),
-parts AS (SELECT file_path, source, lang, i, CASE WHEN n <= 400 THEN t ELSE {strip("substr(t, i * 340 + 1, 400)")} END AS content FROM cut),
-chunks AS (SELECT file_path, source, lang, content, row_number() OVER (PARTITION BY file_path ORDER BY i) - 1 AS chunk_index FROM parts WHERE length(content) >= 10),
-keyed AS (SELECT *, concat(file_path, '#', lpad(CAST(chunk_index AS VARCHAR), 6, '0')) AS key FROM chunks)"""
-)
+
+
+def chunks_of(rel: str, name: str = "chunks") -> str:
+    """The chunks of a relation with file_path, text, source and lang, each text being one paragraph."""
+    return f""", {name}_bare AS (SELECT *, {strip("text")} AS t FROM {rel}),
+{name}_cut AS (SELECT file_path, source, lang, t, length(t) AS n, unnest(range(CASE WHEN length(t) <= 400 THEN 1 ELSE CAST(ceil((length(t) - 60) / 340.0) AS BIGINT) END)) AS i FROM {name}_bare WHERE length(t) >= 10),
+{name}_parts AS (SELECT file_path, source, lang, i, CASE WHEN n <= 400 THEN t ELSE {strip("substr(t, i * 340 + 1, 400)")} END AS content FROM {name}_cut),
+{name} AS (SELECT file_path, source, lang, content, row_number() OVER (PARTITION BY file_path ORDER BY i) - 1 AS chunk_index FROM {name}_parts WHERE length(content) >= 10)"""
+
+
+CHUNKS = cte("plain") + chunks_of("plain") + ", keyed AS (SELECT *, concat(file_path, '#', lpad(CAST(chunk_index AS VARCHAR), 6, '0')) AS key FROM chunks)"
 BODY = f", rows AS (SELECT key, {terms('content')} AS terms FROM keyed)"
 
 
@@ -196,7 +200,16 @@ ORACLES["index_counts"] = CHUNKS + " SELECT (SELECT count(*) FROM plain) AS file
 WANTED = "(SELECT doc_id, 'engine' AS key, lang AS wanted, 'en' AS found FROM documents UNION ALL SELECT doc_id, 'chunk_chars', '400', CASE WHEN doc_id % 6 = 0 THEN '300' ELSE '400' END FROM documents UNION ALL SELECT doc_id, 'scope_config_hash', source, 'src1' FROM documents)"
 ORACLES["manifest_problems"] = f"SELECT CAST(doc_id AS VARCHAR) AS index_id, key, concat(key, ': expected ', wanted, ', found ', found) AS problem FROM {WANTED} WHERE wanted <> found"
 ORACLES["recovery_action"] = "SELECT CAST(doc_id AS VARCHAR) AS index_id, CASE WHEN doc_id % 6 = 0 THEN 'rebuild_all' WHEN lang <> 'en' THEN 'rebuild_vectors' ELSE 'none' END AS action FROM documents"
-ORACLES["incremental_equals_full"] = "SELECT 'none' AS side, CAST(0 AS BIGINT) AS n WHERE false"
+EDITED = cte("plain") + ", edited AS (SELECT doc_id, file_path, source, lang, CASE WHEN doc_id % 4 = 0 THEN concat(text, ' and an added sentence at the end.') ELSE text END AS text FROM plain WHERE doc_id % 9 <> 0)" + chunks_of("plain", "old") + chunks_of("edited", "new")
+ORACLES["apply_changes"] = EDITED + """ SELECT (SELECT count(*) FROM plain WHERE doc_id % 4 = 0 AND doc_id % 9 <> 0) AS changed, (SELECT count(*) FROM plain WHERE doc_id % 9 = 0) AS deleted,
+(SELECT count(*) FROM old JOIN plain USING (file_path) WHERE doc_id % 4 = 0 OR doc_id % 9 = 0) AS removed_chunks, (SELECT count(*) FROM new JOIN edited USING (file_path) WHERE doc_id % 4 = 0) AS added_chunks"""
+ORACLES["incremental_equals_full"] = EDITED + " SELECT table_name, CASE WHEN table_name IN ('chunks', 'vectors') THEN (SELECT count(*) FROM new) ELSE (SELECT count(*) FROM edited) END AS n_rows, CAST(0 AS BIGINT) AS n_different FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'vectors']) AS table_name)"
+ORACLES["build_index_paragraphs"] = CHUNKS + BODY + f""", posted AS (SELECT DISTINCT key, unnest(terms) AS term FROM rows)
+SELECT table_name, CASE table_name WHEN 'manifest' THEN {len(SCHEMA_VERSIONS) + 8} WHEN 'stats' THEN 2 WHEN 'postings' THEN (SELECT count(*) FROM posted) WHEN 'file_fields' THEN (SELECT count(*) FROM plain) WHEN 'file_state' THEN (SELECT count(*) FROM plain) ELSE (SELECT count(*) FROM chunks) END AS n_rows
+FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'manifest', 'postings', 'stats', 'vectors']) AS table_name)"""
+ORACLES["integrity_problems"] = CHUNKS + """, found AS (SELECT 'fields: missing' AS kind FROM plain WHERE doc_id % 5 <> 0 AND doc_id % 6 = 0 UNION ALL SELECT 'fields: orphan' FROM plain WHERE doc_id % 5 = 0 AND doc_id % 6 <> 0
+UNION ALL SELECT 'vectors: missing' FROM chunks WHERE chunk_index % 4 = 3 UNION ALL SELECT 'state: chunk_count' FROM plain WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT 'vectors: dim' FROM chunks WHERE chunk_index % 4 <> 3 AND chunk_index % 5 = 0)
+SELECT kind, count(*) AS n FROM found GROUP BY kind"""
 
 # Conversations
 TITLE = "substr(trim(regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> '')[1:10], ' '), '[\\\\/:*?\"<>|#^\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 60)"
@@ -213,4 +226,59 @@ LAST = ", last AS (SELECT path, arg_max(op, (ts, event_id, op)) AS op FROM singl
 for name in ("coalesce_events", "stream_sync"):
     ORACLES[name] = cte("file_events") + SINGLE + LAST + " SELECT path, op FROM last"
 ORACLES["debounce_events"] = cte("file_events") + SINGLE + ", g AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM single), s AS (SELECT path, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT path, s, count(*) AS n FROM s GROUP BY ALL) SELECT path, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS events, max(n) AS largest FROM b GROUP BY path"
-ORACLES["flush_batches"] = cte("file_events") + SINGLE + LAST + ", n AS (SELECT (row_number() OVER (ORDER BY op, path) - 1) // 50 AS batch_no FROM last) SELECT batch_no, count(*) AS n_paths FROM n GROUP BY batch_no"
+ORACLES["flush_batches"] = cte("file_events") + SINGLE + LAST + " SELECT path, op, (row_number() OVER (ORDER BY op, substr(sha256(path), 1, 2), path) - 1) // 50 AS batch_no FROM last"
+ORACLES["stream_index"] = cte("plain", "file_events") + chunks_of("plain") + SINGLE + LAST + ", n AS (SELECT file_path, count(*) AS n FROM chunks GROUP BY file_path) SELECT file_path, coalesce(n, 0) AS n_chunks FROM plain LEFT JOIN n USING (file_path) WHERE file_path NOT IN (SELECT path FROM last WHERE op = 'deleted')"
+
+# Fields of files
+TAGS = "list_concat([lang, source], regexp_extract_all(concat(chr(10), '## ', lang, ' #', source, chr(10), replace(t, chr(10), concat(chr(10), chr(10)))), '(?:^|[^\\p{L}\\p{N}_/])#([^\\s#]+)', 1))"
+ORDERED = "list_filter(tags, lambda x, i: list_position(list_transform(tags, lambda y: lower(y)), lower(x)) = i)"
+FIELDS = cte("notes") + f""", tagged AS (SELECT n.doc_id, n.file_path, n.source, n.lang, {TAGS} AS tags FROM notes n JOIN (SELECT doc_id AS d, text AS t FROM documents) ON d = n.doc_id),
+fields AS (SELECT file_path, {tokens(f"translate({STEM}, '_-', '  ')")} AS basename_tokens, {tokens(f"translate({FOLDER}, '/_-', '   ')")} AS directory_tokens, {tokens("concat(source, '-', doc_id)")} AS alias_tokens, {tokens(f"array_to_string({ORDERED}, ' ')")} AS tag_tokens,
+  {tokens(f"concat('aliases ', source, '-', doc_id, ' tags ', lang, ' ', source, ' owner team ', source, CASE WHEN doc_id % 10 = 0 THEN concat(' sources ', {SOURCES}) ELSE '' END)")} AS property_tokens FROM tagged)"""
+ORACLES["file_fields"] = FIELDS + " SELECT file_path, " + ", ".join(f"array_to_string({c}_tokens, ' ') AS {c}_tokens" for c in ("basename", "directory", "alias", "tag", "property")) + " FROM fields"
+CUT = "list_filter(flatten(list_transform({}_tokens, lambda t: string_split(t, '_'))), lambda t: t <> '')"
+SCORE = "greatest(ln((n - df + 0.5) / (df + 0.5)), CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE 0 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / average))"
+BEST = " , ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM scored) SELECT query_id, key, round(score, 6) AS score, rank FROM ranked WHERE rank <= 80"
+ORACLES["bm25_files"] = FIELDS + view_only("file_queries") + ", occ AS (" + " UNION ALL ".join(f"SELECT file_path AS key, unnest({CUT.format(c)}) AS term, {w} AS w FROM fields" for c, w in (("basename", 10), ("directory", 7), ("alias", 8), ("tag", 3), ("property", 2))) + f"""),
+tf AS (SELECT key, term, sum(w) AS f FROM occ GROUP BY ALL), lengths AS (SELECT key, count(*) AS d FROM occ GROUP BY key), stats AS (SELECT (SELECT count(*) FROM fields) AS n, (SELECT count(*) FROM occ) / (SELECT count(*) FROM fields) AS average),
+units AS (SELECT query_id, unnest({terms("query")}) AS term FROM file_queries), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, key, sum({SCORE}) AS score FROM units JOIN tf USING (term) JOIN df USING (term) JOIN lengths USING (key), stats GROUP BY query_id, key)""" + BEST
+ORACLES["bm25_prefix_fallback"] = CHUNKS + view_only("queries") + f""", rows AS (SELECT key, {terms("concat(source, ' ', lang)")} AS terms FROM keyed), stats AS (SELECT count(*) AS n, sum(len(terms)) / count(*) AS average FROM rows),
+hit AS (SELECT key, len(terms) AS d, len(list_filter(terms, lambda t: starts_with(t, 'sr'))) AS f FROM rows), df AS (SELECT count(*) AS df FROM hit WHERE f > 0),
+scored AS (SELECT query_id, key, {SCORE} AS score FROM queries, hit, df, stats WHERE f > 0)""" + BEST
+
+# Evidence, step by step
+ORACLES["grounding_sources"] = cte("answer_sources").replace("WITH ", "WITH RECURSIVE ", 1) + f""", shown AS (SELECT query_id, rank, regexp_replace(file_path, '\\d+\\.md', 'x.md') AS file_path, substr({strip("content")}, 1, 3000) AS content FROM answer_sources WHERE {strip("content")} <> ''),
+listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM shown),
+fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS n, 0 AS k, CAST([] AS VARCHAR[]) AS files, 0 AS size, false AS stopped, false AS taken, CAST(NULL AS VARCHAR) AS file_path, 0 AS n_chars, 0 AS rank FROM listed
+  UNION ALL SELECT query_id, n, k + CAST(takes AS INT), CASE WHEN takes THEN list_append(files, path) ELSE files END, CASE WHEN takes THEN start + least(chars, room) ELSE size END, stopped OR (NOT skip AND room <= 0), takes, path, CAST(least(chars, room) AS INT), r
+  FROM (SELECT *, NOT skip AND room > 0 AS takes FROM (SELECT *, stopped OR len(list_filter(files, lambda x: x = path)) >= 2 AS skip, 6000 - start AS room FROM (
+    SELECT f.query_id, l.n, f.k, f.files, f.size, f.stopped, l.file_path AS path, l.rank AS r, CAST(length(l.content) AS INT) AS chars,
+      CAST(f.size + CASE WHEN f.size > 0 THEN 2 ELSE 0 END + length(concat('<source id="S', f.k + 1, '">', chr(10), 'path: ', l.file_path, chr(10), 'line: 1', chr(10), 'heading: h', chr(10), 'snippet:', chr(10), chr(10), '</source>')) AS INT) AS start
+    FROM fold f JOIN listed l ON l.query_id = f.query_id AND l.n = f.n + 1))))
+SELECT query_id, k AS source_no, concat('S', k) AS source_id, file_path, n_chars, rank FROM fold WHERE taken"""
+ORACLES["evidence_budget"] = cte("answer_sources").replace("WITH ", "WITH RECURSIVE ", 1) + """, listed AS (SELECT query_id, source_no AS item_no, CASE WHEN source_no % 2 = 0 THEN 'read' ELSE 'search' END AS kind, CAST(least(length(content), CASE WHEN source_no % 2 = 0 THEN 40000 ELSE 3000 END) AS INT) AS chars, row_number() OVER (PARTITION BY query_id ORDER BY source_no) AS n FROM answer_sources),
+fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS n, 0 AS size, false AS taken, 0 AS item_no, '' AS kind, 0 AS n_chars FROM listed
+  UNION ALL SELECT f.query_id, l.n, CASE WHEN f.size + l.chars <= 5000 THEN f.size + l.chars ELSE f.size END, f.size + l.chars <= 5000, l.item_no, l.kind, l.chars FROM fold f JOIN listed l ON l.query_id = f.query_id AND l.n = f.n + 1)
+SELECT query_id, item_no, kind, n_chars FROM fold WHERE taken"""
+
+
+def swept(width: int) -> str:
+    given = "given AS (SELECT query_id, channel, concat(file_path, '#000000') AS key, rank FROM (SELECT query_id, channel, file_path, rank FROM hits UNION ALL SELECT query_id, 'vector', file_path, doc_id * 7 % 50 + 1 FROM gold) WHERE rank <= " + f"{width})"
+    ranking = ", ranked AS (SELECT query_id, replace(key, '#000000', '') AS file_path, rank FROM fused WHERE rank <= 200)"
+    return f"(WITH {given}{FUSED}{ranking}{metrics()} SELECT {width} AS width, round(avg(got_40 / wanted) FILTER (wanted > 0), 6) AS recall_40, round(avg(mrr_10) FILTER (wanted > 0), 6) AS mrr_10, CAST(sum(forbidden_40) AS BIGINT) AS forbidden_40 FROM metrics)"
+
+
+ORACLES["sweep_widths"] = cte("queries", "gold", "hits") + ", sweep AS (" + " UNION ALL ".join(f"SELECT * FROM {swept(w)}" for w in (5, 20, 40, 80)) + "), judged AS (SELECT *, recall_40 >= (SELECT max(recall_40) FROM sweep) AND forbidden_40 <= (SELECT min(forbidden_40) FROM sweep) AS passes FROM sweep) SELECT *, coalesce(width = (SELECT min(width) FROM judged WHERE passes), NULL) AS chosen FROM judged"
+FREE = ", drafts AS (SELECT conv_id, conv_id % 6 AS k, row_number() OVER (PARTITION BY conv_id % 6 ORDER BY conv_id) AS n FROM sessions), taken AS (SELECT DISTINCT conv_id % 6 AS k, CASE WHEN conv_id % 10 = 0 THEN 0 ELSE conv_id % 40 END AS no FROM sessions WHERE conv_id % 10 < 3), free AS (SELECT k, no, row_number() OVER (PARTITION BY k ORDER BY no) AS n FROM (SELECT unnest(range(6)) AS k) CROSS JOIN (SELECT unnest(range(1001)) AS no) ANTI JOIN taken USING (k, no))"
+ORACLES["plan_note_paths"] = cte("sessions") + FREE + " SELECT conv_id AS draft_id, CASE WHEN no IS NOT NULL THEN concat('Notes/Plan ', k, CASE WHEN no = 0 THEN '' ELSE concat(' ', no) END, '.md') END AS path, CASE WHEN no IS NULL THEN 'no_free_path' ELSE 'ok' END AS status FROM drafts LEFT JOIN free USING (k, n)"
+
+
+def collapsed(x: str) -> str:
+    return strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+
+
+ORACLES["render_digest"] = DIRECT + f""", lines AS (SELECT query_id, rank, concat('- [[', regexp_replace(file_path, '\\.md$', ''), '#', lang, '|', {STEM}, ' › ', lang, ']]', chr(10), '  ', CASE WHEN length(t) > 240 THEN concat(substr(t, 1, 240), '…') ELSE t END) AS line FROM (SELECT d.query_id, d.rank, p.file_path, p.lang, {collapsed("p.text")} AS t FROM direct d JOIN plain p USING (file_path) WHERE rank <= 5)),
+listing AS (SELECT query_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS body FROM lines GROUP BY query_id),
+digests AS (SELECT query_id, concat('# ', {collapsed("query")}, chr(10), chr(10), '2026-01-01 · ', coalesce(n, 0), ' results', chr(10), chr(10), coalesce(body, 'No results.')) AS d FROM queries LEFT JOIN listing USING (query_id))
+SELECT query_id, length(d) AS n_chars, sha256(d) AS digest_hash FROM digests"""

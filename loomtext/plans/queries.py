@@ -431,12 +431,10 @@ def baseline_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sweep_widths(spark: SparkSession, sf: str) -> DataFrame:
-    cases, ranked = _cases(spark, sf), _ranked(spark, sf)
-    out = None
-    for width in (1, 2, 3, 5):
-        part = evaluate.case_metrics(cases, ranked.where(F.col("rank") <= width)).withColumn("width", F.lit(width))
-        out = part if out is None else out.unionByName(part)
-    return evaluate.sweep(out).select(F.col("width").cast("long").alias("width"), "recall_40", "mrr_10", F.col("forbidden_40").cast("long").alias("forbidden_40"), "passes", "chosen")
+    """Channels cut at several widths and fused again: the least width that finds as much as any."""
+    gold = view(spark, sf, "gold").select("query_id", F.lit("vector").alias("channel"), "file_path", (F.col("doc_id") * 7 % 50 + 1).alias("rank"))
+    hits = _hits(spark, sf).select("query_id", "channel", "file_path", "rank").unionByName(gold).withColumn("key", F.concat("file_path", F.lit("#000000")))
+    return evaluate.sweep_channels(hits, _cases(spark, sf), (5, 20, 40, 80), WEIGHTS).select(F.col("width").cast("long").alias("width"), "recall_40", "mrr_10", F.col("forbidden_40").cast("long").alias("forbidden_40"), "passes", "chosen")
 
 
 @query
@@ -485,9 +483,9 @@ def route_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Notes before and after an edit, and the routed changes: some texts shortened, some notes gone."""
-    old = view(spark, sf, "notes").select("doc_id", "file_path", "text", "file_size", "modified_ns")
-    new = old.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\n\n## more\n\nan added paragraph"))).otherwise(F.col("text")))
+    """Notes before and after an edit, and the routed changes: some texts lengthened, some notes gone."""
+    old = view(spark, sf, "plain").select("doc_id", "file_path", "text", "file_size", "modified_ns")
+    new = old.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" and an added sentence at the end."))).otherwise(F.col("text")))
     touched = old.where("doc_id % 9 = 0 OR doc_id % 4 = 0").select(F.col("file_path").alias("path"), F.lit("changed").alias("op"))
     return old, new, sync.route_paths(touched, new, CONFIG.include, CONFIG.exclude)
 
@@ -495,19 +493,23 @@ def _edited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 @query
 def apply_changes(spark: SparkSession, sf: str) -> DataFrame:
     old, new, routed = _edited(spark, sf)
-    config = Config(chunker="markdown-v2")
-    before = build.note_tables(old, config)
-    after = sync.apply_changes(before, routed, new, lambda n: build.note_tables(n, config))
+    before = build.note_tables(old, CONFIG)
+    after = sync.apply_changes(before, routed, new, lambda n: build.note_tables(n, CONFIG))
     return sync.change_summary(routed, before["chunks"], after["chunks"])
 
 
 @query
 def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
-    """No row: chunks after a sync are those of a rebuild."""
+    """Of each table the rows after a sync, and how many of them a rebuild lacks or has besides: none."""
     old, new, routed = _edited(spark, sf)
-    config = Config(chunker="markdown-v2")
-    after = sync.apply_changes(build.note_tables(old, config), routed, new, lambda n: build.note_tables(n, config))
-    return sync.differences(after["chunks"], build.note_tables(new, config)["chunks"]).groupBy("side").agg(F.count("*").alias("n"))
+    after = sync.apply_changes(build.note_tables(old, CONFIG), routed, new, lambda n: build.note_tables(n, CONFIG))
+    full, scratch, out = build.note_tables(new, CONFIG), Scratch(spark, "sides"), None
+    for name in sorted(full):
+        one = scratch.cut(after[name], f"{name}-after")
+        differ = sync.differences(one, scratch.cut(full[name], f"{name}-full")).agg(F.count("*").alias("n_different"))
+        part = scratch.read(f"{name}-after").agg(F.count("*").alias("n_rows")).join(F.broadcast(differ)).select(F.lit(name).alias("table_name"), "n_rows", "n_different")  # single rows
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -539,11 +541,14 @@ def index_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def integrity_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """An index in which fields, states, vectors and counts of some notes are lacking or wrong."""
     docs = view(spark, sf, "plain")
     chunks = _chunks(spark, sf)
-    state = build.file_state(docs, chunks).where("modified_ns % 5000 <> 0")
-    made = chunks.where("chunk_index % 4 <> 3").select("file_path", "chunk_index", F.array(F.lit(0.0)).alias("embedding"))
-    return index.integrity_problems(chunks.where("chunk_index < 6"), docs.where("doc_id % 6 <> 0").select("file_path"), state, made, 1)
+    more = F.when(F.col("modified_ns") % 7000 == 0, F.col("chunk_count") + 1).otherwise(F.col("chunk_count"))
+    state = build.file_state(docs, chunks).where("modified_ns % 5000 <> 0").withColumn("chunk_count", more)
+    zero = F.lit(0.0)
+    made = chunks.where("chunk_index % 4 <> 3").select("file_path", "chunk_index", F.when(F.col("chunk_index") % 5 == 0, F.array(zero, zero)).otherwise(F.array(zero)).alias("embedding"))
+    return index.integrity_problems(chunks, docs.where("doc_id % 6 <> 0").select("file_path"), state, made, 1)
 
 
 def _manifests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -575,6 +580,19 @@ def build_index(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query
+def build_index_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the plain documents, in chunks of paragraphs, read back from the generation that was written."""
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    sources.write_index(build.build_index(view(spark, sf, "plain"), CONFIG), root, "g1")
+    tables = sources.read_index(spark, root, *sources.generations(spark, root))
+    out = None
+    for name, df in sorted(tables.items()):
+        part = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Conversations
 
 
@@ -612,9 +630,10 @@ def recent_window(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def plan_note_paths(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "sessions")
-    drafts = rows.select(F.col("conv_id").alias("draft_id"), F.concat(F.lit("Plan "), (F.col("conv_id") % 6).cast("string")).alias("title"), F.col("title").alias("text"), F.lit("2026-01-01").alias("created"))
-    taken = rows.where("conv_id % 10 = 0").select(F.concat(F.lit("Notes/Plan "), (F.col("conv_id") % 6).cast("string"), F.lit(".md")).alias("path"))
-    return history.plan_note_paths(drafts, taken).select("draft_id", "path")
+    name = F.concat(F.lit("Plan "), (F.col("conv_id") % 6).cast("string"))
+    drafts = rows.select(F.col("conv_id").alias("draft_id"), name.alias("title"), F.col("title").alias("text"), F.lit("2026-01-01").alias("created"))
+    taken = rows.where("conv_id % 10 < 3").select(F.concat(F.lit("Notes/"), name, F.when(F.col("conv_id") % 10 == 0, "").otherwise(F.concat(F.lit(" "), (F.col("conv_id") % 40).cast("string"))), F.lit(".md")).alias("path"))
+    return history.plan_note_paths(drafts, taken).select("draft_id", "path", "status")
 
 
 @query
@@ -650,24 +669,47 @@ def debounce_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flush_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = streaming.flush_batches(streaming.coalesce_events(view(spark, sf, "file_events")), 50)
-    return rows.groupBy("batch_no").agg(F.count("*").alias("n_paths"))
+    return streaming.flush_batches(streaming.coalesce_events(view(spark, sf, "file_events")), 50).select("path", "op", F.col("batch_no").cast("long").alias("batch_no"))
+
+
+def _event_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """The events as a stream of four files in order of time, one a micro-batch; a stream takes files in the order in which they were written."""
+    parts = Scratch(spark, "events").cut(table(spark, sf, "events").repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()), "parts")
+    for k in range(4):
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    schema = spark.read.parquet(f"{folder}/events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    typed = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "rename").otherwise("modify")
+    old = F.concat(F.lit("notes/s"), (F.col("user_id") % 20).cast("string"), F.lit("/doc_"), F.col("user_id").cast("string"), F.lit(".md"))
+    return typed.select("event_id", "ts", F.when(kind == "rename", F.concat(F.lit("renamed/doc_"), F.col("user_id").cast("string"), F.lit(".md"))).otherwise(old).alias("file_path"), old.alias("old_path"), kind.alias("op"))
 
 
 @query
 def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, applied to a table of paths in micro-batches; the same as coalescing the whole table."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    typed = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "rename").otherwise("modify")
-    old = F.concat(F.lit("notes/s"), (F.col("user_id") % 20).cast("string"), F.lit("/doc_"), F.col("user_id").cast("string"), F.lit(".md"))
-    events = typed.select("event_id", "ts", F.when(kind == "rename", F.concat(F.lit("renamed/doc_"), F.col("user_id").cast("string"), F.lit(".md"))).otherwise(old).alias("file_path"), old.alias("old_path"), kind.alias("op"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
 
-    streaming.stream_sync(events, apply, f"{folder}/checkpoint").awaitTermination()
+    streaming.stream_sync(_event_stream(spark, sf, folder), apply, f"{folder}/checkpoint").awaitTermination()
     applied = spark.read.parquet(f"{folder}/state")
-    return applied.groupBy("path").agg(F.max_by("op", F.struct("batch_id", "ts")).alias("op"))
+    return applied.groupBy("path").agg(F.max_by("op", F.struct("ts", "batch_id")).alias("op"))
+
+
+@query
+def stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same stream applied to an index, one batch of each four being refused once: what is left of the notes, and their chunks."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    notes = lambda: view(spark, sf, "plain").select("file_path", "text", "file_size", "modified_ns")
+    turns = iter(range(1000))
+    keeper = streaming.IndexSync(spark, f"{folder}/index", notes, lambda n: build.note_tables(n, CONFIG), CONFIG, 50, 1 << 30, lambda f: f.where(F.pmod("batch_no", F.lit(4)) == next(turns) % 4))
+    keeper.start()
+    streaming.stream_sync(_event_stream(spark, sf, folder), keeper.apply, f"{folder}/checkpoint").awaitTermination()
+    last = max(int(g) for g in sources.generations(spark, keeper.root))
+    keeper.rejected = None
+    keeper.apply(streaming.coalesce_events(view(spark, sf, "file_events").where("false")), last + 1)  # what was put back
+    tables = keeper.tables()
+    counts = tables["chunks"].groupBy("file_path").agg(F.count("*").alias("n_chunks"))
+    return tables["file_state"].join(counts, "file_path", "left").select("file_path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

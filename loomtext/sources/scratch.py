@@ -10,10 +10,12 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (in tests, where it is unset) a folder of our own."""
+    """spark.checkpoint.dir, or (in tests, where it is unset) a folder of our own; that is no choice on a cluster, whose machines could not read it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
         folder = sc.getCheckpointDir()
     return folder

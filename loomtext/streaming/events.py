@@ -1,18 +1,23 @@
 """File-change events as a stream, applied to index tables in micro-batches.
 
 Coalescing needs no state beyond a micro-batch: the last operation of a path wins, and what is applied twice gives the same
-tables. The journal of pending paths is a table, so a failed batch is replayed from the checkpoint or read from the journal.
+tables. Each micro-batch makes a generation of the index from the one before, with the paths that were put back; its number is the batch's, so a batch
+that failed is made again from the same state when the checkpoint replays it, and one that was applied is not applied twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.operators.sync import renames
+from loomtext.config import Config
+from loomtext.functions.scope import in_scope
+from loomtext.operators.sync import DRAIN_LIMIT, apply_changes, reconcile, recovery_plan, renames, route_paths
+from loomtext.sources.notes import generations, read_index, write_index
+from loomtext.sources.scratch import Scratch
 
 QUIET = "1500 milliseconds"
 LATE = "1 hour"
@@ -40,12 +45,12 @@ def debounced(events: DataFrame, quiet: str = QUIET, late: str | None = LATE) ->
 
 
 def flush_batches(coalesced: DataFrame, size: int = BATCH) -> DataFrame:
-    """path, op, batch_no: changed paths first, then deleted ones, in batches.
+    """path, op, batch_no: changed paths first, then deleted ones, in batches; what changed paths leave of a batch is filled with deleted ones.
 
-    Positions are counted by operation and hash range, not over all paths in one task.
+    Paths go in order of a hash's first digits, then of their names; positions are counted by operation and digits, not over all paths in one task.
     """
-    placed = coalesced.select("path", "op", F.pmod(F.xxhash64("path"), F.lit(64)).cast("int").alias("part"))
-    counts = placed.groupBy("op", "part").agg(F.count("*").alias("n"))  # at most 128 rows
+    placed = coalesced.select("path", "op", F.substring(F.sha2("path", 256), 1, 2).alias("part"))
+    counts = placed.groupBy("op", "part").agg(F.count("*").alias("n"))  # at most 512 rows
     starts = counts.select("op", "part", F.coalesce(F.sum("n").over(Window.orderBy("op", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("op", "part").orderBy("path"))
     rows = placed.withColumn("n", within).join(F.broadcast(starts), ["op", "part"])
@@ -59,3 +64,54 @@ def stream_sync(events: DataFrame, apply: Callable[[DataFrame, int], None], chec
         apply(coalesce_events(batch), batch_id)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class IndexSync:
+    """Keeps the generations of an index below root in step with a stream of events; apply() is what stream_sync() calls.
+
+    notes() gives the notes as they are now, build() the tables that some notes make. Paths go in batches of at most size; rejected(flushed) may return the
+    batch_no of batches that cannot be applied: their paths are put back and go with the next micro-batch, unless a newer operation has come meanwhile. With more than
+    DRAIN_LIMIT paths to apply, states are reconciled strictly against the notes instead, and nothing has to be drained.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, notes: Callable[[], DataFrame], build: Callable[[DataFrame], dict[str, DataFrame]], config: Config, size: int = BATCH, drain_limit: int = DRAIN_LIMIT, rejected: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.root, self.notes, self.build, self.config, self.size, self.drain_limit, self.rejected = spark, root, notes, build, config, size, drain_limit, rejected
+
+    def start(self) -> None:
+        """Generation -1: the index of the notes as they are, where there is none yet."""
+        if not generations(self.spark, self.root):
+            tables = self.build(self.notes())
+            self._write(tables, self.spark.createDataFrame([], "path string, op string, ts timestamp"), -1)
+
+    def tables(self, before: int | None = None) -> dict[str, DataFrame]:
+        """The tables of the last complete generation (below a number)."""
+        known = [int(g) for g in generations(self.spark, self.root)]
+        return read_index(self.spark, self.root, str(max(g for g in known if before is None or g < before)))
+
+    def apply(self, coalesced: DataFrame, batch_id: int) -> None:
+        if str(batch_id) in generations(self.spark, self.root):
+            return  # applied before the checkpoint knew
+        scratch = Scratch(self.spark, "sync")
+        tables = self.tables(batch_id)
+        back = tables.pop("requeued")
+        tables.pop("manifest")
+        waiting = coalesced.select("path", "op", "ts").withColumn("new", F.lit(1)).unionByName(back.withColumn("new", F.lit(0)))
+        last = waiting.groupBy("path").agg(F.max_by(F.struct("op", "ts"), F.struct("new", "ts", F.col("op"))).alias("e"))
+        pending = scratch.cut(last.select("path", "e.op", "e.ts"), "pending")
+        notes = self.notes()
+        if recovery_plan(pending.select(F.col("path").alias("file_path")), self.drain_limit).first()["plan"] == "strict_reconcile":
+            found = reconcile(notes.where(in_scope(F.col("file_path"), self.config.include, self.config.exclude)), tables["file_state"], "strict")
+            routed = found.where("change IN ('new', 'changed', 'stat_only', 'deleted')").select("file_path", F.when(F.col("change") == "deleted", "deleted").otherwise("changed").alias("op"))
+            requeued = pending.where("false")
+        else:
+            flushed = scratch.cut(flush_batches(pending, self.size), "flushed")
+            out = self.rejected(flushed).select("batch_no").distinct() if self.rejected else flushed.select("batch_no").where("false")
+            refused = scratch.cut(flushed.join(out, "batch_no", "left_semi").select("path"), "refused")
+            requeued = pending.join(refused, "path", "left_semi")
+            routed = route_paths(pending.join(refused, "path", "left_anti").select("path", "op"), notes, self.config.include, self.config.exclude)
+        routed = scratch.cut(routed, "routed")
+        self._write(apply_changes(tables, routed, notes, self.build), requeued, batch_id)
+
+    def _write(self, tables: dict[str, DataFrame], requeued: DataFrame, batch_id: int) -> None:
+        manifest = self.spark.createDataFrame([(str(batch_id), "generation", str(batch_id))], "index_id string, key string, value string")
+        write_index(tables | {"requeued": requeued.select("path", "op", "ts"), "manifest": manifest}, self.root, str(batch_id), "overwrite")

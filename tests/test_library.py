@@ -303,6 +303,98 @@ def test_streams(spark):
     assert batches["b.md"] == 0 and sorted(batches.values()) == [0, 0, 1]
 
 
+def test_index_sync(spark, tmp_path):
+    """Batches are put back when refused, made again after a failure, and give what a rebuild gives; many paths are reconciled."""
+    names = [f"n{i}.md" for i in range(12)]
+    now = {p: f"the text of note {p} as it was first" for p in names}
+    notes = lambda: spark.createDataFrame([(p, t, len(t), 1) for p, t in now.items()], "file_path string, text string, file_size int, modified_ns long")
+    config, calls = Config(), []
+    fail = {"left": 1}
+
+    def made(rows):
+        calls.append(1)
+        if len(calls) > 1 and fail["left"]:
+            fail["left"] -= 1
+            raise RuntimeError("no encoder")
+        return build.note_tables(rows, config)
+
+    sync_ = streaming.IndexSync(spark, str(tmp_path / "index"), notes, made, config, 2)
+    sync_.start()
+    schema = "event_id int, ts timestamp, file_path string, old_path string, op string"
+
+    def put(*events):
+        spark.createDataFrame(events, "event_id int, ts string, file_path string, old_path string, op string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+        streaming.stream_sync(stream, sync_.apply, str(tmp_path / "checkpoint")).awaitTermination()
+
+    def same():
+        full = build.note_tables(notes(), config)
+        for name in ("chunks", "file_fields", "file_state", "vectors"):
+            assert sync.differences(sync_.tables()[name], full[name]).count() == 0, name
+
+    at = "2026-01-01 00:00:0"
+    now["n0.md"], now["new.md"] = "another text of the first note", "a note that was not there"
+    del now["n1.md"]
+    put((1, at + "1", "n0.md", None, "modify"), (2, at + "2", "new.md", None, "create"), (3, at + "3", "n1.md", None, "delete"))
+    with pytest.raises(Exception, match="no encoder"):
+        run()
+    assert sources.generations(spark, sync_.root) == ["-1"] and sync_.tables()["file_state"].count() == 12
+    run()  # the checkpoint replays the batch
+    assert sorted(sources.generations(spark, sync_.root)) == ["-1", "0"]
+    same()
+    sync_.rejected = lambda flushed: flushed.where("batch_no = 0")
+    now["n2.md"], now["n3.md"], now["n4.md"] = ("changed once more " + x for x in "abc")
+    put((4, at + "4", "n2.md", None, "modify"), (5, at + "5", "n3.md", None, "modify"), (6, at + "6", "n4.md", None, "modify"))
+    run()
+    back = {r["path"] for r in sync_.tables()["requeued"].collect()}
+    assert len(back) == 2 and back < {"n2.md", "n3.md", "n4.md"}
+    sync_.rejected = None
+    del now["n2.md"]
+    put((7, at + "7", "n2.md", None, "delete"))
+    run()
+    assert sync_.tables()["requeued"].count() == 0
+    same()
+    sync_.drain_limit = 2
+    for p in ("n5.md", "n6.md", "n7.md"):
+        now[p] += " and more"
+    del now["n8.md"]
+    put((8, at + "8", "n5.md", None, "modify"), (9, at + "8", "n6.md", None, "modify"), (10, at + "9", "n7.md", None, "modify"))
+    run()  # too many to drain: what no event told is found too
+    same()
+    sync_.apply(streaming.coalesce_events(spark.createDataFrame([], schema)), 3)
+    assert len(sources.generations(spark, sync_.root)) == 5
+
+
+def test_reports(spark, tmp_path):
+    cases = spark.createDataFrame([("a", ["x"], [], [], 10.0)], "case_id string, expected_paths array<string>, acceptable_paths array<string>, forbidden_paths array<string>, latency_ms double")
+    rows = evaluate.case_metrics(cases, spark.createDataFrame([("a", "x", 1)], "case_id string, file_path string, rank int"))
+    sources.write_report(evaluate.aggregate_metrics(rows), rows, str(tmp_path / "report"))
+    metrics, back = sources.read_report(spark, str(tmp_path / "report"))
+    assert metrics.first()["recall_40"] == 1.0 and back.first()["case_id"] == "a" and back.first()["complete"]
+    (tmp_path / "one.json").write_text('{"metrics": {"recall_40": 0.5}, "cases": [{"case_id": "a", "complete": false}, {"case_id": "b", "complete": true}]}')
+    metrics, back = sources.read_report(spark, str(tmp_path / "one.json"))
+    assert metrics.first()["recall_40"] == 0.5 and back.count() == 2
+
+
+def test_analyzer_reaches_index_and_queries(spark):
+    analyzer = lambda c: F.transform(F.filter(F.split(F.lower(c), r"\W+"), lambda x: F.length(x) > 3), lambda x: F.substring(x, 1, 4))
+    notes = spark.createDataFrame([("a.md", "# Running\n\nthe runners went home quickly", 1, 1), ("b.md", "# Other\n\nsomething else is written", 1, 1)], "file_path string, text string, file_size int, modified_ns long")
+    config = Config(chunker="markdown-v2")
+    tables = build.build_index(notes, config, analyzer=analyzer)
+    assert {"runn", "quic"} <= {r["term"] for r in tables["postings"].collect()}
+    asked = spark.createDataFrame([(1, "runnable"), (2, "somewhere")], "query_id int, query string")
+    hits = search.channel_hits(tables, asked, config, analyzer=analyzer).where("channel = 'body'").collect()
+    assert {(r["query_id"], r["key"].split("#")[0]) for r in hits} == {(1, "a.md"), (2, "b.md")}
+
+
+def test_config_is_clamped():
+    found = Config(chunk_chars=3, overlap_chars=500, bm25_top_k=0, vector_top_k=-1, final_top_k=0, rrf_k=0, title_rrf_weight=-1.0, max_chunks_per_file=0, vector_dim=0).clamped()
+    assert (found.chunk_chars, found.overlap_chars, found.bm25_top_k, found.vector_top_k, found.final_top_k, found.rrf_k, found.title_rrf_weight, found.max_chunks_per_file, found.vector_dim) == (100, 99, 1, 1, 1, 1, 0.0, 1, 1)
+    assert Config().clamped() == Config()
+
+
 def test_vectors(spark):
     import numpy as np
 
