@@ -2,15 +2,18 @@
 
 A row (chunk, heading path or file) has terms, in one or more weighted fields. Queries are exploded into units, a unit being a token, or the run of
 parts of a token with underscores, or a whole phrase, or a prefix. Only occurrences of terms that some query asks for leave their rows; they are
-counted by row, written once, and dealt by row, so that where the queries' terms are few enough to be sent to every task, scores are summed by
-(query, row) and the best rows of each task are chosen before anything is shuffled again. Larger query sets meet the occurrences in a sorted join by term,
-whose hot terms Spark splits.
+counted by row and written once. Queries of plain terms and their occurrences are dealt to blocks, of queries and of rows: a task adds a term's
+shares to the scores of the queries that ask for it, a bounded number of scores at a time, and returns its k best a query, so a word that stands in every row
+costs additions and no rows. Other queries (phrases, prefixes, all of their terms) join the occurrences and sum scores by (query, row).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ K1, B = 1.2, 0.75
 #: Weights of the fields of a file.
 FIELD_WEIGHTS = {"basename": 10.0, "directory": 7.0, "alias": 8.0, "tag": 3.0, "property": 2.0}
 UNIT = ["query_id", "unit", "n_units"]
+#: Queries and rows that a task scores against each other, about, and scores that it holds at once.
+QUERIES, ROWS, SCORES = 256, 1 << 16, 1 << 22
 
 
 def rows_of(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -72,8 +77,11 @@ def _idf(n: int, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
 
-def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool = False) -> DataFrame:
-    """query_id, key, score: BM25 of the rows that fit the mode. With prefix, the last unit of a query stands for every term that it starts."""
+def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool = False, k: int | None = None) -> DataFrame:
+    """query_id, key, score: BM25 of the rows that fit the mode. With prefix, the last unit of a query stands for every term that it starts.
+
+    Given k, rows that are not among a query's k best may be left out.
+    """
     scratch = Scratch(rows.sparkSession, "lexical")
     rows = fielded(rows)
     stats = corpus_stats(rows).first()
@@ -87,6 +95,10 @@ def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool =
         single = wanted.where("kind = 'term'").select(*UNIT, "term")
         posted = scratch.cut(_f(["term"], _counted(rows).join(single.select("term").distinct(), "term", "left_semi")), "posted")
         weighed = single.join(document_frequency(posted), "term").withColumn("idf", _idf(n, F.col("df"))).drop("df")
+        if k and mode == "any" and kinds == {"term"}:
+            share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / average))
+            asked = weighed.groupBy("query_id", "term").agg(F.sum("idf").alias("weight"))
+            return _best_in_blocks(asked, scratch.read("posted").select("key", "term", share.alias("share")), n, k)
         found.append(weighed.join(scratch.read("posted"), "term"))
     others = []
     if "run" in kinds:
@@ -115,6 +127,53 @@ def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool =
     return (summed.where("units = n_units") if mode == "all" else summed).select("query_id", "key", "score")
 
 
+def _best_in_blocks(asked: DataFrame, posted: DataFrame, n_rows: int, k: int) -> DataFrame:
+    """query_id, key, score of asked(query_id, term, weight) and posted(key, term, share): for each block of rows a query's k best, with a score above 0."""
+    n_asked = asked.select("query_id").distinct().count()
+    blocks, parts = max(1, -(-n_asked // QUERIES)), max(1, -(-n_rows // ROWS), min(64, -(-n_rows // 4096)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"), every(parts).alias("v"), "query_id", F.col("term").alias("asked"), "weight")
+    right = posted.select(every(blocks).alias("r"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("w"), "key", "term", "share")
+
+    def score(some: pa.Table, them: pa.Table) -> pa.Table:
+        ids, keys = (pc.unique(c.combine_chunks()) for c in (some.column("query_id"), them.column("key")))
+        keys = keys.take(pc.sort_indices(keys))
+        place = lambda column, among: pc.fill_null(pc.index_in(column.combine_chunks(), among), -1).to_numpy(zero_copy_only=False)
+        terms = pc.unique(some.column("asked").combine_chunks())
+        query, term, weight = place(some.column("query_id"), ids), place(some.column("asked"), terms), some.column("weight").to_numpy()
+        by_term = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        row, of, share = place(them.column("key"), keys), place(them.column("term"), terms), them.column("share").to_numpy()
+        order = np.lexsort((of, row // (step := max(1, SCORES // max(1, len(ids))))))
+        order = order[of[order] >= 0]
+        row, of, share = row[order], of[order], share[order]
+        out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(keys), step):
+            total = np.zeros((len(ids), min(step, len(keys) - start)))
+            a, b = np.searchsorted(row // step, [start // step, start // step + 1])
+            edges = [a, *(a + 1 + np.flatnonzero(np.diff(of[a:b]))).tolist(), b] if b > a else []
+            for c, d in zip(edges, edges[1:], strict=False):
+                them_asking = by_term[first[of[c]] : first[of[c] + 1]]
+                total[query[them_asking][:, None], row[c:d] - start] += weight[them_asking][:, None] * share[c:d]
+            out = kept_best(*out, total, start, k, 0.0)
+        return pa.table({"query_id": ids.take(pa.array(out[0])), "key": keys.take(pa.array(out[1])), "score": pa.array(out[2])})
+
+    return left.groupBy("q", "v").cogroup(right.groupBy("r", "w")).applyInArrow(score, f"query_id {dict(asked.dtypes)['query_id']}, key {dict(posted.dtypes)['key']}, score double")
+
+
+def kept_best(row: np.ndarray, column: np.ndarray, score: np.ndarray, part: np.ndarray, start: int, k: int, above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) so far with those of part, a matrix whose first column is start: the k largest above a bound of each row, equal ones (to 12 places) in order of column."""
+    rough = np.round(part, 12)
+    n = part.shape[1]
+    least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
+    r, c = np.nonzero((rough >= least[:, None]) & (part > above))
+    row, column, score = np.concatenate([row, r]), np.concatenate([column, c + start]), np.concatenate([score, part[r, c]])
+    sort = np.lexsort((column, -np.round(score, 12), row))
+    row, column, score = row[sort], column[sort], score[sort]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept], score[kept]
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query with their rank; equal scores (to 12 places) in order of key."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), F.asc("key"))
@@ -126,7 +185,7 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", pr
 
     rows are read several times; they should be a table, not a plan that is dear to run.
     """
-    best = ranked(scores(units(queries, mode), rows, mode), k)
+    best = ranked(scores(units(queries, mode), rows, mode, k=k), k)
     if not prefix_fallback or mode == "phrase":
         return best
     scratch = Scratch(queries.sparkSession, "fallback")
@@ -137,7 +196,7 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", pr
 
 def bm25_prefix(queries: DataFrame, rows: DataFrame, k: int, mode: str) -> DataFrame:
     """BM25 with the last token of each query as a prefix."""
-    return ranked(scores(units(queries), rows, mode, prefix=True), k)
+    return ranked(scores(units(queries), rows, mode, prefix=True, k=k), k)
 
 
 def file_rows(fields: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
