@@ -38,8 +38,10 @@ from loomtext.llm.sketch import Hasher, _mixed
 SAMPLE = 4000
 DIMENSIONS = 1 << 16
 KEEP = 0.5
+#: Features that the driver looks at together when it fits.
+PART = 1 << 19
 #: Labelled documents, at most, on which the scorer of toxic vocabulary is fitted, and the probability from which a document is toxic.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 1500
 TOXIC = 0.5
 #: Lengths in bytes of the beginnings of words that it looks at, beside whole words, and the dimensions that these are hashed to.
 STEMS, STEM_DIMENSIONS = (5, 6, 7, 8, 10), 1 << 18
@@ -168,16 +170,17 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, di
     weights, bias = np.zeros(dimensions), 0.0
     if not rows:
         return weights, bias
-    at, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    at, values = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    parts = [slice(k, k + PART) for k in range(0, len(at), PART)]
     first, second, of_bias = np.zeros(dimensions), np.zeros(dimensions), [0.0, 0.0]
     # Both classes weigh the same, however rare one is.
     share = np.clip(labels.mean(), 0.02, 0.98)
     importance = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
     for k in range(1, rounds + 1):
-        z = np.bincount(row, values * weights[at], len(rows)) + bias
+        z = sum((np.bincount(row[p], values[p] * weights[at[p]], len(rows)) for p in parts), np.full(len(rows), bias))
         error = (1 / (1 + np.exp(-z)) - labels) * importance / len(rows)
-        slope = np.bincount(at, values * error[row], dimensions) + decay * weights
+        slope = sum((np.bincount(at[p], values[p] * error[row[p]], dimensions) for p in parts), decay * weights)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         of_bias = [0.9 * of_bias[0] + 0.1 * error.sum(), 0.999 * of_bias[1] + 0.001 * error.sum() ** 2]
         warm = 1 - 0.9**k, 1 - 0.999**k
@@ -259,7 +262,8 @@ def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] |
     picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
     if picked["toxic"].nunique() < 2:
         return None
-    weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["toxic"].to_numpy(float), STEM_DIMENSIONS)
+    toxic, found = picked["toxic"].to_numpy(float), list(zip(picked.pop("at"), picked.pop("values"), strict=True))
+    weights, bias = fit_scorer(found, toxic, STEM_DIMENSIONS)
     return weights.astype(np.float32), bias
 
 
