@@ -481,6 +481,28 @@ def test_label_model():
     assert quality.fit_labels([], np.zeros(0))[0].shape == (0,)
 
 
+def test_label_model_is_the_plain_one():
+    """The same posteriors as expectation-maximisation written as loops over documents."""
+    r = random.Random(9)
+    docs_ = ["".join(r.choice("gggb-" if i % 4 else "bbg--") for _ in range(5)) for i in range(120)]
+    patterns = sorted(set(docs_))
+    found, _ = quality.fit_labels(patterns, np.array([docs_.count(p) for p in patterns], float), 25)
+    post = {p: (0.2 / p.count("b") if "b" in p else 0.9 if "g" in p else 0.5) for p in patterns}
+    for _ in range(25):
+        rate = {}
+        for k in range(5):
+            for c in (0, 1):
+                cast = {v: 0.5 + sum((post[d] if c else 1 - post[d]) for d in docs_ if d[k] == v) for v in "bg"}
+                rate[k, c] = {v: n / sum(cast.values()) for v, n in cast.items()}
+        prior = (sum(post[d] for d in docs_) + 1) / (len(docs_) + 2)
+        weigh = lambda p, c: (prior if c else 1 - prior) * float(np.prod([rate[k, c][v] for k, v in enumerate(p) if v != "-"]))  # noqa: B023, E731
+        new = {p: weigh(p, 1) / (weigh(p, 0) + weigh(p, 1)) for p in patterns}
+        if max(abs(new[p] - post[p]) for p in patterns) < 1e-9:
+            break
+        post = new
+    assert np.allclose(found, [post[p] for p in patterns], atol=1e-6)
+
+
 def test_quality(spark):
     r = random.Random(6)
     good = [(i, ". ".join(prose(100 * i + k, 12).capitalize() for k in range(r.randrange(2, 9))) + ".", "s") for i in range(150)]

@@ -61,3 +61,86 @@ def test_toxic_words_of_any_language_are_learnt(spark):
     assert sum(held[i] for i in held if i % 3 == 0) >= 30 and sum(held[i] for i in held if i % 3) <= 2
     assert not any(found[i]["keep"] for i in held if held[i]) and not any(v["insults"] for v in found.values())
     assert {r["toxic"] for r in quality.judge(docs).select("quality_verdict.toxic").collect()} == {0.0}
+
+
+def test_pipeline_against_brute_force(spark, monkeypatch):
+    """Every stage on a small table: each stage's output is what a plain loop over its own input gives."""
+    import hashlib
+
+    import tokenizers
+
+    import corpus_pipeline
+    from loomtext.llm import bpe, quality, simhash
+    from loomtext.llm.sketch import Hasher
+
+    from test_operators import filled, left_over, prose, slow_fingerprint, true_sets
+
+    passage = "One passage of many words that stands in several places. It is copied from one text to the next, word for word. So it has to go!"
+    text = lambda i, n=60: ". ".join(prose(50 * i + k, 12).capitalize() for k in range(n // 12)) + "."
+    rows = [(i, text(i), "en", "abc"[i % 3]) for i in range(30)]
+    rows += [(100 + i, text(i), "en", "b") for i in range(5)]  # exact copies
+    rows += [(200 + i, text(i, 240), "en", "a") for i in range(4)] + [(210 + i, text(i, 240) + " One more word.", "en", "c") for i in range(4)]  # near copies
+    rows += [(300 + i, text(70 + i) + " " + passage + " " + text(80 + i), "en", None) for i in range(4)]
+    rows += [(400 + i, "### $$$ @@@ " * 30, "en", "a") for i in range(3)] + [(500, None, "en", "a"), (None, text(90), "en", "b"), (None, text(91), "en", "b")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), 7) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long, mix_row int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf, name: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+
+    kept = stages["quality"](spark, docs, "").collect()
+    model = quality.fit(docs)
+    for i, t, _, _ in rows:
+        p = quality.profile(t, Hasher(1))
+        at, values = quality.hashed(p) if len(p.words) else ([], [])
+        good = len(p.words) > 0 and 1 / (1 + 2.718281828459045 ** -(sum(float(model.weights[a]) * v for a, v in zip(at, values, strict=True)) + model.bias)) >= quality.KEEP
+        assert good == any(r["doc_id"] == i and r["text"] == t for r in kept), i
+    assert not any(r["doc_id"] in (400, 401, 402, 500) for r in kept) and len(kept) >= 45
+
+    now = spark.createDataFrame(kept, docs.schema)
+    alone = stages["near_copies"](spark, now, "").collect()
+    root = list(range(len(kept)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    prints, sets = [slow_fingerprint(r["text"], 5) for r in kept], [true_sets(r["text"]) for r in kept]
+    for a in range(len(kept)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= simhash.LIKE * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for a, r in enumerate(kept):
+        groups.setdefault(find(a), []).append(r)
+    firsts = [min((r for r in g), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+    assert sorted(map(key, alone)) == sorted(map(key, firsts)) and len(alone) < len(kept)
+
+    now = spark.createDataFrame(alone, docs.schema)
+    rest = stages["passages"](spark, now, "")
+    assert rest.columns == columns
+    rest = rest.collect()
+    order = [(k, r["text"]) for k, r in enumerate(sorted(alone, key=key))]
+    wanted = left_over(order, 2, 15)
+    assert sorted(r["text"] for r in rest if r["doc_id"] is not None) == sorted(wanted[k] for k, r in enumerate(sorted(alone, key=key)) if r["doc_id"] is not None)
+    assert all(r["n_chars"] == len(r["text"]) and r["mix_row"] == 7 for r in rest) and sum(passage in r["text"] for r in rest) == 1
+
+    now = spark.createDataFrame(rest, docs.schema)
+    mixed = stages["mix"](spark, now, "").collect()
+    sizes = {}
+    for r in rest:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"].split())
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    targets = filled(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(sizes.values()), 2)
+    for s in sizes:
+        taken = sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+        assert abs(taken - targets[s]) <= max(len(r["text"].split()) for r in rest if r["source"] == s), s
+    assert {key(r) for r in mixed} <= {key(r) for r in rest}
+
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary())
+    ends = stages["tokens"](spark, spark.createDataFrame(mixed, docs.schema), "").collect()
+    plain = sorted((r["doc_id"] or -1, library.encode(r["text"], add_special_tokens=False).ids, r["text"]) for r in mixed)
+    assert sorted((r["doc_id"] or -1, r["ids"]) for r in ends) == [(i, ids) for i, ids, _ in plain]
+    assert sorted(r["decoded_sha256"] for r in ends) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, _, t in plain)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0, name
