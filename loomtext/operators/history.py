@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +142,12 @@ def _value(raw: str) -> str:
         return raw
 
 
-def _front_lines(text: str) -> list[str] | None:
-    m = re.match(r"---\n(.*?)\n---\n?", text, re.DOTALL)
-    lines = m[1].split("\n") if m else []
-    return lines if any(re.fullmatch(re.escape(MARKER) + r"\s*", x) for x in lines) else None
+FRONT = re.compile(r"---\n(.*?)\n---(?:\n|\Z)", re.DOTALL)
+MARKED = re.compile(rf"^{re.escape(MARKER)}\s*$", re.MULTILINE)
+#: A key with its value and what is indented below it: at the top, and in an item of a list.
+SECTION = re.compile(r"^([A-Za-z]+):(?: (.*))?((?:\n .*)*)", re.MULTILINE)
+FIELD = re.compile(r"^(?: {4})?([a-z]+):(?: (.*))?((?:\n {6}.*)*)", re.MULTILINE)
+NUMBERS = {"line": ("start_line", int), "rank": ("rank", int), "score": ("score", float)}
 
 
 def _number(raw: str, kind: type):
@@ -157,46 +157,37 @@ def _number(raw: str, kind: type):
         return None
 
 
+def _strings(raw: str) -> list[str]:
+    try:
+        return [str(x) for x in json.loads(_value(raw))]
+    except (ValueError, TypeError):
+        return []
+
+
+def _items(below: str) -> list[dict[str, str]]:
+    """The fields of each item of a list; a text in a block is what stands below its field."""
+    out = []
+    for item in re.split(r"(?:\A|\n) {2}- ", below.removeprefix("\n"))[1:]:
+        fields = FIELD.findall(item)
+        out.append({key: "\n".join(x[6:] for x in block.split("\n")[1:]) if value in ("|", "|-") else value for key, value, block in fields})
+    return out
+
+
 def parse_note(text: str | None) -> tuple | None:
-    """A row of SESSION; None for a text without the marker."""
-    lines = _front_lines(text or "")
-    if lines is None:
+    """A row of SESSION; None for a text without the marker. The front matter is taken apart by its indentation: sections, items, fields, blocks."""
+    front = FRONT.match(text or "")
+    if not front or not MARKED.search(front[1]):
         return None
-    top: dict[str, str] = {}
-    messages: list[dict] = []
-    cited: list[dict] = []
-    at: Iterator[str] = iter([*lines, ""])
-    line = next(at)
-    while True:
-        try:
-            if m := re.fullmatch(r" {2}- role: (user|assistant)", line):
-                messages.append({"role": m[1], "content": ""})
-            elif (m := re.fullmatch(r" {4}content: (.*)", line)) and messages and not cited:
-                messages[-1]["content"] = m[1]
-                if m[1] in ("|", "|-"):
-                    held = []
-                    while (line := next(at)).startswith("      "):
-                        held.append(line[6:])
-                    messages[-1]["content"] = "\n".join(held)
-                    continue
-            elif m := re.fullmatch(r" {2}- id: (.+)", line):
-                cited.append({"id": m[1], "file_path": None, "start_line": None, "heading_path": [], "rank": None, "score": None})
-            elif cited and (m := re.fullmatch(r" {4}(file|line|headings|rank|score): (.*)", line)):
-                key, raw = m[1], m[2]
-                if key == "headings":
-                    try:
-                        cited[-1]["heading_path"] = [str(x) for x in json.loads(_value(raw))]
-                    except (ValueError, TypeError):
-                        cited[-1]["heading_path"] = []
-                else:
-                    name = {"file": "file_path", "line": "start_line"}.get(key, key)
-                    cited[-1][name] = _value(raw) if key == "file" else _number(raw, float if key == "score" else int)
-            elif m := re.fullmatch(r"([a-zA-Z]+): (.*)", line):
-                top.setdefault(m[1], _value(m[2]))
-            line = next(at)
-        except StopIteration:
-            break
-    return (top.get("title") or DEFAULT_TITLE, *(top.get(k, "") for k in ("created", "provider", "model", "effort")), messages, cited)
+    values, below = {}, {}
+    for key, value, rest in SECTION.findall(front[1]):
+        values.setdefault(key, _value(value))
+        below.setdefault(key, rest)
+    messages = [{"role": m["role"], "content": m.get("content", "")} for m in _items(below.get("messages", "")) if m.get("role") in ("user", "assistant")]
+    cited = []
+    for c in _items(below.get("citations", "")):
+        row = {"id": c.get("id"), "file_path": _value(c["file"]) if "file" in c else None, "heading_path": _strings(c.get("headings", ""))}
+        cited.append(row | {name: _number(c.get(key, ""), kind) for key, (name, kind) in NUMBERS.items()})
+    return (values.get("title") or DEFAULT_TITLE, *(values.get(k) or "" for k in ("created", "provider", "model", "effort")), messages, cited)
 
 
 def write_history_notes(sessions: DataFrame) -> DataFrame:

@@ -84,16 +84,16 @@ def upsert(table: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
 def pending_batches(pending: DataFrame, notes: DataFrame, include: tuple[str, ...], exclude: tuple[str, ...], batch: int = BATCH) -> DataFrame:
     """file_path, operation, batch_no: the latest entry of each path, oldest first, in batches; operations derived again.
 
-    Positions are counted within days, and days are summed, so the order is never made in one task.
+    Positions are counted within minutes, and minutes are summed, so the order is never made in one task.
     """
     last = pending.groupBy("file_path").agg(F.max("queued_at").alias("queued_at"))
     there = notes.select("file_path", F.lit(True).alias("there"))
     valid = F.col("there").isNotNull() & scope.in_scope(F.col("file_path"), include, exclude)
-    rows = last.join(there, "file_path", "left").select("file_path", "queued_at", F.when(valid, "changed").otherwise("deleted").alias("operation"), F.to_date("queued_at").alias("day"))
-    days = rows.groupBy("day").agg(F.count("*").alias("n"))
-    starts = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("day").orderBy("queued_at", "file_path"))
-    return rows.withColumn("n", within).join(starts, "day").select("file_path", "operation", F.floor((F.col("start") + F.col("n") - 1) / batch).alias("batch_no"))
+    rows = last.join(there, "file_path", "left").select("file_path", "queued_at", F.when(valid, "changed").otherwise("deleted").alias("operation"), F.date_trunc("minute", "queued_at").alias("minute"))
+    minutes = rows.groupBy("minute").agg(F.count("*").alias("n"))
+    starts = minutes.select("minute", F.coalesce(F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("minute").orderBy("queued_at", "file_path"))
+    return rows.withColumn("n", within).join(starts, "minute").select("file_path", "operation", F.floor((F.col("start") + F.col("n") - 1) / batch).alias("batch_no"))
 
 
 def recovery_plan(pending: DataFrame, drain_limit: int = DRAIN_LIMIT) -> DataFrame:
