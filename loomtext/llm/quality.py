@@ -31,13 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import fill_missing
+from loomtext.llm.shared import fill_missing, rows_at_once
 from loomtext.llm.sketch import Hasher, _mixed
 
 #: Documents, at most, on which the scorer is fitted.
 SAMPLE = 4000
 DIMENSIONS = 1 << 16
 KEEP = 0.5
+#: Texts that a worker gets at once when the models are fitted.
+TEXTS = 1000
 #: Features that the driver looks at together when it fits.
 PART = 1 << 19
 #: Labelled documents, at most, on which the scorer of toxic vocabulary is fitted, and the probability from which a document is toxic.
@@ -220,7 +222,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.Series([votes(profile(t, hasher)) for t in texts])
 
     rows = fill_missing(docs, doc_id="long", text="string")
-    counted = rows.select(pattern("text").alias("votes")).groupBy("votes").count().toPandas().sort_values("votes")
+    with rows_at_once(docs.sparkSession, TEXTS):
+        counted = rows.select(pattern("text").alias("votes")).groupBy("votes").count().toPandas().sort_values("votes")
     patterns, counts = counted["votes"].tolist(), counted["count"].to_numpy(float)
     posterior, rates = fit_labels(patterns, counts)
     posteriors = dict(zip(patterns, posterior.tolist(), strict=True))
@@ -236,7 +239,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         both = [hashed(p) for p in found]
         return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in both], "values": [v.astype(np.float32) for _, v in both], "votes": [votes(p) for p in found]})
 
-    picked = drawn.select(features("text").alias("f")).select("f.*").toPandas()
+    with rows_at_once(docs.sparkSession, TEXTS):
+        picked = drawn.select(features("text").alias("f")).select("f.*").toPandas()
     weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["votes"].map(posteriors).to_numpy(float))
     return Model(weights.astype(np.float32), bias, posteriors, rates)
 
@@ -259,7 +263,8 @@ def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] |
         return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in both], "values": [v.astype(np.float32) for _, v in both]})
 
     rows = fill_missing(docs, doc_id="long", text="string").join(toxic_sample(labels), "doc_id")
-    picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
+    with rows_at_once(docs.sparkSession, TEXTS):
+        picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
     if picked["toxic"].nunique() < 2:
         return None
     toxic, found = picked["toxic"].to_numpy(float), list(zip(picked.pop("at"), picked.pop("values"), strict=True))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.links import components
-from loomtext.llm.shared import Scratch, fill_missing
+from loomtext.llm.shared import Scratch, fill_missing, rows_at_once
 from loomtext.llm.sketch import ODD, Hasher, _mixed
 
 SEED = 42
@@ -47,6 +47,8 @@ BLOCKS = ((6, 1 << 21), (7, 1 << 27), (8, 1 << 32), (10, 1 << 38))
 REFERENCES = [sum(((r & i).bit_count() & 1) << i for i in range(64)) for r in range(0, 64, 2)]
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Texts, and pairs of texts, that a worker gets at once.
+TEXTS, PAIRS = 1000, 100
 #: Near copies have at least this Jaccard similarity of shingles.
 LIKE = 0.8
 #: Of two texts at LIKE, all BANDS bands of BAND minima differ with probability (1 - LIKE ** BAND) ** BANDS, about 1 in 100,000.
@@ -153,7 +155,8 @@ def discards(pairs: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.cut(fingerprints(docs, shingle), "rows")
+    with rows_at_once(docs.sparkSession, TEXTS):
+        rows = scratch.cut(fingerprints(docs, shingle), "rows")
     prints = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = scratch.cut(link(prints.select("fp"), scratch, distance), "roots")
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -201,7 +204,9 @@ def _alike(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, shing
 
     ends = [texts.select(F.col("tid").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab"]
     both = pairs.join(ends[1], "b").join(ends[0], "a")
-    return scratch.cut(both.withColumn("likeness", of_pair("a_text", "b_text")).where(F.col("likeness") >= least).select("u", "v"), f"{name}-alike")
+    alike = both.withColumn("likeness", of_pair("a_text", "b_text")).where(F.col("likeness") >= least).select("u", "v")
+    with rows_at_once(docs.sparkSession, PAIRS):
+        return scratch.cut(alike, f"{name}-alike")
 
 
 def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -263,7 +268,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, like: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "tid", "bands", "least"])
 
     read = fill_missing(docs, doc_id="long", text="string").select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>, least array<short>"), "rows")
+    with rows_at_once(docs.sparkSession, TEXTS):
+        rows = scratch.cut(read.mapInArrow(run, "doc_id long, fp long, n long, tid long, bands array<long>, least array<short>"), "rows")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid"))
     prints = scratch.cut(rows.groupBy("fp").agg(least_row.alias("least")), "prints")
     roots = scratch.cut(link(prints.select("fp"), scratch, distance), "roots")

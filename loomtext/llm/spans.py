@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import Scratch
+from loomtext.llm.shared import Scratch, rows_at_once
 
 SENTENCES = 2
 MIN_WORDS = 15
+#: Texts that a worker gets at once.
+TEXTS = 1000
 #: A sentence ends with the white space after . ! ? (and closing quotes), or with a line.
 SENTENCE = re.compile(r"""[^.!?\n]*(?:[.!?]+["'”’)\]]*(?=\s|$)\s*|[.!?]+|\n\s*|$)""")
 #: A word with the white space around it.
@@ -136,7 +138,8 @@ def repeated(docs: DataFrame, scratch: Scratch, least: int = SENTENCES, min_word
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, at, n, hashes)], [*KEY, "at", "n", "hash"])
 
     texts = _keyed(docs).select("span_text", *KEY)
-    found = scratch.cut(texts.mapInArrow(cut, "id_1 long, id_2 long, at int, n int, hash long"), "spans")
+    with rows_at_once(docs.sparkSession, TEXTS):
+        found = scratch.cut(texts.mapInArrow(cut, "id_1 long, id_2 long, at int, n int, hash long"), "spans")
     place = F.struct(*KEY, "at")
     common = scratch.cut(found.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "common")
     hits = scratch.cut(found.join(common, "hash"), "hits")
