@@ -447,6 +447,7 @@ def test_neighbours(spark):
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (920, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, [1.0], 0), (None, [1.0] * 16, 0), (940, [float("inf")] + [0.0] * 15, 0), (5, [float(v) for v in x[5]], 0)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rank int")
     found = neighbours.Index(table).search(table.where("vec_id % 20 = 0")).collect()
+    rows.append((904, [1.0] + [0.0] * 15, 0))  # a shorter vector ends in zeros
     ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
     hits = total = 0
     for q in sorted({r["query_id"] for r in found}):
@@ -466,6 +467,24 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in short] == [(0, 1, 1.0), (0, 2, 0.0), (3, 1, 0.5), (3, 2, 0.0)]
 
 
+def test_recall_on_random_vectors(spark):
+    """Vectors without any structure in 64 dimensions: the worst case. Queries that are rows, and others."""
+    g = np.random.default_rng(5)
+    x = g.standard_normal((6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    new = g.standard_normal((60, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(6000)], "vec_id long, embedding array<float>")
+    index = neighbours.Index(rows)
+    asked = spark.createDataFrame([(10_000 + i, new[i].tolist()) for i in range(60)], "vec_id long, embedding array<float>").unionAll(rows.where("vec_id % 20 = 0"))
+    hits, met, n = 0, 0, 0
+    for q, r in index.search(asked).toPandas().groupby("query_id"):
+        s = x.astype(np.float64) @ (x[q] if q < 6000 else new[q - 10_000]).astype(np.float64)
+        if q < 6000:
+            s[q] = -9
+        hits, met, n = hits + len(set(np.argsort(-s)[:20]) & set(r["vec_id"])), met + r["met"].iloc[0], n + 1
+    assert n == 360 and hits / (20 * n) >= 0.9 and met / n < 0.5 * 6000
+
+
 # 10 quality
 
 
