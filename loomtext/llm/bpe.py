@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Bytes up to which a word is merged by repeated scans.
 LONG_WORD = 128
 #: Pieces in a worker's table of pieces already encoded; when it is full, it takes the place of an older one of that size.
-KEPT = 150_000
+KEPT = 100_000
 #: Words merged at once, and characters of texts encoded at once.
 BLOCK, CHARS = 20_000, 1_000_000
 NONE = (1 << 31) - 1
@@ -290,6 +290,10 @@ class Encoder:
         for found in self.entries_each(texts):
             yield ids_of(decimals_of(found)).tolist()
 
+    def forget(self) -> None:
+        """Drops the tables of pieces: a worker that waits for its next task holds nothing of the last one's texts."""
+        self.known, self.older = [{}, {}], [{}, {}]
+
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_each([text]))
 
@@ -336,6 +340,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             ids = list(enc.encode_each(t.as_py() for t in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -372,6 +377,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     ids.append(ids_of(decimals))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+        enc.forget()
 
     columns = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     return docs.select(*columns).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
