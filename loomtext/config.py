@@ -23,6 +23,7 @@ class Config:
     vector_dim: int = 64
     query_prefix: str = "query: "
     passage_prefix: str = "passage: "
+    tokenizer_version: str = "words-v1"
 
     def clamped(self) -> Config:
         """Every knob moved to the nearest valid value."""

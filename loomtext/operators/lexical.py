@@ -1,10 +1,11 @@
 """BM25 over lexical rows, for whole tables of queries.
 
-A row (chunk, heading path or file) has terms, in one or more weighted fields. Queries are exploded into units, a unit being a token, or the run of
-parts of a token with underscores, or a whole phrase, or a prefix. Only occurrences of terms that some query asks for leave their rows; they are
-counted by row and written once. Queries of plain terms and their occurrences are dealt to blocks, of queries and of rows: a task adds a term's
-shares to the scores of the queries that ask for it, a bounded number of scores at a time, and returns its k best a query, so a word that stands in every row
-costs additions and no rows. Other queries (phrases, prefixes, all of their terms) join the occurrences and sum scores by (query, row).
+A row (chunk, heading path or file) has terms, in one or more weighted fields. Rows are searched through an inverted index in blocks (inverted.py), a stored one or one made on the spot.
+Queries are exploded into units, a unit being a token, or the run of parts of a token with underscores, or a whole phrase, or a prefix.
+
+Queries of plain terms visit parts of the rows in order of the best score that a part's blocks allow: the first few are scored, and of the rest those
+whose bound reaches the k-th score found, so the result is exact. A task scores one part for a block of queries. Runs and phrases meet in parts that hold
+all of their terms, and compare positions there, the rarest term first; prefixes are looked up in the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import lexical_terms, query_tokens
+from loomtext.operators import inverted
+from loomtext.operators.inverted import Lexicon
 from loomtext.sources.scratch import Scratch
 
 K1, B = 1.2, 0.75
 #: Weights of the fields of a file.
 FIELD_WEIGHTS = {"basename": 10.0, "directory": 7.0, "alias": 8.0, "tag": 3.0, "property": 2.0}
 UNIT = ["query_id", "unit", "n_units"]
-#: Queries and rows that a task scores against each other, about, and scores that it holds at once.
-QUERIES, ROWS, SCORES = 256, 1 << 16, 1 << 22
+#: Queries that a task scores against a part of the rows, about, and parts that a query visits before its k-th score decides on the others.
+QUERIES, FIRST = 256, 8
 
 
 def rows_of(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -35,8 +38,8 @@ def rows_of(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """term, key, tf."""
-    return rows.select("key", F.explode("terms").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"))
+    """term, key, tf: counted part by part, so nothing is shuffled."""
+    return inverted.postings(inverted.blocks(rows)).select("term", "key", F.col("tf").cast("long").alias("tf"))
 
 
 def corpus_stats(rows: DataFrame) -> DataFrame:
@@ -57,108 +60,182 @@ def units(queries: DataFrame, mode: str = "any") -> DataFrame:
     return found.select("query_id", F.size("listed").alias("n_units"), F.posexplode("listed").alias("unit", "parts")).where(F.size("parts") > 0)
 
 
-def fielded(rows: DataFrame) -> DataFrame:
-    """rows with fields, an array of (weight, terms): those of plain rows are one field of weight 1."""
-    return rows if "fields" in rows.columns else rows.select("key", "n_terms", F.array(F.struct(F.lit(1.0).alias("weight"), "terms")).alias("fields"))
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """key, n_terms, term, w of each occurrence."""
-    weighed = F.flatten(F.transform("fields", lambda f: F.transform(f["terms"], lambda t: F.struct(t.alias("term"), f["weight"].alias("w")))))
-    return rows.select("key", "n_terms", F.explode(weighed).alias("o")).select("key", "n_terms", "o.term", "o.w")
-
-
-def _f(grouped: list[str], found: DataFrame) -> DataFrame:
-    return found.repartition("key").groupBy(*grouped, "key", "n_terms").agg(F.sum("w").alias("f"))
-
-
 def _idf(n: int, df: Column) -> Column:
     raw = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
 
-def scores(wanted: DataFrame, rows: DataFrame, mode: str = "any", prefix: bool = False, k: int | None = None) -> DataFrame:
+def lexicon(rows: DataFrame, scratch: Scratch, positions: bool = True) -> Lexicon:
+    """An index of rows, written once."""
+    found = inverted.blocks(rows)
+    found = scratch.cut(found if positions else found.drop("positions"), "blocks")
+    stats = found.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    weights = rows.select("fields.weight").first() if "fields" in rows.columns else None  # the same in every row
+    return Lexicon(found, scratch.cut(inverted.vocabulary(found), "vocabulary"), stats["n"], stats["total"] / stats["n"] if stats["n"] else 0.0, weights=tuple(weights[0]) if weights else (1.0,))
+
+
+def scores(wanted: DataFrame, rows: DataFrame | Lexicon, mode: str = "any", prefix: bool = False, k: int | None = None) -> DataFrame:
     """query_id, key, score: BM25 of the rows that fit the mode. With prefix, the last unit of a query stands for every term that it starts.
 
     Given k, rows that are not among a query's k best may be left out.
     """
-    scratch = Scratch(rows.sparkSession, "lexical")
-    rows = fielded(rows)
-    stats = corpus_stats(rows).first()
-    n, average = stats["n_rows"], stats["avg_terms"] or 1.0
+    scratch = Scratch(wanted.sparkSession, "lexical")
     is_prefix = (F.col("unit") == F.col("n_units") - 1) & (F.size("parts") == 1) if prefix else F.lit(False)
     kind = F.when(is_prefix, "prefix").when(F.size("parts") == 1, "term").otherwise("run")
     wanted = scratch.cut(wanted.select(*UNIT, "parts", F.get("parts", F.lit(0)).alias("term"), kind.alias("kind")), "units")
     kinds = {r["kind"] for r in wanted.select("kind").distinct().collect()}  # three at most
+    own = rows if isinstance(rows, Lexicon) else lexicon(rows, scratch, positions="run" in kinds)
+    n, average = own.n_rows, own.average or 1.0
     found = []
     if "term" in kinds:
         single = wanted.where("kind = 'term'").select(*UNIT, "term")
-        posted = scratch.cut(_f(["term"], _counted(rows).join(single.select("term").distinct(), "term", "left_semi")), "posted")
-        weighed = single.join(document_frequency(posted), "term").withColumn("idf", _idf(n, F.col("df"))).drop("df")
+        terms = scratch.cut(single.join(own.terms, "term").withColumn("idf", _idf(n, F.col("df"))).drop("df"), "terms")
+        here = own.of(terms)
         if k and mode == "any" and kinds == {"term"}:
-            share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / average))
-            asked = weighed.groupBy("query_id", "term").agg(F.sum("idf").alias("weight"))
-            return _best_in_blocks(asked, scratch.read("posted").select("key", "term", share.alias("share")), n, k)
-        found.append(weighed.join(scratch.read("posted"), "term"))
+            return _best(terms.groupBy("query_id", "term").agg(F.sum("idf").alias("weight")), here, average, k, scratch)
+        if mode == "all" and kinds == {"term"}:  # parts that lack a term of a query are not read for it
+            have = here.blocks.select("term", "part").join(terms, "term").groupBy("query_id", "part").agg(F.count("*").alias("n"), F.max("n_units").alias("n_units"))
+            pairs = have.where("n = n_units").select("query_id", "part").join(terms, "query_id").select("term", "part").distinct()
+            here = here._replace(blocks=here.blocks.join(pairs, ["term", "part"], "left_semi"))
+        found.append(scratch.read("terms").join(here.postings().drop("part"), "term"))
     others = []
     if "run" in kinds:
-        runs = wanted.where("kind = 'run'").select(*UNIT, "parts", "term")
-        first = F.explode(F.array_distinct(F.flatten(F.col("fields.terms")))).alias("term")
-        near = rows.select("key", first).join(runs.select("term").distinct(), "term", "left_semi").join(runs, "term").join(rows, "key")
-        size = F.size("parts")
-        places = lambda f: F.filter(F.sequence(F.lit(1), F.greatest(F.size(f["terms"]), F.lit(1))), lambda i: F.slice(f["terms"], i, size) == F.col("parts"))
-        times = F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + f["weight"] * F.size(places(f)))
-        others.append(near.select(*UNIT, "key", "n_terms", times.alias("f")).where("f > 0"))
+        others.append(_runs(wanted.where("kind = 'run'").select(*UNIT, "parts"), own, scratch))
     if "prefix" in kinds:
         heads = wanted.where("kind = 'prefix'").select(*UNIT, F.col("term").alias("head"))
         lengths = [r["n"] for r in heads.select(F.length("head").alias("n")).distinct().collect()]  # lengths of words
         starts = F.array_compact(F.array(*[F.when(F.length("term") >= k, F.substring("term", 1, k)) for k in sorted(lengths)]))
-        started = _counted(rows).select("key", "n_terms", "w", F.explode(starts).alias("head")).join(heads, "head")
-        others.append(_f(UNIT, started))
+        started = own.terms.select("term", F.explode(starts).alias("head")).join(heads, "head").drop("head")
+        started = scratch.cut(started, "started")
+        others.append(started.join(own.of(started).postings(), "term").groupBy(*UNIT, "key", "n_terms").agg(F.sum("f").alias("f")))
     for i, other in enumerate(others):
         other = scratch.cut(other, f"found-{i}")
         df = scratch.read(f"found-{i}").groupBy("query_id", "unit").agg(F.count("*").alias("df"))
         found.append(other.join(df, ["query_id", "unit"]).withColumn("idf", _idf(n, F.col("df"))).drop("df"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / average))
+    part = F.col("idf") * _share(F.col("f"), F.col("n_terms"), average)
     if not found:
-        return wanted.select("query_id", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.lit(0.0).alias("score")).where("false")
+        return wanted.select("query_id", F.lit(None).cast(_key_type(own)).alias("key"), F.lit(0.0).alias("score")).where("false")
     parts = reduce(DataFrame.unionByName, [x.select("query_id", "n_units", "key", part.alias("part")) for x in found])
     summed = parts.groupBy("query_id", "key").agg(F.sum("part").alias("score"), F.count("*").alias("units"), F.max("n_units").alias("n_units"))
     return (summed.where("units = n_units") if mode == "all" else summed).select("query_id", "key", "score")
 
 
-def _best_in_blocks(asked: DataFrame, posted: DataFrame, n_rows: int, k: int) -> DataFrame:
-    """query_id, key, score of asked(query_id, term, weight) and posted(key, term, share): for each block of rows a query's k best, with a score above 0."""
+def _share(f, length, average: float):
+    """What a term adds to a score, for an idf of 1: grows with f, falls with length."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+
+
+def _key_type(own: Lexicon) -> str:
+    return dict(own.blocks.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+
+
+def _best(asked: DataFrame, own: Lexicon, average: float, k: int, scratch: Scratch) -> DataFrame:
+    """query_id, key, score of asked(query_id, term, weight): the k best of every part that can hold one of a query's k best."""
+    asked = scratch.cut(asked, "asked")
     n_asked = asked.select("query_id").distinct().count()
-    blocks, parts = max(1, -(-n_asked // QUERIES)), max(1, -(-n_rows // ROWS), min(64, -(-n_rows // 4096)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"), every(parts).alias("v"), "query_id", F.col("term").alias("asked"), "weight")
-    right = posted.select(every(blocks).alias("r"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("w"), "key", "term", "share")
+    most = F.col("weight") * _share(F.col("max_f"), F.col("min_terms"), average)
+    bounds = own.blocks.select("term", "part", "max_f", "min_terms").join(asked, "term").groupBy("query_id", "part").agg(F.sum(most).alias("bound"))
+    visit = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "part"))
+    bounds = scratch.cut(bounds.withColumn("visit", visit), "bounds")
+    first = scratch.cut(_scored(bounds.where(F.col("visit") <= FIRST), scratch.read("asked"), own, average, k, n_asked), "first")
+    if bounds.where(F.col("visit") > FIRST).isEmpty():
+        return first
+    kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    least = first.withColumn("r", kth).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
+    rest = scratch.read("bounds").where(F.col("visit") > FIRST).join(least, "query_id", "left").where("least IS NULL OR bound >= least - 1e-9")
+    second = _scored(scratch.cut(rest.select("query_id", "part"), "rest"), scratch.read("asked"), own, average, k, n_asked)
+    return scratch.read("first").unionByName(second)
+
+
+def _scored(visits: DataFrame, asked: DataFrame, own: Lexicon, average: float, k: int, n_asked: int) -> DataFrame:
+    """The k best rows, with a score above 0, of each of visits(query_id, part)."""
+    some = visits.select("query_id", "part").join(asked, "query_id")
 
     def score(some: pa.Table, them: pa.Table) -> pa.Table:
-        ids, keys = (pc.unique(c.combine_chunks()) for c in (some.column("query_id"), them.column("key")))
+        live, flat, of_block, dead = inverted.unpacked(them)
+        ids = pc.unique(some.column("query_id").combine_chunks())
+        keys = pc.unique(flat)
         keys = keys.take(pc.sort_indices(keys))
-        place = lambda column, among: pc.fill_null(pc.index_in(column.combine_chunks(), among), -1).to_numpy(zero_copy_only=False)
-        terms = pc.unique(some.column("asked").combine_chunks())
-        query, term, weight = place(some.column("query_id"), ids), place(some.column("asked"), terms), some.column("weight").to_numpy()
+        place = lambda values, among: pc.fill_null(pc.index_in(values, among), -1).to_numpy(zero_copy_only=False)
+        terms = pc.unique(some.column("term").combine_chunks())
+        query, term, weight = place(some.column("query_id").combine_chunks(), ids), place(some.column("term").combine_chunks(), terms), some.column("weight").to_numpy()
         by_term = np.argsort(term, kind="stable")
-        first = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
-        row, of, share = place(them.column("key"), keys), place(them.column("term"), terms), them.column("share").to_numpy()
-        order = np.lexsort((of, row // (step := max(1, SCORES // max(1, len(ids))))))
-        order = order[of[order] >= 0]
-        row, of, share = row[order], of[order], share[order]
-        out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for start in range(0, len(keys), step):
-            total = np.zeros((len(ids), min(step, len(keys) - start)))
-            a, b = np.searchsorted(row // step, [start // step, start // step + 1])
-            edges = [a, *(a + 1 + np.flatnonzero(np.diff(of[a:b]))).tolist(), b] if b > a else []
-            for c, d in zip(edges, edges[1:], strict=False):
-                them_asking = by_term[first[of[c]] : first[of[c] + 1]]
-                total[query[them_asking][:, None], row[c:d] - start] += weight[them_asking][:, None] * share[c:d]
-            out = kept_best(*out, total, start, k, 0.0)
+        start = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        total = np.zeros((len(ids), len(keys)))
+        if len(flat):
+            f, length = (pc.list_flatten(live.column(c).combine_chunks()).to_numpy() for c in ("f", "lengths"))
+            share, row = _share(f, length, average), place(flat, keys)
+            edges = np.searchsorted(of_block, np.arange(live.num_rows + 1))
+            for b, t in enumerate(place(live.column("term").combine_chunks(), terms)):
+                asking = by_term[start[t] : start[t + 1]]
+                a, z = edges[b], edges[b + 1]
+                total[query[asking][:, None], row[a:z]] += weight[asking][:, None] * share[a:z]
+            if len(dead):
+                total[:, pc.is_in(keys, dead).to_numpy(zero_copy_only=False)] = 0.0
+        out = kept_best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), total, 0, k, 0.0) if len(keys) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"query_id": ids.take(pa.array(out[0])), "key": keys.take(pa.array(out[1])), "score": pa.array(out[2])})
 
-    return left.groupBy("q", "v").cogroup(right.groupBy("r", "w")).applyInArrow(score, f"query_id {dict(asked.dtypes)['query_id']}, key {dict(posted.dtypes)['key']}, score double")
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, key {_key_type(own)}, score double"
+    return inverted.meet(some, some, own, ("keys", "f", "lengths"), n_asked, QUERIES, score, schema)
+
+
+def _runs(runs: DataFrame, own: Lexicon, scratch: Scratch) -> DataFrame:
+    """UNIT, key, n_terms, f of runs(UNIT, parts): rows in which a run's terms stand one after the other, with the weights of the places."""
+    runs = scratch.cut(runs, "runs")
+    single = runs.select(*UNIT, F.size(F.array_distinct("parts")).alias("size"), F.explode(F.array_distinct("parts")).alias("term"))
+    single = scratch.cut(single, "run-terms")
+    here = own.of(single)
+    holding = here.blocks.select("term", "part").join(single, "term").groupBy(*UNIT, "part").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    visits = scratch.cut(holding.where("n = size").select(*UNIT, "part"), "run-visits")
+    asked = visits.join(scratch.read("runs"), UNIT)
+    pairs = scratch.read("run-visits").join(scratch.read("run-terms"), UNIT).select("part", "query_id", "term")
+
+    def find(some: pa.Table, them: pa.Table) -> pa.Table:
+        live, flat, of_block, dead = inverted.unpacked(them)
+        keys = flat.dictionary_encode()
+        if not live.num_rows:
+            return some.slice(0, 0).select(UNIT).append_column("key", keys.dictionary.slice(0, 0)).append_column("n_terms", pa.array([], pa.int32())).append_column("f", pa.array([], pa.float64()))
+        code = keys.indices.to_numpy()
+        edges = np.searchsorted(of_block, np.arange(live.num_rows + 1))
+        tf, length, f = (pc.list_flatten(live.column(c).combine_chunks()).to_numpy() for c in ("tf", "lengths", "f"))
+        deltas = pc.list_flatten(live.column("positions").combine_chunks()).to_numpy()
+        at = np.concatenate([[0], np.cumsum(tf)])
+        block = {t: b for b, t in enumerate(live.column("term").to_pylist())}
+        gone = set(np.flatnonzero(pc.is_in(keys.dictionary, dead).to_numpy(zero_copy_only=False)).tolist()) if len(dead) else set()
+        out = []
+        for unit, parts in zip(some.select(UNIT).to_pylist(), some.column("parts").to_pylist(), strict=True):
+            if any(p not in block for p in parts):
+                continue
+            posts = {p: (edges[block[p]], edges[block[p] + 1]) for p in parts}
+            common = None
+            for a, z in sorted(posts.values(), key=lambda x: x[1] - x[0]):  # the rarest first
+                common = code[a:z] if common is None else np.intersect1d(common, code[a:z], assume_unique=True)
+                if not len(common):
+                    break
+            for key in common.tolist():
+                where, starts = {}, None
+                for i, p in enumerate(parts):
+                    if p not in where:
+                        a, z = posts[p]
+                        j = a + int(np.flatnonzero(code[a:z] == key)[0])
+                        where[p] = (j, np.cumsum(deltas[at[j] : at[j + 1]]))
+                    own_starts = where[p][1] - i
+                    starts = own_starts if starts is None else np.intersect1d(starts, own_starts, assume_unique=True)
+                    if not len(starts):
+                        break
+                if len(starts) and key not in gone:
+                    j, places = where[parts[0]]
+                    weight = len(starts) if f[j] == tf[j] else sum(weights[int(s) // inverted.FIELD] for s in starts)
+                    out.append((*unit.values(), key, int(length[j]), float(weight)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = [some.schema.field(c).type for c in UNIT]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns[:3], kinds, strict=True)] + [keys.dictionary.take(pa.array(list(columns[3]), pa.int64())), pa.array(list(columns[4]), pa.int32()), pa.array(list(columns[5]), pa.float64())], names=[*UNIT, "key", "n_terms", "f"])
+
+    weights = own.weights
+    kinds = dict(runs.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in UNIT) + f", key {_key_type(own)}, n_terms int, f double"
+    n_asked = runs.select("query_id").distinct().count()
+    return inverted.meet(asked, pairs, here, ("keys", "f", "lengths", "tf", "positions"), n_asked, QUERIES, find, schema)
 
 
 def kept_best(row: np.ndarray, column: np.ndarray, score: np.ndarray, part: np.ndarray, start: int, k: int, above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,11 +257,13 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", prefix_fallback: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, rows: DataFrame | Lexicon, k: int = 80, mode: str = "any", prefix_fallback: bool = False) -> DataFrame:
     """query_id, key, score, rank; queries without a hit once more with their last token as a prefix, if asked for.
 
-    rows are read several times; they should be a table, not a plan that is dear to run.
+    rows are read once; they should be a table, or a Lexicon: a stored index of them.
     """
+    if prefix_fallback and not isinstance(rows, Lexicon):
+        rows = lexicon(rows, Scratch(queries.sparkSession, "rows"))
     best = ranked(scores(units(queries, mode), rows, mode, k=k), k)
     if not prefix_fallback or mode == "phrase":
         return best
@@ -194,7 +273,7 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int = 80, mode: str = "any", pr
     return best if empty.isEmpty() else scratch.read("best").unionByName(bm25_prefix(empty, rows, k, mode))
 
 
-def bm25_prefix(queries: DataFrame, rows: DataFrame, k: int, mode: str) -> DataFrame:
+def bm25_prefix(queries: DataFrame, rows: DataFrame | Lexicon, k: int, mode: str) -> DataFrame:
     """BM25 with the last token of each query as a prefix."""
     return ranked(scores(units(queries), rows, mode, prefix=True, k=k), k)
 

@@ -7,12 +7,16 @@ the tables, never collected.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import scope
 from loomtext.functions.text import content_hash
+from loomtext.operators import index, inverted
+from loomtext.operators.inverted import CHANNELS, less, path_of, signed_sums
+from loomtext.sources.scratch import Scratch
 
 BATCH = 400
 DRAIN_LIMIT = 1000
@@ -59,10 +63,28 @@ def replace_rows(table: DataFrame, paths: DataFrame, fresh: DataFrame) -> DataFr
 
 
 def apply_changes(tables: dict[str, DataFrame], routed: DataFrame, notes: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Every table without the routed paths' rows, and with those that build() makes of the changed notes."""
+    """Every table without the routed paths' rows, and with those that build() makes of the changed notes.
+
+    Blocks of postings lose the dead rows, parts without any are passed on as they are; terms and stats are the old ones less what the dead rows had, with the fresh ones'; counts of the manifest follow.
+    """
     changed = notes.join(routed.where("op = 'changed'").select("file_path"), "file_path", "left_semi")
     fresh = build(changed)
-    return {name: replace_rows(df, routed, fresh[name]) for name, df in tables.items()}
+    out = {name: replace_rows(df, routed, fresh[name]) for name, df in tables.items() if "file_path" in df.columns}
+    if "postings" in tables:
+        rows = inverted.lexical_rows(tables["postings"], "channel").withColumn("file_path", path_of("channel"))
+        gone = rows.join(routed.select("file_path").distinct(), "file_path", "left_semi")
+        dead = Scratch(routed.sparkSession, "dead").cut(gone.groupBy("channel", "part").agg(F.collect_list("key").alias("keys"), F.sum("n_terms").alias("total")), "dead")  # at most a part's rows
+        keys = dead.select("channel", "part", F.explode("keys").alias("key"))
+        met = inverted.postings(tables["postings"].join(dead.select("channel", "part"), ["channel", "part"], "left_semi"), "channel")
+        lost = met.join(keys, ["channel", "part", "key"], "left_semi").groupBy("channel", "term").agg(F.count("*").alias("df"))
+        stats = dead.groupBy("channel").agg(F.sum(F.size("keys")).alias("n_rows"), F.sum("total").alias("total_terms"))
+        kept = [inverted.without(tables["postings"].where(F.col("channel") == c), dead.where(F.col("channel") == c)) for c in CHANNELS]
+        out["postings"] = reduce(DataFrame.unionByName, kept).unionByName(fresh["postings"].select(*kept[0].columns))
+        out |= signed_sums([tables, less(fresh, {"terms": lost, "stats": stats})])
+    if "manifest" in tables:
+        old = {name: tables[name].join(routed.select("file_path"), "file_path", "left_semi") for name in ("chunks", "file_state")}
+        out["manifest"] = index.recounted(tables["manifest"], index.index_counts(old["chunks"], old["file_state"]), index.index_counts(fresh["chunks"], fresh["file_state"]))
+    return out
 
 
 def change_summary(routed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomtext.operators.index import SCHEMA_VERSIONS
+from loomtext.config import Config
+from loomtext.operators.index import described
 from loomtext.plans.views import cte
 
 ORACLES: dict[str, str] = {}
@@ -205,8 +206,8 @@ ORACLES["apply_changes"] = EDITED + """ SELECT (SELECT count(*) FROM plain WHERE
 (SELECT count(*) FROM old JOIN plain USING (file_path) WHERE doc_id % 4 = 0 OR doc_id % 9 = 0) AS removed_chunks, (SELECT count(*) FROM new JOIN edited USING (file_path) WHERE doc_id % 4 = 0) AS added_chunks"""
 ORACLES["incremental_equals_full"] = EDITED + " SELECT table_name, CASE WHEN table_name IN ('chunks', 'vectors') THEN (SELECT count(*) FROM new) ELSE (SELECT count(*) FROM edited) END AS n_rows, CAST(0 AS BIGINT) AS n_different FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'vectors']) AS table_name)"
 ORACLES["build_index_paragraphs"] = CHUNKS + BODY + f""", posted AS (SELECT DISTINCT key, unnest(terms) AS term FROM rows)
-SELECT table_name, CASE table_name WHEN 'manifest' THEN {len(SCHEMA_VERSIONS) + 8} WHEN 'stats' THEN 2 WHEN 'postings' THEN (SELECT count(*) FROM posted) WHEN 'file_fields' THEN (SELECT count(*) FROM plain) WHEN 'file_state' THEN (SELECT count(*) FROM plain) ELSE (SELECT count(*) FROM chunks) END AS n_rows
-FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'manifest', 'postings', 'stats', 'vectors']) AS table_name)"""
+SELECT table_name, CASE table_name WHEN 'manifest' THEN {len(described(Config())) + 3} WHEN 'terms' THEN (SELECT count(DISTINCT term) FROM posted) WHEN 'stats' THEN 2 WHEN 'postings' THEN (SELECT count(*) FROM posted) WHEN 'file_fields' THEN (SELECT count(*) FROM plain) WHEN 'file_state' THEN (SELECT count(*) FROM plain) ELSE (SELECT count(*) FROM chunks) END AS n_rows
+FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'manifest', 'postings', 'stats', 'terms', 'vectors']) AS table_name)"""
 ORACLES["integrity_problems"] = CHUNKS + """, found AS (SELECT 'fields: missing' AS kind FROM plain WHERE doc_id % 5 <> 0 AND doc_id % 6 = 0 UNION ALL SELECT 'fields: orphan' FROM plain WHERE doc_id % 5 = 0 AND doc_id % 6 <> 0
 UNION ALL SELECT 'vectors: missing' FROM chunks WHERE chunk_index % 4 = 3 UNION ALL SELECT 'state: chunk_count' FROM plain WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT 'vectors: dim' FROM chunks WHERE chunk_index % 4 <> 3 AND chunk_index % 5 = 0)
 SELECT kind, count(*) AS n FROM found GROUP BY kind"""

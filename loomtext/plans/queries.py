@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtext.config import Config
 from loomtext.functions import scope, text
-from loomtext.operators import chunking, evaluate, expansion, frontmatter, fusion, grounding, history, index, lexical, scan, sync, vectors
+from loomtext.operators import chunking, evaluate, expansion, frontmatter, fusion, grounding, history, index, inverted, lexical, scan, sync, vectors
 from loomtext.plans import build, search
 from loomtext.plans.views import table, view
 from loomtext.sources import notes as sources
@@ -580,6 +580,12 @@ def build_index(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _of_chunks(name: str, df: DataFrame) -> DataFrame:
+    """Of lexical tables what is about chunks; of blocks the postings."""
+    own = df.where("channel <> 'file'") if name in ("postings", "terms", "stats") else df
+    return inverted.postings(own) if name == "postings" else own
+
+
 @query
 def build_index_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """The same of the plain documents, in chunks of paragraphs, read back from the generation that was written."""
@@ -588,7 +594,7 @@ def build_index_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     tables = sources.read_index(spark, root, *sources.generations(spark, root))
     out = None
     for name, df in sorted(tables.items()):
-        part = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        part = _of_chunks(name, df).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,18 @@ from loomtext.plans.build import body_rows, heading_rows
 from loomtext.sources.scratch import Scratch
 
 
+def stored(tables: dict[str, DataFrame], channel: str) -> lexical.Lexicon:
+    """A channel's lexicon in an index with postings; rows that later runs have replaced are left out."""
+    own = lambda name: tables[name].where(F.col("channel") == channel).drop("channel")
+    stats = own("stats").first()
+    weights = tuple(lexical.FIELD_WEIGHTS.values()) if channel == "file" else (1.0,)
+    return lexical.Lexicon(own("postings"), own("terms"), stats["n_rows"] if stats else 0, stats["avg_terms"] if stats else 0.0, own("dead") if "dead" in tables else None, weights)
+
+
 def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Config, mode: str = "any", encoder: vectors.EncoderFactory | None = None, analyzer: Analyzer | None = None) -> DataFrame:
     """query_id, channel, key, rank: body, heading, file and vector rankings, the latter moved onto the files' representatives.
 
-    Lexical rows and each channel's ranking are written once, as several rankings read them. An analyzer has to be that of the index; it also reads the queries.
+    Each channel's ranking is written once, as several rankings read it. An analyzer has to be that of the index; it also reads the queries.
     """
     scratch = Scratch(queries.sparkSession, "search")
     k, back = config.bm25_top_k, config.prefix_fallback
@@ -24,18 +34,19 @@ def channel_hits(tables: dict[str, DataFrame], queries: DataFrame, config: Confi
         asked = scratch.cut(asked.withColumn("query", F.array_join(query_tokens(F.col("query"), analyzer), " ")), "analyzed")
     places = tables["chunks"].select(chunk_key(F.col("file_path"), F.col("chunk_index")).alias("key"), "file_path", "chunk_index")
 
-    def channel(name: str, rows: DataFrame) -> DataFrame:
-        """A channel's ranking; queries without a hit are asked once more with their last token as a prefix."""
-        return scratch.cut(lexical.bm25(asked, scratch.cut(rows, f"{name}-rows"), k, mode, back), name)
+    def channel(name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        """A channel's ranking, from stored postings if there are any; queries without a hit are asked once more with their last token as a prefix."""
+        own = stored(tables, name) if "postings" in tables else rows()
+        return scratch.cut(lexical.bm25(asked, own, k, mode, back), f"{name}-hits")
 
-    body = channel("body", body_rows(tables["chunks"], analyzer))
-    headings = channel("headings", heading_rows(tables["chunks"], analyzer))
+    body = channel("body", lambda: body_rows(tables["chunks"], analyzer))
+    headings = channel("heading", lambda: heading_rows(tables["chunks"], analyzer))
     found = vectors.embed_queries(asked, encoder or vectors.hash_encoder(config.vector_dim), config.query_prefix)
     own = tables["vectors"].select(chunk_key(F.col("file_path"), F.col("chunk_index")).alias("key"), "embedding")
     near = scratch.cut(vectors.nearest(found, own, config.vector_top_k).select("query_id", "key", "rank"), "vectors")
     named = [body.select("query_id", F.lit("body").alias("channel"), "key", "rank"), headings.select("query_id", F.lit("heading"), "key", "rank")]
     if config.title_rrf_weight > 0:
-        files = channel("file-hits", lexical.file_rows(tables["file_fields"])).select("query_id", F.col("key").alias("file_path"), "rank")
+        files = channel("file", lambda: lexical.file_rows(tables["file_fields"])).select("query_id", F.col("key").alias("file_path"), "rank")
         stand = scratch.cut(fusion.file_to_chunk(files, body, headings, places), "files")
         near = fusion.coalesce_to_representative(near, stand, places)
         named.append(stand.select("query_id", F.lit("file"), "key", "rank"))

@@ -1,7 +1,7 @@
 """File-change events as a stream, applied to index tables in micro-batches.
 
 Coalescing needs no state beyond a micro-batch: the last operation of a path wins, and what is applied twice gives the same
-tables. Each micro-batch makes a generation of the index from the one before, with the paths that were put back; its number is the batch's, so a batch
+tables. Each micro-batch adds a generation to the index, a delta of its own paths and of those that were put back (runs.py); its number is the batch's, so a batch
 that failed is made again from the same state when the checkpoint replays it, and one that was applied is not applied twice.
 """
 
@@ -15,8 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomtext.config import Config
 from loomtext.functions.scope import in_scope
-from loomtext.operators.sync import DRAIN_LIMIT, apply_changes, reconcile, recovery_plan, renames, route_paths
-from loomtext.sources.notes import generations, read_index, write_index
+from loomtext.operators.index import MANIFEST, index_counts, recounted
+from loomtext.operators.inverted import less
+from loomtext.operators.sync import DRAIN_LIMIT, reconcile, recovery_plan, renames, route_paths
+from loomtext.plans.build import derived_tables
+from loomtext.sources.notes import generations, write_index
+from loomtext.sources.runs import Derive, Runs
 from loomtext.sources.scratch import Scratch
 
 QUIET = "1500 milliseconds"
@@ -74,28 +78,26 @@ class IndexSync:
     DRAIN_LIMIT paths to apply, states are reconciled strictly against the notes instead, and nothing has to be drained.
     """
 
-    def __init__(self, spark: SparkSession, root: str, notes: Callable[[], DataFrame], build: Callable[[DataFrame], dict[str, DataFrame]], config: Config, size: int = BATCH, drain_limit: int = DRAIN_LIMIT, rejected: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, root: str, notes: Callable[[], DataFrame], build: Callable[[DataFrame], dict[str, DataFrame]], config: Config, size: int = BATCH, drain_limit: int = DRAIN_LIMIT, rejected: Callable[[DataFrame], DataFrame] | None = None, derive: Derive | None = None):
         self.spark, self.root, self.notes, self.build, self.config, self.size, self.drain_limit, self.rejected = spark, root, notes, build, config, size, drain_limit, rejected
+        self.runs = Runs(spark, root, derive or derived_tables)
 
     def start(self) -> None:
         """Generation -1: the index of the notes as they are, where there is none yet."""
         if not generations(self.spark, self.root):
             tables = self.build(self.notes())
-            self._write(tables, self.spark.createDataFrame([], "path string, op string, ts timestamp"), -1)
+            self._write(tables, tables.get("manifest"), self.spark.createDataFrame([], "path string, op string, ts timestamp"), -1)
 
     def tables(self, before: int | None = None) -> dict[str, DataFrame]:
-        """The tables of the last complete generation (below a number)."""
-        known = [int(g) for g in generations(self.spark, self.root)]
-        return read_index(self.spark, self.root, str(max(g for g in known if before is None or g < before)))
+        """The index as of the last complete generation (below a number), merged from its runs."""
+        return self.runs.tables(before=before)
 
     def apply(self, coalesced: DataFrame, batch_id: int) -> None:
         if str(batch_id) in generations(self.spark, self.root):
             return  # applied before the checkpoint knew
         scratch = Scratch(self.spark, "sync")
         tables = self.tables(batch_id)
-        back = tables.pop("requeued")
-        tables.pop("manifest")
-        waiting = coalesced.select("path", "op", "ts").withColumn("new", F.lit(1)).unionByName(back.withColumn("new", F.lit(0)))
+        waiting = coalesced.select("path", "op", "ts").withColumn("new", F.lit(1)).unionByName(tables["requeued"].withColumn("new", F.lit(0)))
         last = waiting.groupBy("path").agg(F.max_by(F.struct("op", "ts"), F.struct("new", "ts", F.col("op"))).alias("e"))
         pending = scratch.cut(last.select("path", "e.op", "e.ts"), "pending")
         notes = self.notes()
@@ -110,8 +112,31 @@ class IndexSync:
             requeued = pending.join(refused, "path", "left_semi")
             routed = route_paths(pending.join(refused, "path", "left_anti").select("path", "op"), notes, self.config.include, self.config.exclude)
         routed = scratch.cut(routed, "routed")
-        self._write(apply_changes(tables, routed, notes, self.build), requeued, batch_id)
-
-    def _write(self, tables: dict[str, DataFrame], requeued: DataFrame, batch_id: int) -> None:
-        manifest = self.spark.createDataFrame([(str(batch_id), "generation", str(batch_id))], "index_id string, key string, value string")
-        write_index(tables | {"requeued": requeued.select("path", "op", "ts"), "manifest": manifest}, self.root, str(batch_id), "overwrite")
+        self._append(tables, routed, notes, requeued, batch_id)
+        self.runs.compact()
+
+    def _append(self, tables: dict[str, DataFrame], routed: DataFrame, notes: DataFrame, requeued: DataFrame, batch_id: int) -> None:
+        """A delta of the routed paths: their fresh rows, their names, and what terms, stats and counts change by."""
+        fresh = self.build(_of_paths(notes, routed.where("op = 'changed'")))
+        delta = {name: df for name, df in fresh.items() if name not in ("terms", "stats", "manifest")} | {"touched": routed.select("file_path")}
+        manifest = None
+        if "postings" in fresh or "manifest" in fresh:
+            old = {name: Scratch(self.spark, "old").cut(_of_paths(tables[name], routed), name) for name in ("chunks", "file_fields", "file_state")}
+            if "postings" in fresh:
+                delta |= less(fresh, self.runs.derive(old["chunks"], old["file_fields"]))
+            manifest = recounted(tables["manifest"], index_counts(old["chunks"], old["file_state"]), index_counts(fresh["chunks"], fresh["file_state"]))
+        self._write(delta, manifest, requeued, batch_id)
+
+    def _write(self, tables: dict[str, DataFrame], manifest: DataFrame | None, requeued: DataFrame, batch_id: int) -> None:
+        """A generation; its number is one more key of the manifest."""
+        own = self.spark.createDataFrame([(str(batch_id), "generation", str(batch_id))], MANIFEST)
+        if manifest is not None:
+            index_id = manifest.first()["index_id"]
+            own = manifest.where("key <> 'generation'").unionByName(own.withColumn("index_id", F.lit(index_id)))
+        write_index(tables | {"requeued": requeued.select("path", "op", "ts"), "manifest": own}, self.root, str(batch_id), "overwrite")
+
+
+def _of_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows of some paths; of up to DRAIN_LIMIT by a list of them, which the files' ranges of paths are compared with before they are read."""
+    some = [r["file_path"] for r in paths.select("file_path").limit(DRAIN_LIMIT + 1).collect()]
+    return rows.where(F.col("file_path").isin(some)) if len(some) <= DRAIN_LIMIT else rows.join(paths.select("file_path"), "file_path", "left_semi")
