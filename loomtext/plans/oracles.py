@@ -87,6 +87,11 @@ FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS i) g LEFT JOIN b ON b.d
 ORACLES["vector_topk"] = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS key, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM s) SELECT query_id, key, round(score, 6) AS score, rank FROM r WHERE rank <= 80"""
+ORACLES["vector_topk_cells"] = ORACLES["vector_topk"]
+ORACLES["vector_topk_uneven"] = """
+WITH o AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN CAST(embedding[1:32] AS DOUBLE[]) ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 <> 0 AND vec_id % 13 <> 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id AS key, list_cosine_similarity(q.v, x.v) AS score FROM o q JOIN o x ON len(q.v) = len(x.v) AND x.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key) AS rank FROM s) SELECT query_id, key, round(score, 6) AS score, rank FROM r WHERE rank <= 80"""
 ORACLES["embedding_parity"] = "WITH c AS (SELECT list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 2))) AS c FROM embeddings) SELECT count(*) AS n, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine FROM c"
 
 # Fusion
@@ -204,7 +209,10 @@ ORACLES["recovery_action"] = "SELECT CAST(doc_id AS VARCHAR) AS index_id, CASE W
 EDITED = cte("plain") + ", edited AS (SELECT doc_id, file_path, source, lang, CASE WHEN doc_id % 4 = 0 THEN concat(text, ' and an added sentence at the end.') ELSE text END AS text FROM plain WHERE doc_id % 9 <> 0)" + chunks_of("plain", "old") + chunks_of("edited", "new")
 ORACLES["apply_changes"] = EDITED + """ SELECT (SELECT count(*) FROM plain WHERE doc_id % 4 = 0 AND doc_id % 9 <> 0) AS changed, (SELECT count(*) FROM plain WHERE doc_id % 9 = 0) AS deleted,
 (SELECT count(*) FROM old JOIN plain USING (file_path) WHERE doc_id % 4 = 0 OR doc_id % 9 = 0) AS removed_chunks, (SELECT count(*) FROM new JOIN edited USING (file_path) WHERE doc_id % 4 = 0) AS added_chunks"""
-ORACLES["incremental_equals_full"] = EDITED + " SELECT table_name, CASE WHEN table_name IN ('chunks', 'vectors') THEN (SELECT count(*) FROM new) ELSE (SELECT count(*) FROM edited) END AS n_rows, CAST(0 AS BIGINT) AS n_different FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'vectors']) AS table_name)"
+ORACLES["incremental_equals_full"] = EDITED + f""", posted AS (SELECT DISTINCT file_path, chunk_index, unnest({terms("content")}) AS term FROM new)
+SELECT table_name, CAST(CASE WHEN table_name IN ('chunks', 'vectors') THEN (SELECT count(*) FROM new) WHEN table_name = 'postings' THEN (SELECT count(*) FROM posted) WHEN table_name = 'terms' THEN (SELECT count(DISTINCT term) FROM posted)
+WHEN table_name = 'stats' THEN 2 WHEN table_name = 'manifest' THEN {len(described(Config())) + 3} ELSE (SELECT count(*) FROM edited) END AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different
+FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'manifest', 'postings', 'stats', 'terms', 'vectors']) AS table_name)"""
 ORACLES["build_index_paragraphs"] = CHUNKS + BODY + f""", posted AS (SELECT DISTINCT key, unnest(terms) AS term FROM rows)
 SELECT table_name, CASE table_name WHEN 'manifest' THEN {len(described(Config())) + 3} WHEN 'terms' THEN (SELECT count(DISTINCT term) FROM posted) WHEN 'stats' THEN 2 WHEN 'postings' THEN (SELECT count(*) FROM posted) WHEN 'file_fields' THEN (SELECT count(*) FROM plain) WHEN 'file_state' THEN (SELECT count(*) FROM plain) ELSE (SELECT count(*) FROM chunks) END AS n_rows
 FROM (SELECT unnest(['chunks', 'file_fields', 'file_state', 'manifest', 'postings', 'stats', 'terms', 'vectors']) AS table_name)"""

@@ -196,6 +196,23 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _out(vectors.nearest(*_sides(spark, sf), CONFIG.vector_top_k, exclude_self=True))
 
 
+@query
+def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search through cells."""
+    asked, own = _sides(spark, sf)
+    scratch = Scratch(spark, "cells")
+    return _out(vectors.nearest_in_cells(asked, vectors.in_cells(own, scratch), scratch, CONFIG.vector_top_k, exclude_self=True)[0])
+
+
+@query
+def vector_topk_uneven(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of two lengths, some with an entry that is null or no number: only equal lengths are compared."""
+    cut = F.when(F.col("key") % 7 == 0, F.slice("embedding", 1, 32)).when(F.col("key") % 11 == 0, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(None).cast("float"))))
+    odd = cut.when(F.col("key") % 13 == 0, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    own = _sides(spark, sf)[1].select("key", odd.alias("embedding"))
+    return _out(vectors.nearest(own.where("key % 20 = 0").withColumnRenamed("key", "query_id"), own, CONFIG.vector_top_k, exclude_self=True))
+
+
 @query
 def embedding_parity(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -500,13 +517,13 @@ def apply_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each table the rows after a sync, and how many of them a rebuild lacks or has besides: none."""
+    """Of each table the rows after a sync, and how many of them a rebuild lacks or has besides: none. Of blocks the postings."""
     old, new, routed = _edited(spark, sf)
-    after = sync.apply_changes(build.note_tables(old, CONFIG), routed, new, lambda n: build.note_tables(n, CONFIG))
-    full, scratch, out = build.note_tables(new, CONFIG), Scratch(spark, "sides"), None
+    made = lambda n: build.build_index(n, CONFIG)
+    after, full, scratch, out = sync.apply_changes(made(old), routed, new, made), made(new), Scratch(spark, "sides"), None
     for name in sorted(full):
-        one = scratch.cut(after[name], f"{name}-after")
-        differ = sync.differences(one, scratch.cut(full[name], f"{name}-full")).agg(F.count("*").alias("n_different"))
+        one, other = (scratch.cut(_of_chunks(name, side[name]).drop("part"), f"{name}-{kind}") for kind, side in (("after", after), ("full", full)))
+        differ = sync.differences(one, other.select(*one.columns)).agg(F.count("*").alias("n_different"))
         part = scratch.read(f"{name}-after").agg(F.count("*").alias("n_rows")).join(F.broadcast(differ)).select(F.lit(name).alias("table_name"), "n_rows", "n_different")  # single rows
         out = part if out is None else out.unionByName(part)
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import inverted
 from loomtext.operators.inverted import path_of, signed_sums
-from loomtext.sources.notes import TABLES, _listed, by_path, generations, write_tables
+from loomtext.sources.notes import TABLES, _listed, by_path, generations, read_table, write_tables
 
 #: The newest runs are merged with the run before them when RATIO times their bytes reach its own.
 RATIO = 2
@@ -67,7 +67,7 @@ class Runs:
         return out
 
     def _read(self, run: Run, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{run.path}/{name}") if name in _listed(self.spark, run.path) else None
+        return read_table(self.spark, run.path, name) if name in _listed(self.spark, run.path) else None
 
     def _touched(self, runs: list[Run]) -> DataFrame:
         """file_path, last: the newest of the given runs (by number in the list) that touched a path."""
