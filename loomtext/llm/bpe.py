@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 LONG_WORD = 128
 #: Pieces in a worker's table of pieces already encoded; when it is full, it takes the place of an older one of that size.
 KEPT = 100_000
+#: Rows whose results a task hands back at once.
+ROWS = 1000
 #: Words merged at once, and characters of texts encoded at once.
 BLOCK, CHARS = 20_000, 1_000_000
 NONE = (1 << 31) - 1
@@ -366,7 +368,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             counts, of_ids, of_text, ids = [], [], [], []
             for found in enc.entries_each(t.as_py() for t in batch.column(1)):
                 decimals = decimals_of(found)

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ KEEP = 0.5
 #: Texts that a worker gets at once when the models are fitted.
 TEXTS = 1000
 #: Features that the driver looks at together when it fits.
-PART = 1 << 19
+PART = 1 << 17
 #: Labelled documents, at most, on which the scorer of toxic vocabulary is fitted, and the probability from which a document is toxic.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 1500
 TOXIC = 0.5
@@ -167,21 +168,23 @@ def stems(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     return seen.astype(np.int64), np.sqrt(times / len(starts)) * 0.5
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic scorer for soft labels, by full gradients with adaptive steps."""
+def fit_scorer(picked: pa.Table, labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic scorer for soft labels of rows(at, values), by full gradients with adaptive steps. The features stay where Arrow has put them."""
     weights, bias = np.zeros(dimensions), 0.0
-    if not rows:
+    n = picked.num_rows
+    if not n:
         return weights, bias
-    at, values = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    lists = picked.column("at").combine_chunks()
+    at, values = lists.flatten().to_numpy(), picked.column("values").combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy())
     parts = [slice(k, k + PART) for k in range(0, len(at), PART)]
     first, second, of_bias = np.zeros(dimensions), np.zeros(dimensions), [0.0, 0.0]
     # Both classes weigh the same, however rare one is.
     share = np.clip(labels.mean(), 0.02, 0.98)
     importance = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
     for k in range(1, rounds + 1):
-        z = sum((np.bincount(row[p], values[p] * weights[at[p]], len(rows)) for p in parts), np.full(len(rows), bias))
-        error = (1 / (1 + np.exp(-z)) - labels) * importance / len(rows)
+        z = sum((np.bincount(row[p], values[p] * weights[at[p]], n) for p in parts), np.full(n, bias))
+        error = (1 / (1 + np.exp(-z)) - labels) * importance / n
         slope = sum((np.bincount(at[p], values[p] * error[row[p]], dimensions) for p in parts), decay * weights)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         of_bias = [0.9 * of_bias[0] + 0.1 * error.sum(), 0.999 * of_bias[1] + 0.001 * error.sum() ** 2]
@@ -240,8 +243,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in both], "values": [v.astype(np.float32) for _, v in both], "votes": [votes(p) for p in found]})
 
     with rows_at_once(docs.sparkSession, TEXTS):
-        picked = drawn.select(features("text").alias("f")).select("f.*").toPandas()
-    weights, bias = fit_scorer(list(zip(picked["at"], picked["values"], strict=True)), picked["votes"].map(posteriors).to_numpy(float))
+        picked = drawn.select(features("text").alias("f")).select("f.*").toArrow()
+    weights, bias = fit_scorer(picked, np.array([posteriors[v] for v in picked.column("votes").to_pylist()], float))
     return Model(weights.astype(np.float32), bias, posteriors, rates)
 
 
@@ -264,11 +267,11 @@ def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] |
 
     rows = fill_missing(docs, doc_id="long", text="string").join(toxic_sample(labels), "doc_id")
     with rows_at_once(docs.sparkSession, TEXTS):
-        picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toPandas().sort_values("doc_id", kind="stable")
-    if picked["toxic"].nunique() < 2:
+        picked = rows.select("doc_id", "toxic", features("text").alias("f")).select("doc_id", "toxic", "f.*").toArrow().sort_by("doc_id")
+    toxic = picked.column("toxic").to_numpy().astype(float)
+    if len(np.unique(toxic)) < 2:
         return None
-    toxic, found = picked["toxic"].to_numpy(float), list(zip(picked.pop("at"), picked.pop("values"), strict=True))
-    weights, bias = fit_scorer(found, toxic, STEM_DIMENSIONS)
+    weights, bias = fit_scorer(picked, toxic, STEM_DIMENSIONS)
     return weights.astype(np.float32), bias
 
 
