@@ -33,7 +33,13 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of the plain documents, with headings [source, lang]."""
     docs = view(spark, sf, "plain")
     own = docs.select("file_path", F.array("source", "lang").alias("own"))
-    return Scratch(spark, "chunks").cut(chunking.chunk(docs).join(own, "file_path").withColumn("heading_path", F.col("own")).drop("own"), "chunks")
+    rows = chunking.chunk(docs).join(own, "file_path").withColumn("heading_path", F.col("own")).drop("own")
+    return Scratch(spark, "chunks").cut(rows.repartition(_tasks(spark), "file_path", "chunk_index"), "chunks")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Partitions that keep all cores busy also with tables that would fit into one."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _rows(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    return _out(lexical.bm25(view(spark, sf, "queries"), _rows(spark, build.body_rows(_chunks(spark, sf))), CONFIG.bm25_top_k, mode))
+    return _out(lexical.bm25(view(spark, sf, "queries"), build.body_rows(_chunks(spark, sf)), CONFIG.bm25_top_k, mode))
 
 
 @query
@@ -161,7 +167,7 @@ def bm25_match_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(lexical.bm25(view(spark, sf, "file_queries"), _rows(spark, build.heading_rows(_chunks(spark, sf))), CONFIG.bm25_top_k))
+    return _out(lexical.bm25(view(spark, sf, "file_queries"), build.heading_rows(_chunks(spark, sf)), CONFIG.bm25_top_k))
 
 
 @query
