@@ -234,7 +234,9 @@ ORACLES["history_round_trip"] = "SELECT conv_id, count(*) AS n_messages, true AS
 LAST = ", last AS (SELECT path, arg_max(op, (ts, event_id, op)) AS op FROM single WHERE lower(path) LIKE '%.md' GROUP BY path)"
 for name in ("coalesce_events", "stream_sync"):
     ORACLES[name] = cte("file_events") + SINGLE + LAST + " SELECT path, op FROM last"
-ORACLES["debounce_events"] = cte("file_events") + SINGLE + ", g AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM single), s AS (SELECT path, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT path, s, count(*) AS n FROM s GROUP BY ALL) SELECT path, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS events, max(n) AS largest FROM b GROUP BY path"
+ORACLES["debounce_events"] = ORACLES["debounce_stream"] = cte("file_events") + SINGLE + ", g AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM single), s AS (SELECT path, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT path, s, count(*) AS n FROM s GROUP BY ALL) SELECT path, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS events, max(n) AS largest FROM b GROUP BY path"
+ORACLES["watch_notes"] = cte("plain") + """ SELECT CAST(0 AS BIGINT) AS look, file_path AS path, 'changed' AS op FROM plain UNION ALL SELECT 1, file_path, 'changed' FROM plain WHERE doc_id % 4 = 0
+UNION ALL SELECT 1, concat('added/', doc_id, '.md'), 'changed' FROM plain WHERE doc_id % 9 = 0 UNION ALL SELECT 1, file_path, 'deleted' FROM plain WHERE doc_id % 7 = 0 AND doc_id % 4 <> 0"""
 ORACLES["flush_batches"] = cte("file_events") + SINGLE + LAST + " SELECT path, op, (row_number() OVER (ORDER BY op, substr(sha256(path), 1, 2), path) - 1) // 50 AS batch_no FROM last"
 ORACLES["stream_index"] = cte("plain", "file_events") + chunks_of("plain") + SINGLE + LAST + ", n AS (SELECT file_path, count(*) AS n FROM chunks GROUP BY file_path) SELECT file_path, coalesce(n, 0) AS n_chunks FROM plain LEFT JOIN n USING (file_path) WHERE file_path NOT IN (SELECT path FROM last WHERE op = 'deleted')"
 

@@ -14,7 +14,9 @@ from loomtext.operators import chunking, evaluate, expansion, frontmatter, fusio
 from loomtext.plans import build, search
 from loomtext.plans.views import table, view
 from loomtext.sources import notes as sources
+from loomtext.sources import watch
 from loomtext.sources.scratch import Scratch, shared_folder
+from loomtext.streaming import bursts
 from loomtext.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -696,16 +698,61 @@ def debounce_events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("bursts"), F.sum("n").alias("events"), F.max("n").alias("largest"))
 
 
+@query
+def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bursts from a stream of the events that is stopped after two of its four files and goes on from its checkpoint; an event a year on closes the last ones."""
+    folder = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
+    parts = _event_parts(spark, sf)
+    end = parts.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(4).alias("part"))
+    for which in ((0, 1), (2, 3, 4)):
+        _add_parts(parts.select(*end.columns).unionByName(end), folder, *which)
+        out = bursts.debounced_stream(_event_stream(spark, folder), "30 minutes", "1 minute").writeStream.format("parquet").option("path", f"{folder}/bursts")
+        out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(bursts.OUT).parquet(f"{folder}/bursts").where("NOT late")
+    return rows.groupBy("path").agg(F.count("*").alias("bursts"), F.sum("n").alias("events"), F.max("n").alias("largest"))
+
+
+@query
+def watch_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes written as files and watched as a stream: all at first, then what an edit changed, added and took away."""
+    spark.dataSource.register(watch.Notes)
+    folder = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    docs = view(spark, sf, "plain").select("doc_id", "file_path", "text", "modified_ns")
+    edited = docs.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" and more"))).withColumn("modified_ns", F.col("modified_ns") + 1000000)
+    added = docs.where("doc_id % 9 = 0").withColumn("file_path", F.concat(F.lit("added/"), "doc_id", F.lit(".md")))
+    seen: list[int] = []
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        seen.append(batch_id)
+        batch.withColumn("look", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+
+    steps = ((docs, "false"), (edited.unionByName(added), "doc_id % 7 = 0 AND doc_id % 4 <> 0"))
+    for written, gone in steps:
+        watch.write_notes(written, f"{folder}/notes")
+        watch.delete_notes(docs.where(gone), f"{folder}/notes")
+        stream = spark.readStream.format("notes").option("depth", 2).option("snapshots", f"{folder}/snapshots").load(f"{folder}/notes")
+        streaming.stream_sync(stream, apply, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(*[f"{folder}/seen/batch={k}" for k in seen]).select("look", "path", "op")
+
+
 @query
 def flush_batches(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.flush_batches(streaming.coalesce_events(view(spark, sf, "file_events")), 50).select("path", "op", F.col("batch_no").cast("long").alias("batch_no"))
 
 
-def _event_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    """The events as a stream of four files in order of time, one a micro-batch; a stream takes files in the order in which they were written."""
-    parts = Scratch(spark, "events").cut(table(spark, sf, "events").repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()), "parts")
-    for k in range(4):
+def _event_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in four parts in order of time."""
+    return Scratch(spark, "events").cut(table(spark, sf, "events").repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()), "parts")
+
+
+def _add_parts(parts: DataFrame, folder: str, *which: int) -> None:
+    """Parts as files of a stream, which takes them in the order in which they were written."""
+    for k in which:
         parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The files written so far as a stream, one a micro-batch."""
     schema = spark.read.parquet(f"{folder}/events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
     typed = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
@@ -722,7 +769,8 @@ def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
 
-    streaming.stream_sync(_event_stream(spark, sf, folder), apply, f"{folder}/checkpoint").awaitTermination()
+    _add_parts(_event_parts(spark, sf), folder, 0, 1, 2, 3)
+    streaming.stream_sync(_event_stream(spark, folder), apply, f"{folder}/checkpoint").awaitTermination()
     applied = spark.read.parquet(f"{folder}/state")
     return applied.groupBy("path").agg(F.max_by("op", F.struct("ts", "batch_id")).alias("op"))
 
@@ -735,7 +783,8 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     turns = iter(range(1000))
     keeper = streaming.IndexSync(spark, f"{folder}/index", notes, lambda n: build.note_tables(n, CONFIG), CONFIG, 50, 1 << 30, lambda f: f.where(F.pmod("batch_no", F.lit(4)) == next(turns) % 4))
     keeper.start()
-    streaming.stream_sync(_event_stream(spark, sf, folder), keeper.apply, f"{folder}/checkpoint").awaitTermination()
+    _add_parts(_event_parts(spark, sf), folder, 0, 1, 2, 3)
+    streaming.stream_sync(_event_stream(spark, folder), keeper.apply, f"{folder}/checkpoint").awaitTermination()
     last = max(int(g) for g in sources.generations(spark, keeper.root))
     keeper.rejected = None
     keeper.apply(streaming.coalesce_events(view(spark, sf, "file_events").where("false")), last + 1)  # what was put back
