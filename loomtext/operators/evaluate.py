@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.scope import benchmark_path, coverage_path
 from loomtext.operators.fusion import select_diverse, weighted_rrf
+from loomtext.sources.scratch import Scratch
 
 #: The intents a case may have.
 INTENTS = ("exact", "known-item", "topic", "timeline", "value", "korean-morphology")
@@ -89,6 +92,26 @@ def case_metrics(cases: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def order_statistics(rows: DataFrame, column: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: for each name the number at a place (from 0) of a sorted column, null if there is none; places are made of the count of numbers.
+
+    Equal numbers are counted first, then dealt to ranges; sums of the ranges show in which one a place lies, and that range alone is sorted. Null takes no
+    part; NaN is the largest.
+    """
+    scratch = Scratch(rows.sparkSession, "selection")
+    counts = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    scratch.cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "counts")
+    sums = scratch.read("counts").groupBy("part").agg(F.sum("n").alias("size"))  # a row a range
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = sums.select("part", "size", F.coalesce(before, F.lit(0)).alias("start"), total.alias("total"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("total")).cast("long").alias("place")) for name, place in places.items()])
+    asked = ranges.select("part", "start", "size", F.explode(wanted).alias("w")).select("part", "start", "size", "w.*").where("place >= start AND place < start + size")
+    reached = F.col("start") + F.sum("n").over(Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = scratch.read("counts").join(F.broadcast(asked), "part").withColumn("reached", reached).where("reached > place")  # a row a place
+    return found.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+
+
 def aggregate_metrics(metrics: DataFrame) -> DataFrame:
     """One row: means over cases with expected paths, sums of forbidden ones, median and 95th percentile of latency."""
     has = F.col("has_expected")
@@ -104,9 +127,11 @@ def aggregate_metrics(metrics: DataFrame) -> DataFrame:
         F.round(F.avg("unique_paths_20"), 6).alias("unique_paths_20"),
         *[F.sum(f"forbidden_{k}").alias(f"forbidden_{k}") for k in (20, 40)],
     ]
-    if "latency_ms" in metrics.columns:
-        sums += [F.round(F.percentile("latency_ms", F.lit(0.5)), 3).alias("p50_ms"), F.round(F.get(F.sort_array(F.collect_list("latency_ms")), F.floor((F.count("latency_ms") - 1) * 0.95).cast("int")), 3).alias("p95_ms")]
-    return metrics.agg(*sums)
+    if "latency_ms" not in metrics.columns:
+        return metrics.agg(*sums)
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.floor((n - 1) * 0.95)}
+    times = order_statistics(metrics, "latency_ms", places).select(F.round((F.col("low") + F.col("high")) / 2, 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms"))
+    return metrics.agg(*sums).join(F.broadcast(times))  # single rows
 
 
 def baseline_gate(current: DataFrame, baseline: DataFrame, current_cases: DataFrame, baseline_cases: DataFrame) -> DataFrame:
@@ -133,14 +158,18 @@ def sweep(metrics_by_width: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 
 def sweep_channels(hits: DataFrame, cases: DataFrame, widths: tuple[int, ...], weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
-    """sweep() of rankings that are fused from channel hits(query_id, channel, key, file_path, rank) cut at each width: channels are searched once, at the largest."""
-    out, files = None, hits.select("key", "file_path").distinct()
-    for width in widths:
-        fused = weighted_rrf(hits.where(F.col("rank") <= width), weights or {}, k)
-        ranking = select_diverse(fused, files, 200).select(F.concat(F.lit("case-"), F.col("query_id").cast("string")).alias("case_id"), "file_path", "rank")
-        part = case_metrics(cases, ranking).withColumn("width", F.lit(width))
-        out = part if out is None else out.unionByName(part)
-    return sweep(out)
+    """sweep() of rankings that are fused from channel hits(query_id, channel, key, file_path, rank) cut at each width.
+
+    Channels are searched once, at the largest width, and fused once: a hit goes to every width that reaches it, and (width, query) takes the place of the
+    query, so the number of shuffles does not depend on the number of widths.
+    """
+    widths_at = F.array(*[F.lit(w) for w in sorted(set(widths))])
+    cut = hits.where(F.col("rank") <= max(widths)).withColumn("width", F.explode(F.filter(widths_at, lambda w: w >= F.col("rank"))))
+    fused = weighted_rrf(cut.withColumn("query_id", F.struct("width", "query_id")), weights or {}, k)
+    ranking = select_diverse(fused, hits.select("key", "file_path").distinct(), 200)
+    ranking = ranking.select(F.struct(F.col("query_id.width").alias("width"), F.concat(F.lit("case-"), F.col("query_id.query_id").cast("string")).alias("case_id")).alias("case_id"), "file_path", "rank")
+    asked = cases.withColumn("width", F.explode(widths_at)).withColumn("case_id", F.struct("width", "case_id"))
+    return sweep(case_metrics(asked, ranking).withColumn("width", F.col("case_id.width")))
 
 
 def coverage_compare(*sets: DataFrame) -> DataFrame:

@@ -293,3 +293,17 @@ ORACLES["render_digest"] = DIRECT + f""", lines AS (SELECT query_id, rank, conca
 listing AS (SELECT query_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS body FROM lines GROUP BY query_id),
 digests AS (SELECT query_id, concat('# ', {collapsed("query")}, chr(10), chr(10), '2026-01-01 · ', coalesce(n, 0), ' results', chr(10), chr(10), coalesce(body, 'No results.')) AS d FROM queries LEFT JOIN listing USING (query_id))
 SELECT query_id, length(d) AS n_chars, sha256(d) AS digest_hash FROM digests"""
+
+
+def near_files(entry: str) -> str:
+    """The files of the first 10 hits among the nearest by entries of a kind."""
+    rows = f"SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST({entry} AS DOUBLE)) AS v FROM embeddings"
+    scores = f"SELECT q.vec_id AS query_id, k.vec_id AS key, round(list_cosine_similarity(q.v, k.v), 12) AS s FROM ({rows}) q JOIN ({rows}) k ON q.vec_id % 20 = 0 AND q.vec_id <> k.vec_id"
+    return f"SELECT DISTINCT query_id, key % 500 AS file FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM ({scores})) WHERE rank <= 10"
+
+
+ORACLES["encoder_overlap"] = f"WITH a AS ({near_files('x')}), b AS ({near_files('CAST(round(x, 1) AS FLOAT)')}) SELECT query_id, round(count(b.file) / count(*), 6) AS overlap FROM a LEFT JOIN b USING (query_id, file) GROUP BY query_id"
+ORACLES["digest_differences"] = cte("plain") + """, o AS (SELECT file_path, text, lang, modified_ns FROM plain),
+n AS (SELECT file_path, CASE WHEN modified_ns % 17000 = 0 THEN concat(text, '.') ELSE text END AS text, CASE WHEN modified_ns % 19000 <> 0 THEN lang END AS lang, modified_ns FROM o WHERE modified_ns % 23000 <> 0 UNION ALL SELECT * FROM o WHERE modified_ns % 29000 = 0)
+SELECT file_path, sha256(text) AS text_hash, lang, 'missing' AS side FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT file_path, sha256(text), lang, 'extra' FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o)"""
+ORACLES["order_statistics"] = "WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS place, count(*) OVER () AS n FROM lineitem WHERE l_extendedprice IS NOT NULL) SELECT max(v) FILTER (place = (n - 1) // 2) AS lower_median, max(v) FILTER (place = floor((n - 1) * 0.95)) AS p95, min(v) AS least, max(v) AS most FROM s"

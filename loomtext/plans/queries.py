@@ -537,6 +537,33 @@ def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query
+def digest_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes before and after an edit, found by digests of ranges of paths: rows that are gone and rows that are new; some stand twice."""
+    old = view(spark, sf, "plain").select("file_path", "text", "lang", "modified_ns")
+    some = F.col("modified_ns") % 17000 == 0
+    new = old.where("modified_ns % 23000 <> 0").withColumn("text", F.when(some, F.concat("text", F.lit("."))).otherwise(F.col("text"))).withColumn("lang", F.when(F.col("modified_ns") % 19000 != 0, F.col("lang")))
+    rows = sync.differences_by_digest(new.unionByName(old.where("modified_ns % 29000 = 0")), old)
+    return rows.select("file_path", text.content_hash(F.col("text")).alias("text_hash"), "lang", "side")
+
+
+@query
+def order_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Median of the lower kind, 95th percentile, first and last of all lines' prices, without sorting them in one task."""
+    places = {"lower_median": lambda n: F.floor((n - 1) / 2), "p95": lambda n: F.floor((n - 1) * 0.95), "least": lambda n: F.lit(0), "most": lambda n: n - 1}
+    return evaluate.order_statistics(table(spark, sf, "lineitem"), "l_extendedprice", places)
+
+
+@query
+def encoder_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the nearest files of a rough encoder are those of a fine one, for each query."""
+    asked, own = _sides(spark, sf)
+    rough = lambda df: df.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 1).cast("float")))
+    name = F.concat(F.lit("v/"), (F.col("key") % 500).cast("string"), F.lit(".md")).alias("file_path")
+    one, other = (vectors.nearest(a, b, 20, exclude_self=True).select("query_id", name, "rank") for a, b in ((asked, own), (rough(asked), rough(own))))
+    return vectors.file_overlap(one, other, 10).withColumn("overlap", F.round("overlap", 6))
+
+
 @query
 def upsert_state(spark: SparkSession, sf: str) -> DataFrame:
     state = view(spark, sf, "state").select("file_path", "file_hash", F.col("modified_ns").cast("long").alias("modified_ns"))
@@ -715,7 +742,6 @@ def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def watch_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes written as files and watched as a stream: all at first, then what an edit changed, added and took away."""
-    spark.dataSource.register(watch.Notes)
     folder = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
     docs = view(spark, sf, "plain").select("doc_id", "file_path", "text", "modified_ns")
     edited = docs.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" and more"))).withColumn("modified_ns", F.col("modified_ns") + 1000000)
@@ -730,8 +756,7 @@ def watch_notes(spark: SparkSession, sf: str) -> DataFrame:
     for written, gone in steps:
         watch.write_notes(written, f"{folder}/notes")
         watch.delete_notes(docs.where(gone), f"{folder}/notes")
-        stream = spark.readStream.format("notes").option("depth", 2).option("snapshots", f"{folder}/snapshots").load(f"{folder}/notes")
-        streaming.stream_sync(stream, apply, f"{folder}/checkpoint").awaitTermination()
+        streaming.stream_sync(watch.watched(spark, f"{folder}/notes", f"{folder}/snapshots", 2), apply, f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(*[f"{folder}/seen/batch={k}" for k in seen]).select("look", "path", "op")
 
 

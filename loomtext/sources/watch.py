@@ -1,8 +1,7 @@
 """A folder of notes as a data source: its files as a batch, and what became of them since the last look as a stream.
 
-    spark.dataSource.register(watch.Notes)
-    spark.read.format("notes").load(root)                                             # file_path, text, file_size, modified_ns
-    spark.readStream.format("notes").option("snapshots", shared).load(root)           # events, as coalesce_events() and IndexSync take them
+    watch.scan(spark, root)                  # file_path, text, file_size, modified_ns
+    watch.watched(spark, root, snapshots)    # events, as coalesce_events() and IndexSync take them
 
 A task lists one folder of the given depth (and all below it); the driver only sees the names of those folders. An offset is a time. The listing of each folder at that time is written
 to the snapshots' folder, once, by the task that made it, so a batch that is replayed after a failure compares the same two listings and gives the same events.
@@ -20,9 +19,13 @@ from datetime import datetime, timezone
 import pyarrow as pa
 import pyarrow.fs as pf
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from loomtext.config import Config
+from loomtext.functions.scope import in_scope
+
 FILES = "file_path string, text string, file_size long, modified_ns long"
 EVENTS = "event_id long, ts timestamp, file_path string, old_path string, op string"
 SHARDS = "_folders"
@@ -118,6 +121,18 @@ class Notes(DataSource):
         return NoteStream(self.options)
 
 
+def scan(spark: SparkSession, root: str, config: Config = Config(), depth: int = 1) -> DataFrame:
+    """The notes below a folder that are in scope, empty ones included (which Spark's own file readers, and so scan_notes(), leave out)."""
+    spark.dataSource.register(Notes)
+    return spark.read.format("notes").option("depth", depth).load(root).where(in_scope(F.col("file_path"), config.include, config.exclude))
+
+
+def watched(spark: SparkSession, root: str, snapshots: str, depth: int = 1) -> DataFrame:
+    """The stream of what becomes of them."""
+    spark.dataSource.register(Notes)
+    return spark.readStream.format("notes").option("depth", depth).option("snapshots", snapshots).load(root)
+
+
 class NoteReader(DataSourceReader):
     """Bad bytes of a text are replaced; a note that goes away between listing and reading is left out."""
 

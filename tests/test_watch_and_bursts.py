@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loomtext.config import Config
 from loomtext.plans import build
-from loomtext.sources import notes as sources
 from loomtext.sources import watch
 from loomtext.streaming import bursts
 from loomtext.streaming import events as streaming
@@ -109,10 +108,10 @@ def test_watched_notes_keep_an_index(spark, tmp_path):
     for i in range(8):
         put(root / f"f{i % 3}/n{i}.md", f"# T{i}\n\nwords of note {i}", 10**18)
     (root / "f0/empty.md").write_text("")
-    notes = lambda: sources.scan_notes(spark, str(root), config)
+    notes = lambda: watch.scan(spark, str(root), config)
     keeper = streaming.IndexSync(spark, f"{tmp_path}/index", notes, lambda n: build.note_tables(n, config), config)
     keeper.start()
-    stream = lambda: spark.readStream.format("notes").option("snapshots", f"{tmp_path}/snap").load(str(root))
+    stream = lambda: watch.watched(spark, str(root), f"{tmp_path}/snap")
     content = lambda t: {tuple(map(str, r)) for r in t["chunks"].select("file_path", "chunk_index", "content").collect()}
     for turn in range(2):
         streaming.stream_sync(stream(), keeper.apply, f"{tmp_path}/cp").awaitTermination()
