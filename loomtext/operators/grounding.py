@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 #: Limits of a source, of the sources of a file, and of requests and answers.
 SOURCE_CHARS, SOURCES_PER_FILE = 3000, 2
-#: Results of a query that are looked at, the most that a search may be asked for.
-RESULTS = 200
 QUERY_CHARS, TOP_K, CONTEXT, MESSAGES, ANSWER_CHARS = 8000, (1, 12, 8), (8000, 32000, 24000), 8, 32000
+#: Fewer characters than the markup of any source has.
+LEAST_BLOCK = 40
 EVIDENCE_CHARS, EVIDENCE_KINDS = 100_000, {"search": 3000, "read": 40_000, "grep": 300}
 TOOL_CALLS = 6
 NO_CITATION = "ANSWER_HAS_NO_VALID_CITATIONS"
@@ -43,9 +43,13 @@ def grounding_sources(results: DataFrame, max_chars: int = 24000) -> DataFrame:
         F.filter(F.coalesce("heading_path", F.array().cast("array<string>")), lambda x: x != "").alias("heading_path"), F.substring(text, 1, SOURCE_CHARS).alias("content"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     usable = results.where((F.coalesce("file_path", F.lit("")) != "") & (F.coalesce(text, F.lit("")) != ""))
-    best = Window.partitionBy("query_id").orderBy(F.coalesce("rank", F.lit(0)), F.coalesce("score", F.lit(0.0)).desc(), "file_path")
-    usable = usable.withColumn("at", F.row_number().over(best)).where(F.col("at") <= RESULTS)
-    listed = usable.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    usable = usable.select("query_id", row.alias("row"))
+    # a third row of a file is never taken, and each source uses up some room, so what is left out here could not be taken
+    of_file = Window.partitionBy("query_id", "row.file_path").orderBy("row")
+    usable = usable.withColumn("of_file", F.row_number().over(of_file)).where(F.col("of_file") <= SOURCES_PER_FILE)
+    best = Window.partitionBy("query_id").orderBy("row")
+    usable = usable.withColumn("at", F.row_number().over(best)).where(F.col("at") <= max_chars // LEAST_BLOCK + 1)
+    listed = usable.groupBy("query_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     start = F.struct(F.array().cast(f"array<{SOURCE}>").alias("taken"), F.lit(0).alias("size"), F.lit(False).alias("full"))
 
     def source(acc: Column, x: Column, content: Column) -> Column:

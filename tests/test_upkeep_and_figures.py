@@ -7,10 +7,20 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomtext.operators import evaluate, sync
+from loomtext.operators import evaluate, grounding, sync
 from loomtext.operators.fusion import select_diverse, weighted_rrf
 
 
+def test_evidence_is_taken_from_all_results(spark):
+    """A note with 300 results, two of which fit, does not hide what ranks after them; half of its paths are written with backslashes."""
+    rows = [(1, i, 0.5, "d/a.md" if i % 2 else "d\\a.md", f"text {i}", 1, []) for i in range(1, 301)] + [(1, 301 + i, 0.1, f"b{i}.md", "other", 1, []) for i in range(250)]
+    results = spark.createDataFrame(rows, "query_id int, rank int, score double, file_path string, content string, start_line int, heading_path array<string>")
+    got = grounding.grounding_sources(results, 100000).orderBy("source_no").collect()
+    assert [r["rank"] for r in got] == [1, 2, *range(301, 551)]
+    few = grounding.grounding_sources(results, 400).orderBy("source_no").collect()
+    assert [r["rank"] for r in few] == [1, 2, 301, 302][: len(few)] and 2 < len(few) < 6
+
+
 def test_digests_find_every_difference(spark):
     g = random.Random(4)
     schema = "file_path string, a int, b string, c array<string>"
