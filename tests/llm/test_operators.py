@@ -73,6 +73,46 @@ def test_mixing(spark):
     assert mixing.taken(docs(spark, [(1, None, None)])).first()["target"] == 0.0
 
 
+def drawn_once_more(own, left):
+    """Hashes of own (hash, size) taken by going through them one by one: up to the cut, one sweep of smaller ones, two single ones."""
+    def through(rows, gap):
+        got = []
+        for h, n in rows:
+            if n > gap:
+                return got, gap, (h, n)
+            got.append(h)
+            gap -= n
+        return got, gap, None
+
+    own = sorted((h, n) for h, n in own if n)
+    first, gap, over = through(own, left)
+    beyond = [(h, n) for h, n in own[len(first) :] if n <= gap]
+    more, least, _ = through(beyond, gap)
+    last = max(more, default=-(1 << 63))
+    for _ in range(2):
+        fit = max(((n, h) for h, n in beyond if h not in more and n <= least and h > last), default=None)
+        if fit:
+            more.append(fit[1])
+            least -= fit[0]
+    return {*first, over[0]} if over and over[1] - gap < least else {*first, *more}
+
+
+def test_mixing_fills_the_gap_at_a_long_document(spark):
+    r = random.Random(8)
+    rows = [(i, prose(i, r.choice([3, 5, 8, 40, 900])), s) for s in "abc" for i in range(ord(s) * 1000, ord(s) * 1000 + 150)]
+    rows += [(1, prose(1, 70), "d"), (2, prose(2, 71), "d")]
+    for seed in (1, 2):
+        sizes, draws = mixing.plan(docs(spark, rows), seed=seed, budget=0.3)
+        left = {x["source"]: x["target"] - x["mix_whole"] * x["source_size"] for x in draws.collect()}
+        own = sizes.join(draws, "source").withColumn("copies", mixing.repetitions() - F.col("mix_whole")).collect()
+        for s in "abcd":
+            want = drawn_once_more([(x["mix_hash"], x["size"]) for x in own if x["source"] == s], left[s])
+            assert {x["mix_hash"] for x in own if x["source"] == s and x["copies"]} == want, (seed, s)
+    found = mixing.taken(docs(spark, rows), seed=2, budget=0.3).collect()
+    assert all(x["taken"] <= 2 * x["size"] for x in found)
+    assert mixing.mix(docs(spark, rows), seed=2, budget=0.3).count() == sum(x["copies"] for x in found)
+
+
 def test_mixing_rows_without_ids_and_repeats(spark):
     rows = [(None, prose(i, 10), "a") for i in range(400)] + [(5, "the very same text of eight words here", "b")] * 600 + [(i, prose(i, 10), "c") for i in range(600)]
     odd = docs(spark, rows).withColumn("mix_row", F.lit(1)).withColumn("mix_hash", F.lit("x"))
