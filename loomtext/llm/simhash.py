@@ -14,8 +14,9 @@ Only distinct fingerprints are compared, so exact copies cost one row each and n
 Step 3 looks at every pair that steps 1 and 2 have not joined already, so the components are exact.
 
 near_copies() (and survivors(), which the pipeline uses) also links texts whose sets of shingles have a Jaccard similarity of LIKE or more. Texts
-are filed under bands of their smallest shingle hashes, in files that hold more than one component they are compared with the file's
-pivot, then with each other; what sizes, fingerprints and the minima themselves leave is verified on whole texts. Bands miss about 1 in 100,000 pairs at LIKE.
+are filed under bands of their smallest shingle hashes; in files that hold more than one component they are compared with the file's
+pivot, by sizes, fingerprints and the minima themselves, and what these leave is verified on whole texts. Texts of files that still hold more than one
+component meet by their rarest shingles (overlapping(), which leaves out no pair), not file by file, and are verified too. Bands miss about 1 in 100,000 pairs at LIKE.
 
 Corner cases: null and blank texts have fingerprint zero and are linked like any other; a text with fewer words than a shingle is
 one shingle; repeated rows and ids are linked with themselves. A null doc_id takes part, but is never the smallest id unless its
@@ -58,6 +59,8 @@ ORDERS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(ODD)
 FAR = 24
 #: Of the BANDS * BAND minima, two texts at LIKE share 38 on average, with a standard deviation of 3; pairs that share fewer than this are not verified.
 SHARED = 22
+#: How much larger each class of set sizes is than the one before.
+SIZES = 1.03
 
 
 def signed(x: int) -> int:
@@ -215,6 +218,73 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(up, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
+def size_class(n: int) -> int:
+    """Classes of set sizes: one a size while they are small, then each about SIZES longer than the one before."""
+    return n if n * (SIZES - 1) < 1 else int(np.log(n * (SIZES - 1)) / np.log(SIZES)) + int(1 / (SIZES - 1))
+
+
+def prefixes(n: int, known: int, least: float) -> Iterator[tuple[int, int]]:
+    """(size class, elements) of the sets that can be alike to one of n elements, of which all but the last known ones are in no other set: by how many of these, rarest first, it meets them."""
+    low, high = int(np.ceil(least * n - 1e-9)), int(n / least + 1e-9)
+    size = max(low, 1)
+    while size <= high:
+        common = int(np.ceil(least / (1 + least) * (n + size) - 1e-9))
+        if (take := min(known, known - common + 1)) > 0:
+            yield size_class(size), take
+        ahead, step = size + 1, size_class(size)
+        while size_class(ahead) == step:
+            ahead += 1
+        size = ahead
+
+
+def overlapping(texts: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """a, b, u, v: pairs of texts(tid, root, n), u and v their roots, that may be alike; no pair of different roots that is alike is left out.
+
+    Two sets with c elements in common share one of the first n - c + 1 of each, in any order of all elements. Those that only one root has come first
+    and meet nobody; the others follow, those of fewest texts first. How large c is depends on both sizes, so texts meet by element and size classes. Copies of one text
+    that were edited in different places have enough of their own to fill their beginnings, so they meet only where they have edits in common.
+    """
+    whole = fill_missing(docs, text="string").select(F.xxhash64("text").alias("tid"), "text").join(texts.select("tid"), "tid", "left_semi")
+    whole = whole.dropDuplicates(["tid"]).join(texts, "tid").select("text", "tid", "root")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(shingle)
+        for batch in batches:
+            sets = [np.unique(hasher.shingles((t.as_py() or "").encode("utf-8", "replace"))) for t in batch.column(0)]
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            keys = [pa.array(batch.column(k).to_numpy()[row], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["tid", "root", "e"])
+
+    with rows_at_once(docs.sparkSession, PAIRS):
+        elements = scratch.cut(whole.mapInArrow(cut, "tid long, root long, e long"), "alike-elements")
+    held = elements.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("times"))
+    known = elements.join(held.where("low <> high").select("e", "times"), "e").join(texts.select("tid", "n"), "tid")
+    known = known.groupBy("tid", "root", "n").agg(F.collect_list(F.struct("times", "e")).alias("known")).where(F.size("known") >= least * F.col("n") - 1e-9)
+    known = known.select("tid", "root", "n", F.transform(F.array_sort("known"), lambda x: x["e"]).alias("known"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, root, n, own in zip(*(batch.column(k) for k in range(4)), strict=True):
+                n, own = n.as_py(), own.values.to_numpy()
+                for size, take in prefixes(n, len(own), least):
+                    columns = [np.full(take, x, np.int64) for x in (tid.as_py(), root.as_py(), n)] + [np.full(take, x, np.int32) for x in (size_class(n), size)]
+                    columns += [len(own) - np.arange(take), own[:take]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["tid", "root", "n", "own", "other", "onward", "e"])
+
+    with rows_at_once(docs.sparkSession, PAIRS):
+        met = scratch.cut(known.mapInArrow(begin, "tid long, root long, n long, own int, other int, onward long, e long"), "alike-met")
+    meeting = ["e", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large")]
+    met = met.select("tid", "root", "n", "own", "other", "onward", *meeting)
+    mixed = met.groupBy("e", "small", "large").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e", "small", "large")
+    met = scratch.cut(met.join(mixed, ["e", "small", "large"]), "alike-mixed")
+    a, b = (met.select("e", F.col(own).alias("own"), F.col(other).alias("other"), *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "root", "n", "onward")]) for x, own, other in (("a", "own", "other"), ("b", "other", "own")))
+    sizes = (F.col("a_n") >= least * F.col("b_n")) & (F.col("b_n") >= least * F.col("a_n"))
+    # at their first common element both have as many left as they have in common
+    enough = F.least("a_onward", "b_onward") >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    pairs = a.join(b, ["e", "own", "other"]).where((F.col("a_root") < F.col("b_root")) & sizes & enough)
+    return pairs.select(F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), F.col("a_root").alias("u"), F.col("b_root").alias("v"))
+
+
 def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
     """node, root of the roots in rows(tid, fp, root, n, bands, least; a row each text) that texts of at least that likeness join."""
     filed = rows.select("tid", "fp", "root", "n", F.posexplode("bands").alias("k", "part"))
@@ -236,14 +306,10 @@ def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int,
     first = scratch.cut(components(_alike(stars, docs, scratch, "stars-alike", shingle, least), scratch, "alike-stars"), "alike-first")
 
     # Pairs with the pivot are settled; what is left are the other pairs of files that still hold more than one component.
-    left = _placed(rest, first)
+    left = _placed(rest.select("k", "part", "tid", "pivot_tid", "root", "n"), first)
     mixed = left.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "part")
-    left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("k", "part", "tid", "fp", "root", "n", "sign")
-    left = scratch.cut(left, "alike-left")
-    one, other = (left.select("k", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "fp", "root", "n", "sign")]) for x in "ab")
-    same_file = (one["k"] == other["k"]) & (one["part"] == other["part"])
-    pairs = one.join(other, same_file & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
-    pairs = pairs.select(F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), F.col("a_root").alias("u"), F.col("b_root").alias("v"))
+    left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("tid", "root", "n").distinct()
+    pairs = overlapping(scratch.cut(left, "alike-left"), docs, scratch, shingle, least)
     second = scratch.cut(components(_alike(pairs, docs, scratch, "pairs-alike", shingle, least), scratch, "alike-pairs"), "alike-second")
 
     nodes = first.union(second.join(first, "node", "left_anti").select("node", F.col("node").alias("root")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from loomtext.llm import quality, simhash, spans
 from loomtext.llm.sketch import Hasher
@@ -34,6 +35,36 @@ def test_edited_copies_are_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == sorted([10 * k + i for k in range(12) for i in (0, 2)] + [900])
 
 
+def test_edits_in_different_places_make_no_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one text that are alike to few others: those that are linked are found, and the pairs looked at don't grow with the group's square."""
+    r = random.Random(5)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(120)], []
+    for k in range(150):
+        words = list(base)
+        for at in r.sample(range(120), 6):
+            words[at] = f"x{k}y{at}"
+        rows.append((10 * k, " ".join(words), "s"))
+        if k % 10 == 0:  # a partner with one edit more
+            words[r.randrange(120)] = "z"
+            rows.append((10 * k + 1, " ".join(words), "s"))
+    looked_at, inner = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: looked_at.append(pairs.distinct().count()) or inner(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs).collect()}
+    parent = {i: i for i, _, _ in rows}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t, _ in rows}
+    prints = {i: simhash.fingerprint(t, 5) for i, t, _ in rows}
+    for a, b in combinations(parent, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= simhash.LIKE * len(sets[a] | sets[b]):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert of == {i: top(i) for i in parent}
+    assert looked_at[-1] <= 4 * len(rows), looked_at
+
+
 def test_passages_without_sentence_ends_are_found(spark):
     passage = " ".join(prose(99, 60))
     rows = [(i, " ".join([*prose(100 + i, 10 + 7 * i), passage, *prose(200 + i, 33 - 3 * i)])) for i in range(8)]
