@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
-from loomtext.llm import quality, simhash, spans
+from loomtext.llm import neighbours, quality, simhash, spans
 from loomtext.llm.sketch import Hasher
 
 DOCS = "doc_id long, text string"
@@ -65,6 +65,20 @@ def test_edits_in_different_places_make_no_pairs_of_a_large_group(spark, monkeyp
     assert looked_at[-1] <= 4 * len(rows), looked_at
 
 
+def test_beams_are_not_listed_row_by_row_at_each_hop(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(150)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    listed, explode = [], neighbours.F.explode
+    monkeypatch.setattr(neighbours.F, "explode", lambda c: listed.append(c) or explode(c))
+    found = neighbours.Index(vectors, rounds=1).search(vectors.where("vec_id % 50 = 0"), k=5).collect()
+    assert len(found) == 15 and not any(isinstance(c, str) and c == "ids" for c in listed)
+    of = {x["vec_id"]: x["embedding"] for x in vectors.collect()}
+    for q in (0, 50, 100):
+        best = sorted((i for i in of if i != q), key=lambda i: (-sum(x * y for x, y in zip(of[q], of[i], strict=True)), i))[:5]
+        assert [x["vec_id"] for x in sorted(found, key=lambda x: x["rank"]) if x["query_id"] == q] == best
+
+
 def test_passages_without_sentence_ends_are_found(spark):
     passage = " ".join(prose(99, 60))
     rows = [(i, " ".join([*prose(100 + i, 10 + 7 * i), passage, *prose(200 + i, 33 - 3 * i)])) for i in range(8)]
