@@ -131,6 +131,7 @@ def link(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int | N
     placed = members.join(near, members["fp"] == near["node"], "left").select("k", "part", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k", "part")
     rest = scratch.cut(placed.join(mixed, ["k", "part"]).select("*", *pivot_table(F.col("fp"))), "rest")
+    scratch.drop("members")
     a, b = rest.alias("a"), rest.alias("b")
     pair = (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root"))
     for near_in in within(distance):
@@ -273,10 +274,12 @@ def overlapping(texts: DataFrame, docs: DataFrame, scratch: Scratch, shingle: in
 
     with rows_at_once(docs.sparkSession, PAIRS):
         met = scratch.cut(known.mapInArrow(begin, "tid long, root long, n long, own int, other int, onward long, e long"), "alike-met")
+    scratch.drop("alike-elements")
     meeting = ["e", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large")]
     met = met.select("tid", "root", "n", "own", "other", "onward", *meeting)
     mixed = met.groupBy("e", "small", "large").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e", "small", "large")
     met = scratch.cut(met.join(mixed, ["e", "small", "large"]), "alike-mixed")
+    scratch.drop("alike-met")
     a, b = (met.select("e", F.col(own).alias("own"), F.col(other).alias("other"), *[F.col(c).alias(f"{x}_{c}") for c in ("tid", "root", "n", "onward")]) for x, own, other in (("a", "own", "other"), ("b", "other", "own")))
     sizes = (F.col("a_n") >= least * F.col("b_n")) & (F.col("b_n") >= least * F.col("a_n"))
     # at their first common element both have as many left as they have in common
@@ -309,7 +312,9 @@ def link_alike(rows: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int,
     left = _placed(rest.select("k", "part", "tid", "pivot_tid", "root", "n"), first)
     mixed = left.groupBy("k", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "part")
     left = left.where("tid <> pivot_tid").join(mixed, ["k", "part"]).select("tid", "root", "n").distinct()
-    pairs = overlapping(scratch.cut(left, "alike-left"), docs, scratch, shingle, least)
+    left = scratch.cut(left, "alike-left")
+    scratch.drop("alike-rest")
+    pairs = overlapping(left, docs, scratch, shingle, least)
     second = scratch.cut(components(_alike(pairs, docs, scratch, "pairs-alike", shingle, least), scratch, "alike-pairs"), "alike-second")
 
     nodes = first.union(second.join(first, "node", "left_anti").select("node", F.col("node").alias("root")))
