@@ -49,6 +49,13 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _heading_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical rows of the chunks' headings, without the chunks' texts."""
+    docs = _spread(spark, view(spark, sf, "plain"))
+    own = view(spark, sf, "plain").select("file_path", F.array("source", "lang").alias("heading_path"))
+    return build.heading_rows(chunking.chunk(docs).select("file_path", "chunk_index").join(own, "file_path"))
+
+
 def _rows(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Lexical rows as a table, as searches read them several times."""
     return Scratch(spark, "rows").cut(df, "rows")
@@ -175,7 +182,7 @@ def bm25_match_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(lexical.bm25(view(spark, sf, "file_queries"), build.heading_rows(_chunks(spark, sf)), CONFIG.bm25_top_k))
+    return _out(lexical.bm25(view(spark, sf, "file_queries"), _heading_rows(spark, sf), CONFIG.bm25_top_k))
 
 
 @query
@@ -187,7 +194,7 @@ def bm25_files(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_prefix_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Queries without a hit as they are: a term with a sign of its own, and the start of a source's name."""
     asked = view(spark, sf, "queries").select("query_id", F.concat(F.lit("zzqx"), F.col("query_id").cast("string"), F.lit(" sr")).alias("query"))
-    return _out(lexical.bm25(asked, _rows(spark, build.heading_rows(_chunks(spark, sf))), CONFIG.bm25_top_k, prefix_fallback=True))
+    return _out(lexical.bm25(asked, _heading_rows(spark, sf), CONFIG.bm25_top_k, prefix_fallback=True))
 
 
 # Vectors
