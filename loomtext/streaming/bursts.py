@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,8 +36,17 @@ def merged(bursts: pd.DataFrame, quiet: int) -> pd.DataFrame:
     return sums.join(last)[["path", *(x.split()[0] for x in BURST.split(", "))]].reset_index(drop=True)
 
 
-def _shown(bursts: pd.DataFrame, path: str, quiet: int, late: bool) -> pd.DataFrame:
-    return pd.DataFrame({"path": path, "burst_start": pd.to_datetime(bursts["start"], unit="us"), "burst_end": pd.to_datetime(bursts["end"] + quiet, unit="us"), "op": bursts["op"], "n": bursts["n"], "late": late})
+def joined(bursts: list[tuple], quiet: int) -> list[tuple]:
+    """What merged() gives, for the bursts of one path as tuples of BURST: a path has few, so they need no table."""
+    out: list[tuple] = []
+    for start, end, at, event_id, op, n in sorted(bursts, key=lambda b: b[0]):
+        if out and start - out[-1][1] <= quiet:
+            own = out.pop()
+            last = max(own[2:5], (at, event_id, op))
+            out.append((own[0], max(own[1], end), *last, own[5] + n))
+        else:
+            out.append((start, end, at, event_id, op, n))
+    return out
 
 
 class _Open(StatefulProcessor):
@@ -50,33 +59,42 @@ class _Open(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", BURST)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        new = pd.concat(list(rows), ignore_index=True)
-        over = new["end"] + self.quiet < mark
-        if over.any():
-            yield _shown(merged(new[over], self.quiet), key[0], self.quiet, True)
-        if not over.all():
-            self._keep(merged(pd.concat([self._kept(key[0]), new[~over]], ignore_index=True), self.quiet))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = self._kept(key[0])
-        over = rows["end"] + self.quiet < mark
-        if over.any():
-            yield _shown(rows[over], key[0], self.quiet, False)
-        self._keep(rows[~over])
-
-    def _kept(self, path: str) -> pd.DataFrame:
-        kinds = {name: "int64" if kind == "long" else object for name, kind in (x.split() for x in BURST.split(", "))}
-        return pd.DataFrame(list(self.open.get()), columns=list(kinds)).astype(kinds).assign(path=path)
-
-    def _keep(self, bursts: pd.DataFrame) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if len(bursts):
-            self.open.put([(int(r.start), int(r.end), int(r.at), int(r.event_id), str(r.op), int(r.n)) for r in bursts.itertuples()])
-            self.handle.registerTimer((int(bursts["end"].min()) + self.quiet) // 1000 + 1)
+        over, new = self._divided([tuple(r)[1:] for r in rows], mark)
+        yield from self._shown(key[0], joined(over, self.quiet), True)
+        if new:
+            old = self._kept()
+            self._keep(joined([*old, *new], self.quiet), self._due(old))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        over, rest = self._divided(self._kept(), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._shown(key[0], over, False)
+        self._keep(rest, None)  # a timer that has fired goes by itself
+
+    def _divided(self, bursts: list[tuple], mark: int) -> tuple[list[tuple], list[tuple]]:
+        over = [b for b in bursts if b[1] + self.quiet < mark]
+        return over, [b for b in bursts if b[1] + self.quiet >= mark]
+
+    def _shown(self, path: str, bursts: list[tuple], late: bool) -> Iterator[Row]:
+        for start, end, _, _, op, n in bursts:
+            yield Row(path=path, start=start, end=end + self.quiet, op=op, n=n, late=late)
+
+    def _kept(self) -> list[tuple]:
+        return [tuple(b) for b in self.open.get()]
+
+    def _due(self, bursts: list[tuple]) -> int | None:
+        """When the timer of some bursts is due: they have one timer, at the earliest end."""
+        return (min(b[1] for b in bursts) + self.quiet) // 1000 + 1 if bursts else None
+
+    def _keep(self, bursts: list[tuple], timer: int | None) -> None:
+        due = self._due(bursts)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if bursts:
+            self.open.put(bursts)
+            if timer != due:
+                self.handle.registerTimer(due)
         else:
             self.open.clear()
 
@@ -102,4 +120,5 @@ def debounced_stream(events: DataFrame, quiet: str, late: str) -> DataFrame:
             if len(b):
                 yield merged(b, gap)
 
-    return points.mapInPandas(combine, f"path string, {BURST}").groupBy("path").transformWithStateInPandas(_Open(gap), OUT, "append", "EventTime")
+    found = points.mapInPandas(combine, f"path string, {BURST}").groupBy("path").transformWithState(_Open(gap), "path string, start long, end long, op string, n long, late boolean", "append", "EventTime")
+    return found.select("path", F.timestamp_micros("start").alias("burst_start"), F.timestamp_micros("end").alias("burst_end"), "op", "n", "late")

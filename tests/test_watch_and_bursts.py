@@ -120,3 +120,15 @@ def test_watched_notes_keep_an_index(spark, tmp_path):
         (root / "f2/n2.md").unlink(missing_ok=True)
         put(root / "f9/new.md", "new words", 10**18)
     assert {r["file_path"] for r in keeper.tables()["file_state"].collect()} == {"f0/empty.md", "f9/new.md", *(f"f{i % 3}/n{i}.md" for i in range(8) if i != 2)}
+
+
+def test_joined_bursts_of_a_path():
+    """Bursts as tuples, which the stream keeps, are joined as they are in a table."""
+    import pandas as pd
+
+    g = np.random.default_rng(4)
+    names = [x.split()[0] for x in bursts.BURST.split(", ")]
+    for n in (1, 2, 60):
+        start = g.integers(0, 300, n)
+        rows = pd.DataFrame({"path": "a", "start": start, "end": start + g.integers(0, 9, n), "at": start, "event_id": g.integers(-1, 3, n), "op": g.choice(["changed", "deleted"], n), "n": 1})
+        assert bursts.joined(list(rows[names].itertuples(index=False, name=None)), 5) == list(bursts.merged(rows, 5)[names].itertuples(index=False, name=None))
