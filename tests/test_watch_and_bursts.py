@@ -124,6 +124,7 @@ def test_watched_notes_keep_an_index(spark, tmp_path):
 
 def test_joined_bursts_of_a_path():
     """Bursts as tuples, which the stream keeps, are joined as they are in a table."""
+    import numpy as np
     import pandas as pd
 
     g = np.random.default_rng(4)
